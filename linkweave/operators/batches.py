@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +144,7 @@ def _round(pairs: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
 def _sweep(pairs: DataFrame) -> DataFrame:
     """Decide the given pairs in sequence; the caller has checked that they are few."""
 
-    def run(frame):
-        frame = frame.sort_values("batch_id", kind="stable")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
         batches, verdicts = [], []
         for batch_id, urls in frame.groupby("batch_id", sort=True)["original_url"]:
@@ -153,9 +153,7 @@ def _sweep(pairs: DataFrame) -> DataFrame:
                 taken.update(urls)
             batches.append(batch_id)
             verdicts.append(free)
-        return frame.iloc[:0].assign(accepted=False)[["batch_id", "accepted"]].reindex(
-            range(len(batches))
-        ).assign(batch_id=batches, accepted=verdicts)
+        return pd.DataFrame({"batch_id": batches, "accepted": verdicts})
 
     kind = pairs.schema["batch_id"].dataType.simpleString()
     return pairs.groupBy(F.lit(0).alias("_all")).applyInPandas(run, f"batch_id {kind}, accepted boolean")

@@ -38,14 +38,17 @@ def _summary(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
     return levels[where], flushes
 
 
-def _number(sizes: np.ndarray, level: int, batch: int, threshold: int) -> list[int]:
-    numbers = []
-    for size in sizes.tolist():
+def _number(users, sizes, levels, batches, threshold: int) -> np.ndarray:
+    """Batch numbers of one piece; a user's entry level and batch stand in each of its rows."""
+    numbers, current, level, batch = [], object(), 0, 0
+    for user, size, entry_level, entry_batch in zip(users, sizes, levels, batches):
+        if user != current:
+            current, level, batch = user, entry_level, entry_batch
         numbers.append(batch)
         level += size
         if level >= threshold:
             level, batch = 0, batch + 1
-    return numbers
+    return np.array(numbers, dtype=np.int64)
 
 
 def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> DataFrame:
@@ -94,10 +97,8 @@ def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> Data
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(POSITION)
-        batches = _number(
-            frame["n_ids"].to_numpy(), int(frame["_entry_level"].iloc[0]), int(frame["_entry_batch"].iloc[0]), threshold
-        )
-        return frame[["req_id", "ts", "user_id", "n_ids"]].assign(batch_no=np.array(batches, dtype=np.int64))
+        inputs = (frame[c].tolist() for c in ("user_id", "n_ids", "_entry_level", "_entry_batch"))
+        return frame[["req_id", "ts", "user_id", "n_ids"]].assign(batch_no=_number(*inputs, threshold))
 
     keys = [PIECE, "user_id"]
     tables = (
@@ -110,7 +111,7 @@ def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> Data
     return (
         placed.join(entries, keys, "left")
         .fillna(0, ["_entry_level", "_entry_batch"])
-        .groupBy(*keys)
+        .groupBy(PIECE)
         .applyInPandas(number, out)
     )
 

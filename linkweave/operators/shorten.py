@@ -6,6 +6,8 @@ Two modes. ``unique``: an original URL has one link, later requests get the stor
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from linkweave.operators.ranking import number_rows
 from linkweave.operators.skew import ROWS_PER_TASK, lookup
 from linkweave.session import stage
 
-_SECOND = 10**19
+_STEP = Decimal(10**19)
 
 
 def arrival(ts: Column, req_id: Column) -> Column:
@@ -32,7 +34,7 @@ def arrival(ts: Column, req_id: Column) -> Column:
     would sort each partition first.
     """
     micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
-    return (micros * F.lit(_SECOND).cast("decimal(20,0)") + req_id.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (micros * F.lit(_STEP) + req_id.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def latest_by_id(links: DataFrame, order: Column) -> DataFrame:
@@ -112,7 +114,7 @@ def shorten_unique(
     rows_per_task: int = ROWS_PER_TASK,
     **id_options,
 ) -> DataFrame:
-    """Outcome of each request: ``req_id, ts, user_id, original_url, short_id, status``.
+    """``requests`` (``req_id, ts, original_url`` and more) with ``short_id, status`` of the outcome.
 
     201 for the first request of a URL that has no link, 409 with the stored id for all others, also
     when the link belongs to somebody else or is deleted, 500 when no free id was found.
@@ -129,10 +131,7 @@ def shorten_unique(
         resolved = assign_ids(fresh, "original_url", "_arrival", links, **id_options).unionByName(known)
     outcome = F.when(F.col("short_id").isNull(), FAILED).when(order == F.col("_arrival"), CREATED)
     return lookup(requests, resolved, ["original_url"], ["req_id"], rows_per_task=rows_per_task).select(
-        "req_id",
-        "ts",
-        "user_id",
-        "original_url",
+        *requests.columns,
         "short_id",
         outcome.otherwise(CONFLICT).cast("int").alias("status"),
     )
@@ -141,7 +140,7 @@ def shorten_unique(
 def shorten_append(requests: DataFrame, links: DataFrame | None = None, **id_options) -> DataFrame:
     """Outcome of each request when repeated URLs are allowed: 201, or 500 when no free id was found."""
     order = arrival(F.col("ts"), F.col("req_id"))
-    rows = requests.select("req_id", "ts", "user_id", "original_url", order.alias("_arrival"))
+    rows = requests.withColumn("_arrival", order)
     return (
         assign_ids(rows, "req_id", "_arrival", links, **id_options)
         .withColumn("status", F.when(F.col("short_id").isNull(), FAILED).otherwise(CREATED).cast("int"))
