@@ -113,25 +113,20 @@ def stream_tumbling_deletes(
     )
 
 
-def run_until_idle(writer: DataStreamWriter, quiet_batches: int = 3) -> None:
-    """Run a job with timers until its input is read and its timers have fired, then stop it.
+def run_until_idle(writer: DataStreamWriter) -> None:
+    """Run a job with timers until a micro-batch has neither input nor state left, then stop it.
 
-    Timers fire only in a later micro-batch, which a one-off trigger would not wait for.
+    Timers fire only in a later micro-batch, which a one-off trigger would not wait for. A job with
+    timers never reports that it is done, hence the look at its progress.
     """
     query = writer.trigger(processingTime="0 seconds").start()
     try:
-        query.processAllAvailable()
-        quiet, seen = 0, -1
-        while quiet < quiet_batches and query.isActive:
+        while query.isActive:
             progress = query.lastProgress
-            if progress is None or progress.batchId == seen:
-                time.sleep(0.05)
-                continue
-            seen = progress.batchId
-            busy = progress.numInputRows or any(
-                state.numRowsTotal or state.numRowsRemoved for state in progress.stateOperators
-            )
-            quiet = 0 if busy else quiet + 1
+            if progress is not None and not progress.numInputRows:
+                if not any(state.numRowsTotal for state in progress.stateOperators):
+                    break
+            time.sleep(0.1)
         if query.exception() is not None:
             raise query.exception()
     finally:
