@@ -19,11 +19,11 @@ def short_id(
     digest = F.sha2(F.concat(key, F.lit(":"), attempt.cast("string")), 256)
     number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     base = len(charset)
+    letters = F.split(F.lit(",".join(charset)), ",")
     digits = []
     for i in range(length):
         rest = number if i == 0 else F.call_function("div", number, F.lit(base**i).cast("bigint"))
-        digit = (rest % F.lit(base)).cast("int") + F.lit(1)
-        digits.append(F.substring(F.lit(charset), digit, F.lit(1)))
+        digits.append(F.get(letters, (rest % F.lit(base)).cast("int")))
     return F.concat(*digits)
 
 

@@ -14,9 +14,9 @@ from linkweave.operators.skew import ROWS_PER_TASK, lookup
 from linkweave.session import stage
 
 # Undecided (batch, URL) pairs that one task may decide in sequence.
-SWEEP_PAIRS = 200_000
+SWEEP_PAIRS = 100_000
 # Rounds before the sweep is considered.
-ROUNDS_BEFORE_SWEEP = 8
+ROUNDS_BEFORE_SWEEP = 2
 
 
 def valid_batch(items: DataFrame) -> DataFrame:
@@ -24,9 +24,14 @@ def valid_batch(items: DataFrame) -> DataFrame:
 
     An empty batch has no items; ``empty_batches`` adds those.
     """
+    return _judged(items).drop("_n")
+
+
+def _judged(items: DataFrame) -> DataFrame:
     bad = is_blank(F.col("original_url")) | is_blank(F.col("correlation_id"))
     return items.groupBy("batch_id").agg(
-        F.when(F.bool_or(bad), BAD_REQUEST).otherwise(CREATED).cast("int").alias("status")
+        F.when(F.bool_or(bad), BAD_REQUEST).otherwise(CREATED).cast("int").alias("status"),
+        F.count(F.lit(1)).alias("_n"),
     )
 
 
@@ -40,8 +45,8 @@ def empty_batches(batches: DataFrame, items: DataFrame) -> DataFrame:
 
 def accepted_items(items: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Items of the valid batches."""
-    good = valid_batch(items).where(F.col("status") == CREATED).select("batch_id")
-    return lookup(items, good, ["batch_id"], ["pos"], "left_semi", rows_per_task)
+    good = _judged(items).where(F.col("status") == CREATED).drop("status")
+    return lookup(items, good, ["batch_id"], ["pos"], "left_semi", "_n", rows_per_task)
 
 
 def batch_unique_ids(
@@ -89,14 +94,19 @@ def decide_batches(
     flawed = F.col("_copies") > 1
     if links is not None:
         stored = links.select("original_url").distinct().withColumn("_stored", F.lit(True))
-        per_url = lookup(per_url, stored, ["original_url"], ["batch_id"], rows_per_task=rows_per_task)
+        per_url = lookup(per_url, stored, ["original_url"], ["batch_id"], "left", None, rows_per_task)
         flawed = flawed | F.col("_stored").isNotNull()
     pairs = stage(per_url.select("batch_id", "original_url", flawed.alias("_flawed")), "pairs")
-    clean = pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"))
+    clean = pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"), F.count(F.lit(1)).alias("_n"))
     decided = [clean.where("not _clean").select("batch_id", F.lit(False).alias("accepted"))]
-    clean_ids = clean.where("_clean").select("batch_id")
     pairs = lookup(
-        pairs.drop("_flawed"), clean_ids, ["batch_id"], ["original_url"], "left_semi", rows_per_task
+        pairs.drop("_flawed"),
+        clean.where("_clean").drop("_clean"),
+        ["batch_id"],
+        ["original_url"],
+        "left_semi",
+        "_n",
+        rows_per_task,
     )
     done_rounds = 0
     while True:
@@ -117,27 +127,24 @@ def decide_batches(
 
 
 def _round(pairs: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
-    first = pairs.groupBy("original_url").agg(F.min("batch_id").alias("_first"))
-    seen = stage(
-        lookup(pairs, first, ["original_url"], ["batch_id"], rows_per_task=rows_per_task), "first"
-    )
-    winners = (
-        seen.groupBy("batch_id")
-        .agg(F.bool_and(F.col("batch_id") == F.col("_first")).alias("_wins"))
-        .where("_wins")
-        .select(F.col("batch_id").alias("_first"), F.lit(True).alias("_first_wins"))
-    )
-    judged = lookup(seen, winners, ["_first"], ["batch_id", "original_url"], rows_per_task=rows_per_task)
-    state = judged.groupBy("batch_id").agg(
-        F.bool_and(F.col("batch_id") == F.col("_first")).alias("accepted"),
-        F.bool_or(F.col("_first_wins").isNotNull()).alias("_settled"),
+    """Verdicts of the batches decided now, and the pairs that stay open."""
+    one = F.count(F.lit(1))
+    first = pairs.groupBy("original_url").agg(F.min("batch_id").alias("_first"), one.alias("_n"))
+    seen = stage(lookup(pairs, first, ["original_url"], ["batch_id"], "left", "_n", rows_per_task), "first")
+    mine = F.col("batch_id") == F.col("_first")
+    winners = seen.groupBy("batch_id").agg(F.bool_and(mine).alias("_wins")).where("_wins")
+    rivals = seen.groupBy("_first").agg(one.alias("_n"))
+    winners = winners.select(F.col("batch_id").alias("_first"), "_wins").join(rivals, "_first")
+    judged = lookup(seen, winners, ["_first"], ["batch_id", "original_url"], "left", "_n", rows_per_task)
+    state = stage(
+        judged.groupBy("batch_id").agg(
+            F.bool_and(mine).alias("accepted"), F.bool_or(F.col("_wins").isNotNull()).alias("_settled"), one.alias("_n")
+        ),
+        "state",
     )
-    state = stage(state, "state")
     verdicts = state.where("_settled").select("batch_id", "accepted")
-    open_ids = state.where("not _settled").select("batch_id")
-    rest = lookup(
-        seen.drop("_first"), open_ids, ["batch_id"], ["original_url"], "left_semi", rows_per_task
-    )
+    still = state.where("not _settled").select("batch_id", "_n")
+    rest = lookup(seen.drop("_first"), still, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task)
     return verdicts, rest
 
 
@@ -165,27 +172,11 @@ def batch_save_unique(
     """Unique mode: every item with the ``status`` of its batch (201, 400, 500) and, for 201, its
     ``short_id``."""
     valid = accepted_items(items, rows_per_task)
-    verdicts = stage(
-        decide_batches(valid, links, rows_per_task).where("accepted").select("batch_id"), "accepted"
-    )
-    saved = lookup(valid, verdicts, ["batch_id"], ["pos"], "left_semi", rows_per_task)
-    ids = assign_ids(
-        saved.select("batch_id", "pos", "original_url"), "original_url", "original_url", links, **id_options
-    ).select("original_url", "short_id", F.col("batch_id").alias("_owner"))
-    status = (
-        valid_batch(items)
-        .join(verdicts.withColumn("_saved", F.lit(True)), "batch_id", "left")
-        .select(
-            "batch_id",
-            F.when(F.col("status") == BAD_REQUEST, F.col("status"))
-            .when(F.col("_saved"), CREATED)
-            .otherwise(FAILED)
-            .cast("int")
-            .alias("status"),
-        )
-    )
-    marked = lookup(items, status, ["batch_id"], ["pos"], rows_per_task=rows_per_task)
-    named = lookup(marked, ids, ["original_url"], ["batch_id", "pos"], rows_per_task=rows_per_task)
-    return named.withColumn(
-        "short_id", F.when((F.col("status") == CREATED) & (F.col("_owner") == F.col("batch_id")), F.col("short_id"))
-    ).drop("_owner")
+    verdicts = decide_batches(valid.select("batch_id", "original_url"), links, rows_per_task)
+    code = F.when(F.col("status") == BAD_REQUEST, BAD_REQUEST).when(F.col("accepted"), CREATED).otherwise(FAILED)
+    status = _judged(items).join(verdicts, "batch_id", "left").select("batch_id", "_n", code.cast("int").alias("status"))
+    marked = stage(lookup(items, status, ["batch_id"], ["pos"], "left", "_n", rows_per_task), "marked")
+    # an accepted batch holds no URL twice and shares none, so its URLs are unique
+    saved = assign_ids(marked.where(F.col("status") == CREATED), "original_url", "original_url", links, **id_options)
+    others = marked.where(F.col("status") != CREATED).withColumn("short_id", F.lit(None).cast("string"))
+    return saved.unionByName(others)

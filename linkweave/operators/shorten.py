@@ -120,7 +120,7 @@ def shorten_unique(
     when the link belongs to somebody else or is deleted, 500 when no free id was found.
     """
     order = arrival(F.col("ts"), F.col("req_id"))
-    urls = requests.groupBy("original_url").agg(F.min(order).alias("_arrival"))
+    urls = requests.groupBy("original_url").agg(F.min(order).alias("_arrival"), F.count(F.lit(1)).alias("_n"))
     if links is None:
         resolved = assign_ids(urls, "original_url", "_arrival", **id_options)
     else:
@@ -130,7 +130,7 @@ def shorten_unique(
         fresh = urls.where("short_id is null").drop("short_id")
         resolved = assign_ids(fresh, "original_url", "_arrival", links, **id_options).unionByName(known)
     outcome = F.when(F.col("short_id").isNull(), FAILED).when(order == F.col("_arrival"), CREATED)
-    return lookup(requests, resolved, ["original_url"], ["req_id"], rows_per_task=rows_per_task).select(
+    return lookup(requests, resolved, ["original_url"], ["req_id"], "left", "_n", rows_per_task).select(
         *requests.columns,
         "short_id",
         outcome.otherwise(CONFLICT).cast("int").alias("status"),

@@ -13,15 +13,13 @@ ROWS_PER_TASK = 1_000_000
 MAX_HOT_KEYS = 1024
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(counts: DataFrame, on: Sequence[str], count: str, rows_per_task: int) -> DataFrame:
     """``on, _salts`` for the keys that need several tasks; at most ``MAX_HOT_KEYS`` rows."""
     return (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"))
+        counts.where(F.col(count) > rows_per_task)
+        .orderBy(F.desc(count))
         .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
+        .select(*on, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts"))
     )
 
 
@@ -31,6 +29,7 @@ def lookup(
     on: Sequence[str],
     salt_by: Sequence[str],
     how: str = "left",
+    count: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join many ``facts`` to ``dim``, which has at most one row per key.
@@ -39,9 +38,17 @@ def lookup(
     is an aggregate on the join key it is not used, so the rows of a hot key are spread here: each
     goes to one of ``_salts`` tasks, chosen from its ``salt_by`` columns, and the one ``dim`` row of
     that key is repeated for each of them. The broadcast part has at most ``MAX_HOT_KEYS`` rows.
+
+    ``count`` names the column of ``dim`` that holds the number of facts of its key, or an upper
+    bound of it; it is dropped. Without it the facts are counted, which reads them once more.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(facts, on, rows_per_task))
+    if count is None:
+        count = "_rows"
+        counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias(count))
+    else:
+        counts, dim = dim, dim.drop(count)
+    hot = F.broadcast(hot_keys(counts, on, count, rows_per_task))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = (
         facts.join(hot, on, "left")
