@@ -41,11 +41,20 @@ def verify_token(token: Column, key: str) -> Column:
     return F.struct(F.when(valid, user).otherwise("").alias("user_id"), valid.alias("valid"))
 
 
+def derived_user_id(seed: Column, key: str) -> Column:
+    """32 hex digits that follow from ``seed`` and cannot be guessed without the key.
+
+    For new users in jobs that may be run again; ``seed`` must be unique, such as a request id.
+    """
+    return F.substring(signature(F.concat(F.lit("new user "), seed.cast("string")), key), 1, 32)
+
+
 def authenticate(token: Column, key: str, fresh_user: Column) -> Column:
     """``struct(user_id, token, valid, reissued)``.
 
     A missing or invalid token is replaced by one for ``fresh_user`` and counts as valid from then on.
-    ``fresh_user`` is a column, so the caller decides between random and repeatable ids.
+    ``fresh_user`` is used several times: give a ``derived_user_id``, or a column that holds random
+    ids already, not the random expression itself.
     """
     checked = verify_token(token, key)
     good = checked["valid"]

@@ -16,7 +16,7 @@ from linkweave.session import stage
 # Undecided (batch, URL) pairs that one task may decide in sequence.
 SWEEP_PAIRS = 100_000
 # Rounds before the sweep is considered.
-ROUNDS_BEFORE_SWEEP = 2
+ROUNDS_BEFORE_SWEEP = 1
 
 
 def valid_batch(items: DataFrame) -> DataFrame:

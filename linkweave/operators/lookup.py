@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.constants import (
@@ -16,17 +18,21 @@ from linkweave.constants import (
 )
 from linkweave.functions.text import deleted_flag, join_path
 from linkweave.operators.ranking import number_rows
-from linkweave.operators.skew import lookup
+from linkweave.operators.skew import ROWS_PER_TASK, lookup
 
 
-def _newest_first():
-    return [F.desc("created_at"), F.desc("link_id")]
+def _newest_first(links: DataFrame) -> list[Column]:
+    """By time, then by surrogate key where the table has one; the id makes the order total."""
+    keys = [c for c in ("created_at", "link_id") if c in links.columns]
+    return [*(F.desc(c) for c in keys), F.asc("short_id")]
 
 
-def resolve(clicks: DataFrame, links: DataFrame) -> DataFrame:
+def resolve(
+    clicks: DataFrame, links: DataFrame, salt_by: Sequence[str] = ("req_id",), rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Outcome of each click: 307 with ``location``, 400 empty id, 404 unknown, 410 deleted.
 
-    Both inputs reach the join straight from their shuffle, so a hot id is split at run time.
+    The clicks of a hot id are spread by their ``salt_by`` columns. ``links`` has each id once.
     """
     known = links.select(
         "short_id",
@@ -40,16 +46,19 @@ def resolve(clicks: DataFrame, links: DataFrame) -> DataFrame:
         .otherwise(FOLLOWED)
     )
     return (
-        clicks.join(known, "short_id", "left")
+        lookup(clicks, known, ["short_id"], salt_by, rows_per_task=rows_per_task)
         .withColumn("status", status.cast("int"))
         .withColumn("location", F.when(F.col("status") == FOLLOWED, F.col("_url")))
         .drop("_url", "_deleted")
     )
 
 
-def find_by_original(requests: DataFrame, index: DataFrame) -> DataFrame:
+def find_by_original(
+    requests: DataFrame, index: DataFrame, salt_by: Sequence[str] = ("req_id",), rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Add the ``short_id`` stored for each ``original_url``, deleted or not; null when unknown."""
-    return requests.join(index.select("original_url", "short_id"), "original_url", "left")
+    known = index.select("original_url", "short_id")
+    return lookup(requests, known, ["original_url"], salt_by, rows_per_task=rows_per_task)
 
 
 def live_links(links: DataFrame) -> DataFrame:
@@ -63,12 +72,12 @@ def by_user(links: DataFrame, user_id: str) -> DataFrame:
 
 def scan_links(links: DataFrame) -> DataFrame:
     """All links, deleted ones too, newest first."""
-    return links.orderBy(*_newest_first())
+    return links.orderBy(*_newest_first(links))
 
 
 def order_by_created(links: DataFrame) -> DataFrame:
     """Add ``pos``: the place of each live link in its owner's list, newest first."""
-    return number_rows(live_links(links), _newest_first(), "pos", ["user_id"])
+    return number_rows(live_links(links), _newest_first(links), "pos", ["user_id"])
 
 
 def point_lookup(links: DataFrame, column: str, value: str) -> DataFrame:

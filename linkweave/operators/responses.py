@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,9 +41,9 @@ def batch_response(saved: DataFrame, base: str) -> DataFrame:
     )
 
 
-def shorten_response(outcomes: DataFrame, base: str) -> DataFrame:
-    """``req_id, status, content_type, body``. Text requests get the bare URL, JSON requests an
-    object, failures no body. ``outcomes`` has ``kind``."""
+def shorten_response(outcomes: DataFrame, base: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``req_id, status, content_type, body`` and the columns to ``keep``. Text requests get the
+    bare URL, JSON requests an object, failures no body. ``outcomes`` has ``kind``."""
     url = join_path(base, F.col("short_id"))
     answered = F.col("status").isin(CREATED, CONFLICT)
     is_text = F.col("kind") == TEXT
@@ -50,24 +52,29 @@ def shorten_response(outcomes: DataFrame, base: str) -> DataFrame:
         "status",
         F.when(answered, F.when(is_text, "text/plain").otherwise("application/json")).alias("content_type"),
         F.when(answered, F.when(is_text, url).otherwise(F.to_json(F.struct(url.alias("result"))))).alias("body"),
+        *keep,
     )
 
 
-def audit_projection(shortened: DataFrame, followed: DataFrame) -> DataFrame:
-    """Audit events of the outcomes: a new link and a redirect leave one each, nothing else does."""
-    created = shortened.where(F.col("status") == CREATED).select(
-        event_time(F.col("ts")).alias("ts"),
-        F.lit(ACTION_SHORTEN).alias("action"),
-        "user_id",
-        F.col("original_url").alias("url"),
-    )
-    visited = followed.where(F.col("status") == FOLLOWED).select(
-        event_time(F.col("ts")).alias("ts"),
-        F.lit(ACTION_FOLLOW).alias("action"),
-        "user_id",
-        F.col("location").alias("url"),
+def _events(outcomes: DataFrame, action: str, url: str) -> DataFrame:
+    return outcomes.select(
+        event_time(F.col("ts")).alias("ts"), F.lit(action).alias("action"), "user_id", F.col(url).alias("url")
     )
-    return created.unionByName(visited)
+
+
+def shorten_events(outcomes: DataFrame) -> DataFrame:
+    """A new link leaves an audit event; a conflict or failure does not."""
+    return _events(outcomes.where(F.col("status") == CREATED), ACTION_SHORTEN, "original_url")
+
+
+def follow_events(outcomes: DataFrame) -> DataFrame:
+    """A redirect leaves an audit event; an unknown or deleted link does not."""
+    return _events(outcomes.where(F.col("status") == FOLLOWED), ACTION_FOLLOW, "location")
+
+
+def audit_projection(shortened: DataFrame, followed: DataFrame) -> DataFrame:
+    """Audit events of both kinds of outcomes."""
+    return shorten_events(shortened).unionByName(follow_events(followed))
 
 
 def stored_url(kind: Column, url: Column) -> Column:

@@ -59,6 +59,15 @@ def first_by_original(requests: DataFrame) -> DataFrame:
     )
 
 
+def matching(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``stored`` whose ``key`` is wanted.
+
+    A left join would shuffle the whole store even for a handful of wanted keys. This one lets Spark
+    broadcast them when they are few, and otherwise leaves the rows partitioned for the left join.
+    """
+    return stored.join(wanted.select(key), key, "left_semi")
+
+
 def id_collisions(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates whose ``short_id`` is in the store already."""
     return candidates.join(stored.select("short_id"), "short_id", "left_semi")
@@ -88,9 +97,8 @@ def assign_ids(
         candidates = pending.withColumn("short_id", candidate)
         free = F.lit(True)
         if known is not None:
-            # after the first round few rows are left: look only their ids up in the store
-            hits = known if attempt == 0 else known.join(candidates.select("short_id"), "short_id", "left_semi")
-            candidates = candidates.join(hits.withColumn("_taken", F.lit(True)), "short_id", "left")
+            hits = matching(known, candidates, "short_id").withColumn("_taken", F.lit(True))
+            candidates = candidates.join(hits, "short_id", "left")
             free = F.col("_taken").isNull()
         judged = candidates.withColumn("_won", free & (F.row_number().over(by_id) == 1))
         judged = stage(judged.drop("_taken"), "ids")
@@ -124,8 +132,8 @@ def shorten_unique(
     if links is None:
         resolved = assign_ids(urls, "original_url", "_arrival", **id_options)
     else:
-        stored = links.select("original_url", "short_id")
-        urls = stage(urls.join(stored, "original_url", "left"), "urls")
+        hits = matching(links.select("original_url", "short_id"), urls, "original_url")
+        urls = stage(urls.join(hits, "original_url", "left"), "urls")
         known = urls.where("short_id is not null").withColumn("_arrival", F.lit(None).cast("decimal(38,0)"))
         fresh = urls.where("short_id is null").drop("short_id")
         resolved = assign_ids(fresh, "original_url", "_arrival", links, **id_options).unionByName(known)

@@ -14,10 +14,13 @@ MAX_HOT_KEYS = 1024
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str], count: str, rows_per_task: int) -> DataFrame:
-    """``on, _salts`` for the keys that need several tasks; at most ``MAX_HOT_KEYS`` rows."""
+    """``on, _salts`` for the keys that need several tasks; at most ``MAX_HOT_KEYS`` rows.
+
+    Keys of equal count are taken in key order: both join sides must agree on what is hot.
+    """
     return (
         counts.where(F.col(count) > rows_per_task)
-        .orderBy(F.desc(count))
+        .orderBy(F.desc(count), *on)
         .limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts"))
     )

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkweave import schemas
 from linkweave.functions.ids import short_id
-from linkweave.operators import deletes, flush, responses
+from linkweave.functions.json import decode_line
+from linkweave.functions.tokens import sign_token
+from linkweave.operators import flush, responses
 from linkweave.plans import fixtures as fx
+from linkweave.plans import service
 from linkweave.plans.catalog import query
 from linkweave.plans.fixtures import sql, sql_id
 from linkweave.plans.queries_scalar import SQL_EVENT
@@ -30,18 +34,9 @@ def _write_in_order(rows, path, *order):
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
 
 
-@query("read_links", sql(f"""
-select arg_max(uuid, (ts, req_id)) as uuid, short_id, arg_max(original_url, (ts, req_id)) as original_url,
-       arg_max(user_id, (ts, req_id)) as user_id, arg_max(is_deleted, (ts, req_id)) as is_deleted
-from (select req_id, ts, case when k % 10 = 2 then '' else 'x' || req_id end as uuid,
-             case when k % 10 = 2 then '' else {sql_id("original_url")} end as short_id,
-             case when k % 10 = 2 then '' else original_url end as original_url,
-             case when k % 10 = 2 then '' else user_id end as user_id, k % 10 <> 2 and req_id % 2 = 0 as is_deleted
-      from requests where k % 10 not in (0, 1, 3, 5))
-group by short_id"""))
-def read_links(spark, sf_dir):
-    """Lines of many shapes: whole, cut off, empty, null, wrongly typed, repeated key, text behind
-    the value, keys in upper case."""
+def _link_lines(spark, sf_dir):
+    """All requests with a ``line`` of one of these shapes: whole, cut off, empty, null, wrongly
+    typed, repeated key, text behind the value, keys in upper case."""
     fields = F.struct(
         F.concat(F.lit("x"), F.col("req_id").cast("string")).alias("uuid"),
         short_id(F.col("original_url")).alias("short_url"),
@@ -64,8 +59,41 @@ def read_links(spark, sf_dir):
         .when(shape == 6, upper)
         .otherwise(whole)
     )
+    return fx.requests(spark, sf_dir).withColumn("line", line)
+
+
+_SQL_DECODED = f"""
+  select req_id, ts, case when k % 10 = 2 then '' else 'x' || req_id end as uuid,
+         case when k % 10 = 2 then '' else {sql_id("original_url")} end as short_id,
+         case when k % 10 = 2 then '' else original_url end as original_url,
+         case when k % 10 = 2 then '' else user_id end as user_id, k % 10 <> 2 and req_id % 2 = 0 as is_deleted
+  from requests where k % 10 not in (0, 1, 3, 5)"""
+
+
+@query("decode_link_json", sql(f"""
+select r.req_id, d.req_id is not null as decoded, d.uuid, d.short_id, d.original_url, d.user_id, d.is_deleted
+from requests r left join ({_SQL_DECODED}) d on d.req_id = r.req_id"""))
+def decode_link_json(spark, sf_dir):
+    link = decode_line(F.col("line"), schemas.LINK_LINE)
+    rows = _link_lines(spark, sf_dir).select("req_id", link.alias("link"))
+    return rows.select(
+        "req_id",
+        F.col("link").isNotNull().alias("decoded"),
+        "link.uuid",
+        F.col("link.short_url").alias("short_id"),
+        "link.original_url",
+        "link.user_id",
+        "link.is_deleted",
+    )
+
+
+@query("read_links", sql(f"""
+select arg_max(uuid, (ts, req_id)) as uuid, short_id, arg_max(original_url, (ts, req_id)) as original_url,
+       arg_max(user_id, (ts, req_id)) as user_id, arg_max(is_deleted, (ts, req_id)) as is_deleted
+from ({_SQL_DECODED}) group by short_id"""))
+def read_links(spark, sf_dir):
     path = scratch_path(spark, "link_lines")
-    _write_in_order(fx.requests(spark, sf_dir).withColumn("line", line), path, "ts", "req_id")
+    _write_in_order(_link_lines(spark, sf_dir), path, "ts", "req_id")
     return readers.read_links(spark, path).select(*_LINE)
 
 
@@ -147,7 +175,8 @@ def read_request_log(spark, sf_dir):
     return readers.read_request_log(spark, path)
 
 
-@query("append_links", sql(f"{_SQL_LINE} from append_links"))
+@query("append_links", sql("""
+select short_id, original_url, user_id, is_deleted, cast(36 as int) as uuid_chars from append_links"""))
 def append_links(spark, sf_dir):
     """Two loads, the first written twice."""
     path = scratch_path(spark, "appended")
@@ -155,7 +184,7 @@ def append_links(spark, sf_dir):
     early, late = links.where("created_at < timestamp_ntz '2024-01-15'"), links.where("created_at >= timestamp_ntz '2024-01-15'")
     for load_id, part in ((1, early), (2, late), (1, early)):
         writers.append_links(part, path, load_id)
-    return readers.read_links(spark, path).select(*_LINE)
+    return readers.read_links(spark, path).select(*_LINE[1:], F.length("uuid").alias("uuid_chars"))
 
 
 @query("rewrite_links", sql(f"{_SQL_LINE} from deleted_links"))
@@ -369,3 +398,32 @@ def link_store(spark, sf_dir):
         current = store.compact(f"{path}/second").read()
         parts.append(current.select(F.lit(name).alias("store"), "short_id", "original_url", "user_id", "is_deleted"))
     return parts[0].unionByName(parts[1])
+
+
+@query("shorten_job", sql(f"""
+select req_id, cast(case when k = 99 then 400 else status end as int) as status,
+       case when k <> 99 then case when kind = 'text' then '{fx.BASE}/' || short_id
+                                   else '{{"result":"{fx.BASE}/' || short_id || '"}}' end end as body,
+       req_id % 4 = 0 as reissued
+from (select r.req_id, r.k, case when r.event_type = 'signup' then 'text' else 'json' end as kind,
+             {sql_id("r.original_url")} as short_id,
+             case when f.req_id = r.req_id then 201 else 409 end as status
+      from requests r left join (
+        select original_url, arg_min(req_id, (ts, req_id)) as req_id
+        from requests where event_type in ('signup', 'purchase') and k <> 99 group by original_url) f
+      on f.original_url = r.original_url
+      where r.event_type in ('signup', 'purchase'))"""))
+def shorten_job(spark, sf_dir):
+    """Both shorten routes from raw requests to responses; some users come without a token."""
+    url = F.when(F.col("k") == 99, F.lit(" ")).otherwise(F.col("original_url"))
+    signed = sign_token(F.col("user_id"), fx.TOKEN_KEY)
+    raw = fx.requests(spark, sf_dir).where(F.col("event_type").isin(*fx.SHORTEN_TYPES)).select(
+        "req_id",
+        "ts",
+        F.when(F.col("req_id") % 4 != 0, signed).alias("token"),
+        F.when(F.col("event_type") == "signup", "text").otherwise("json").alias("kind"),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit(" "), url)).otherwise(F.to_json(F.struct(url.alias("url")))).alias("body"),
+    )
+    store = stores.ParquetStore(spark, scratch_path(spark, "store"))
+    answers = service.shorten_job(raw, store, 0, fx.BASE, fx.TOKEN_KEY).responses
+    return answers.select("req_id", "status", "body", F.col("new_token").isNotNull().alias("reissued"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkweave import schemas
 from linkweave.constants import BAD_REQUEST
+from linkweave.functions.ids import link_uuid
 from linkweave.functions.json import encode_event
 from linkweave.functions.text import compressible, deleted_flag
 from linkweave.session import stage
@@ -36,8 +37,10 @@ def append_links(links: DataFrame, path: str, load_id: int) -> None:
     """Add links to an NDJSON folder as one load.
 
     The load is visible whole or not at all, and writing it again replaces it. Loads are read in
-    the order of their numbers.
+    the order of their numbers. Links without a ``uuid`` get one here, where it is written down.
     """
+    if "uuid" not in links.columns:
+        links = links.withColumn("uuid", link_uuid())
     folder = f"{path}/load={load_id:012d}"
     link_lines(links).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from linkweave.constants import DELETE_BATCH_SIZE, DELETE_TICK_MS
 
+# Buffers per user.
+LANES = 8
 FLUSHES = "user_id string, lane int, reason string, ids array<string>"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,13 +73,13 @@ class DeleteBuffer(StatefulProcessor):
 
 
 def stream_deletes(
-    tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE, tick_ms: int = DELETE_TICK_MS, lanes: int = 1
+    tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE, tick_ms: int = DELETE_TICK_MS, lanes: int = LANES
 ) -> DataFrame:
     """Stream of flushed batches ``user_id, lane, reason, ids`` from delete tasks
     ``req_id, ts, user_id, ids``.
 
-    A user with very many deletes is spread over ``lanes`` buffers of its own; each flushes by the
-    same two rules, and every id is flushed once. Start it from a ``state_session``.
+    Each user has ``lanes`` buffers, so one user's deletes do not all go to one task. Each buffer
+    flushes by the same two rules, and every id is flushed once. Start it from a ``state_session``.
     """
     lane = F.pmod(F.xxhash64("req_id"), F.lit(lanes)).cast("int")
     return (

@@ -58,6 +58,15 @@ def test_authenticate(column):
     assert tuple(column(lambda c: tokens.verify_token(c, KEY), [seen[1].token])[0]) == ("fresh", True)
 
 
+def test_new_users_get_a_token_of_their_own(spark):
+    rows = spark.range(20).select("id", tokens.derived_user_id(F.col("id"), KEY).alias("derived"), ids.new_user_id().alias("random"))
+    for source in ("derived", "random"):
+        seen = rows.select(tokens.authenticate(F.lit(None).cast("string"), KEY, F.col(source)).alias("a")).select("a.*")
+        checked = seen.select("user_id", tokens.verify_token(F.col("token"), KEY).alias("t")).collect()
+        assert all(r.t.valid and r.t.user_id == r.user_id and re.fullmatch("[0-9a-f]{32}", r.user_id) for r in checked)
+        assert len({r.user_id for r in checked}) == 20
+
+
 def test_unicode_trim(column):
     inputs = ["", "   \n\t   ", WHITE_SPACE, f"{WHITE_SPACE}a b{WHITE_SPACE}", "​a", "\x1ca"]
     assert column(text.unicode_trim, inputs) == ["", "", "", "a b", "​a", "\x1ca"]

@@ -22,9 +22,11 @@ def links(spark):
 
 def test_resolve(spark):
     clicks = spark.createDataFrame([(1, "a"), (2, "c"), (3, "nonexistent"), (4, ""), (5, None), (6, "a")], "req_id long, short_id string")
-    got = {r.req_id: (r.status, r.location) for r in lookup.resolve(clicks, links(spark)).collect()}
     one = (307, "https://one.example")
-    assert got == {1: one, 2: (410, None), 3: (404, None), 4: (400, None), 5: (400, None), 6: one}
+    for rows_per_task in (1, 1_000_000):
+        out = lookup.resolve(clicks, links(spark), rows_per_task=rows_per_task)
+        got = {r.req_id: (r.status, r.location) for r in out.collect()}
+        assert got == {1: one, 2: (410, None), 3: (404, None), 4: (400, None), 5: (400, None), 6: one}
 
 
 def test_user_lists(spark):
