@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from linkweave.constants import COMPRESSIBLE, WHITE_SPACE
 
-# scheme://authority, then the path up to a query or fragment
-_HTTP_PATH = r"^https?://[^/?#]*([^?#]*)"
-_HTTP_AUTHORITY = r"^https?://([^/?#]*)"
-# user info, host (name or bracketed address), port
+# user info, host (a name or a bracketed address) and port of a URL
 _AUTHORITY = (
-    r"^(?:[A-Za-z0-9\-._~!$&'()*+,;=:%@]*@)?"
-    r"(?:\[[^\]@]*\]|[^\x00-\x20\x7f\\^`{|}%@:\[\]]*)(?::[0-9]*)?$"
+    r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:%@]*@)?"
+    r"(?:\[[^\]@]*\]|[^\x00-\x20\x7f\\^`{|}%@:\[\]/?#]*)(?::[0-9]*)?"
 )
-# what makes a URL unreadable: a control character before the fragment, a broken escape in it
+# a readable http URL: no control character, no broken escape in the fragment; group 1 is the path
+# without one leading slash
+_HTTP_URL = (
+    r"(?s)^(?![^#]*#.*%(?![0-9A-Fa-f]{2}))https?://" + _AUTHORITY + r"(?:/([^?#\x00-\x1f\x7f]*))?"
+    r"(?:\?[^#\x00-\x1f\x7f]*)?(?:#.*)?$"
+)
+# what makes a connection string unreadable: a control character before the fragment, a broken escape
 _CONTROL = r"^[^#]*[\x00-\x1f\x7f]"
-_BAD_FRAGMENT = r"(?s)#.*%(?![0-9A-Fa-f]{2})"
 _BAD_ESCAPE = r"^[^?]*%(?![0-9A-Fa-f]{2})"
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
 
@@ -42,17 +44,11 @@ def clean_delete_id(entry: Column) -> Column:
     A full http or https URL stands for its decoded path without one leading slash. Its host is not
     compared with ours. Everything else is taken as it is.
     """
-    raw_path = F.regexp_extract(entry, _HTTP_PATH, 1)
+    path = F.regexp_extract(entry, _HTTP_URL, 1)
     # in a path a plus sign is a plus sign, not a space
-    path = F.try_url_decode(F.replace(raw_path, F.lit("+"), F.lit("%2B")))
-    well_formed = (
-        F.rlike(F.regexp_extract(entry, _HTTP_AUTHORITY, 1), F.lit(_AUTHORITY))
-        & ~F.rlike(entry, F.lit(_CONTROL))
-        & ~F.rlike(entry, F.lit(_BAD_FRAGMENT))
-    )
-    short = F.when(well_formed, F.regexp_replace(path, "^/", ""))
+    short = F.nullif(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), F.lit(""))
     is_url = entry.startswith("http://") | entry.startswith("https://")
-    return F.when(~is_url, entry).when(short != "", short)
+    return F.when(is_url, short).otherwise(entry)
 
 
 def mask_password(dsn: Column) -> Column:
@@ -65,7 +61,7 @@ def mask_password(dsn: Column) -> Column:
         F.rlike(dsn, F.lit(_CONTROL))
         | F.rlike(dsn, F.lit(_BAD_ESCAPE))
         | dsn.startswith(":")
-        | ~F.rlike(authority, F.lit(_AUTHORITY))
+        | ~F.rlike(authority, F.lit(f"^{_AUTHORITY}$"))
     )
     masked = F.regexp_replace(dsn, "(" + _SCHEME + ")([^:/?#@]*)(?::[^/?#]*)?@", "$1$2:***@")
     return F.when(unreadable, F.lit("***")).otherwise(masked)

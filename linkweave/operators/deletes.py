@@ -12,12 +12,12 @@ from linkweave.operators.shorten import arrival
 
 def clean_deletes(requests: DataFrame) -> DataFrame:
     """``req_id, ts, user_id, pos, short_id`` of every id of every request (column ``ids``)."""
-    return (
-        requests.select("req_id", "ts", "user_id", F.posexplode("ids").alias("pos", "_entry"))
-        .withColumn("short_id", clean_delete_id(F.col("_entry")))
-        .where(F.col("short_id").isNotNull())
-        .drop("_entry")
+    named = F.transform(
+        "ids", lambda entry, pos: F.struct(pos.alias("pos"), clean_delete_id(entry).alias("short_id"))
     )
+    # cleaned and filtered inside the array: a filter on rows would clean each id a second time
+    kept = F.filter(named, lambda item: item["short_id"].isNotNull())
+    return requests.select("req_id", "ts", "user_id", F.inline(kept))
 
 
 def group_deletes(deletes: DataFrame) -> DataFrame:

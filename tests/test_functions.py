@@ -101,7 +101,10 @@ def test_clean_delete_id(column):
         "http://h:8x/a": None,
         "http://h/a\u0001": None,
         "http://h/a#%zz": None,
+        "http://h/a#%41": "a",
+        "http://h/a?%zz": "a",
         "ftp://h/a": "ftp://h/a",
+        "http://h/" + "%41" * 20000 + "?" + "q" * 20000 + "#" + "%41" * 20000: "A" * 20000,
     }
     assert column(text.clean_delete_id, list(cases)) == list(cases.values())
 
