@@ -14,7 +14,7 @@ from linkweave.operators.skew import ROWS_PER_TASK, lookup
 from linkweave.session import stage
 
 # Undecided (batch, URL) pairs that one task may decide in sequence.
-SWEEP_PAIRS = 100_000
+SWEEP_PAIRS = 1_000_000
 # Rounds before the sweep is considered.
 ROUNDS_BEFORE_SWEEP = 1
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the package relies on. Safe to call any number of times."""
@@ -38,7 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def _scratch_folder(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/linkweave/{spark.sparkContext.applicationId}"
+    parts = [scratch_root(spark), "linkweave", spark.sparkContext.applicationId, _scope.get()]
+    return "/".join(part for part in parts if part)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,6 +58,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end. For work that goes on for ever, such as the
+    micro-batches of a stream; its results must be written elsewhere by then."""
+    token = _scope.set(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+        _scope.reset(token)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from linkweave.operators.lookup import resolve
 from linkweave.operators.shorten import new_links, shorten_unique
+from linkweave.session import scratch_scope
 from linkweave.sources.stores import LinkStore, ParquetStore
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -24,7 +25,11 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def _start(stream: DataFrame, work: Sink, checkpoint: str, trigger: Mapping) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            work(batch, batch_id)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_shorten(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave import schemas
 from linkweave.operators import responses
-from linkweave.session import scratch_path, scratch_root, stage
+from linkweave.session import drop_scratch, scratch_path, scratch_root, scratch_scope, stage
 from linkweave.sources import readers, stores, writers
 
 DAY = dt.datetime(2024, 1, 1)
@@ -184,3 +184,18 @@ def test_scratch_folder(spark):
     assert configured is None or root == configured.rstrip("/")
     frame = spark.createDataFrame([(1, DAY)], "a int, t timestamp_ntz")
     assert stage(frame, "x").schema == frame.schema and stage(frame, "x").collect() == frame.collect()
+
+
+def test_staged_data_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("linkweave.session.scratch_root", lambda _: str(tmp_path))
+
+    def folders():
+        return {p.parent.name.split("-")[0] + "/" + p.name.split("-")[0] for p in tmp_path.glob("linkweave/*/**/[a-z]*-*") if p.is_dir()}
+
+    kept = stage(spark.range(3), "kept")
+    with scratch_scope(spark):
+        stage(spark.range(3), "inner")
+        assert any("inner" in f for f in folders())
+    assert not any("inner" in f or "scope" in f for f in folders()) and kept.count() == 3
+    drop_scratch(spark)
+    assert not folders()

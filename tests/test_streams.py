@@ -1,10 +1,12 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from test_shorten import REQUEST, make_requests, sequential
 
 from linkweave import schemas
+from linkweave.session import scratch_path
 from linkweave.sources import readers, stores
 from linkweave.streaming import buffer, jobs
 
@@ -34,6 +36,9 @@ def test_shorten_gives_the_same_table_however_it_is_cut(spark, tmp_path, parts):
     assert {r.req_id: (r.status, r.short_id) for r in outcomes.collect()} == sequential(rows, [])
     assert outcomes.count() == len(rows)
     assert store.links().count() == len({r[3] for r in rows})
+    # what the micro-batches staged is gone
+    staged = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    assert not list(staged.glob("scope-*"))
 
 
 def test_a_micro_batch_that_runs_again_gives_the_same_outcomes(spark, tmp_path):
