@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkweave.functions.text import clean_delete_id, deleted_flag
 from linkweave.operators.ranking import number_rows
 from linkweave.operators.shorten import arrival
+from linkweave.operators.skew import ROWS_PER_TASK, lookup
 
 
 def clean_deletes(requests: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def apply_deletes(links: DataFrame, deletes: DataFrame) -> DataFrame:
     )
 
 
-def delete_times(links: DataFrame, deletes: DataFrame) -> DataFrame:
+def delete_times(links: DataFrame, deletes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``short_id, _deleted`` with the arrival of the first delete that hits each link.
 
     ``links`` has ``_created``; a delete that came before its link does nothing.
@@ -59,7 +60,7 @@ def delete_times(links: DataFrame, deletes: DataFrame) -> DataFrame:
     hits = deletes.select("short_id", "user_id", at.alias("_at"))
     owned = links.select("short_id", "user_id", "_created")
     return (
-        hits.join(owned, ["short_id", "user_id"])
+        lookup(hits, owned, ["short_id", "user_id"], ["_at"], "inner", None, rows_per_task)
         .where(F.col("_at") > F.col("_created"))
         .groupBy("short_id")
         .agg(F.min("_at").alias("_deleted"))

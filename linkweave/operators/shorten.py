@@ -6,6 +6,7 @@ Two modes. ``unique``: an original URL has one link, later requests get the stor
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,9 +69,14 @@ def matching(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return stored.join(wanted.select(key), key, "left_semi")
 
 
-def id_collisions(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+def id_collisions(
+    candidates: DataFrame,
+    stored: DataFrame,
+    salt_by: Sequence[str] = ("req_id",),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Candidates whose ``short_id`` is in the store already."""
-    return candidates.join(stored.select("short_id"), "short_id", "left_semi")
+    return lookup(candidates, stored.select("short_id"), ["short_id"], salt_by, "left_semi", None, rows_per_task)
 
 
 def assign_ids(

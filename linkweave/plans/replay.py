@@ -35,7 +35,7 @@ def replay(log: DataFrame, rows_per_task: int = ROWS_PER_TASK, **id_options) ->
     """
     shortened, created = _shortens(log, rows_per_task, id_options)
     removals = log.where(F.col("kind") == DELETE)
-    deleted = delete_times(created, clean_deletes(removals))
+    deleted = delete_times(created, clean_deletes(removals), rows_per_task)
     lives = stage(created.join(deleted, "short_id", "left"), "lives")
     removed = _outcome(
         removals, "DELETE", F.lit(LIST_URI), F.when(F.size("ids") > 0, ACCEPTED).otherwise(BAD_REQUEST)

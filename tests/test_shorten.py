@@ -94,6 +94,14 @@ def test_requests_without_a_free_id_fail(spark):
     assert sorted(r.status for r in append) == [201] + [500] * 7
 
 
+def test_id_collisions(spark):
+    candidates = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i}") for i in range(30)], "req_id long, short_id string")
+    stored = spark.createDataFrame([("hot",), ("s3",), ("zz",)], "short_id string")
+    for rows_per_task in (4, 1_000_000):
+        got = shorten.id_collisions(candidates, stored, rows_per_task=rows_per_task)
+        assert sorted(r.req_id for r in got.collect()) == sorted([3, *(i for i in range(30) if i % 3)])
+
+
 def test_append_mode_makes_a_link_per_request(spark):
     rows = make_requests(50, 5)
     got = shorten.shorten_append(spark.createDataFrame(rows, REQUEST))

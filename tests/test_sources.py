@@ -199,3 +199,31 @@ def test_staged_data_is_removed(spark, tmp_path, monkeypatch):
     assert not any("inner" in f or "scope" in f for f in folders()) and kept.count() == 3
     drop_scratch(spark)
     assert not folders()
+
+
+class _Session:
+    """Just enough of a session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default=None):
+        return default
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_only_a_local_session_may_use_a_folder_of_its_own(monkeypatch, tmp_path):
+    monkeypatch.setattr("tempfile.mkdtemp", lambda prefix: str(tmp_path / prefix))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(_Session("spark://host:7077"))
+    local = _Session("local[2]")
+    assert scratch_root(local) == scratch_root(local) == str(tmp_path / "linkweave-")
