@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import mixing, quality, secrets
+from linkweave.llm import language, linedup, mixing, neardup, quality, secrets, toxicity
 from linkweave.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bbit_neardup": lambda spark, sf: neardup.components(load(spark, sf, "documents"), shingle=2),
+    "op2_line_dedup": lambda spark, sf: linedup.deduplicated(load(spark, sf, "documents").select("doc_id", "text")),
     "op3_quality_rules": lambda spark, sf: quality.quality(load(spark, sf, "documents")),
+    "op6_language_id": lambda spark, sf: language.identify(load(spark, sf, "documents")),
+    "op7_toxicity": lambda spark, sf: toxicity.score(load(spark, sf, "documents"), load(spark, sf, "labels")),
     "op9_secret_scan": lambda spark, sf: secrets.scan(load(spark, sf, "documents")),
     "op10_source_mixing": lambda spark, sf: mixing.mix(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")),
 }
 ORACLES: dict[str, str] = {
+    "op1_bbit_neardup": neardup.oracle(shingle=2),
     "op3_quality_rules": quality.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
