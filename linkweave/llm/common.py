@@ -68,10 +68,24 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     return left.join(other, condition, how).drop(*names)
 
 
+def most_frequent(table: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of a staged table with the greatest counts, at most ``limit``: all from a count on that
+    is found from a histogram of logarithms. No task sorts or gathers the rows. Which rows go in does not depend on ties."""
+    level = F.floor(F.log(F.col(count).cast("double")) * 10)
+    histogram = table.where(F.col(count) > 0).groupBy(level.alias("level")).count().collect()
+    least, held = None, 0
+    for row in sorted(histogram, reverse=True):
+        held += row["count"]
+        if held > limit:
+            break
+        least = row.level
+    return table.where((F.col(count) > 0) & (level >= least)) if least is not None else table.where(F.lit(False))
+
+
 def held_out(modulus: int, remainder: int):
     """Whether a document is kept from training. A document without an id is never trained on."""
     code = F.crc32(F.col("doc_id").cast("string"))
     return F.coalesce(code % modulus == remainder, F.lit(True))
 
 
-__all__ = ["DOCUMENT", "KEY", "attach", "fits_broadcast", "held_out", "load", "session", "stage", "view"]
+__all__ = ["DOCUMENT", "KEY", "attach", "fits_broadcast", "held_out", "load", "most_frequent", "session", "stage", "view"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language, linedup, mixing, neardup, quality, secrets, toxicity
+from linkweave.llm import language, languagemodel, linedup, mixing, neardup, quality, secrets, toxicity
 from linkweave.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": lambda spark, sf: quality.quality(load(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: language.identify(load(spark, sf, "documents")),
     "op7_toxicity": lambda spark, sf: toxicity.score(load(spark, sf, "documents"), load(spark, sf, "labels")),
+    "op8_pitman_yor_scores": lambda spark, sf: languagemodel.score(load(spark, sf, "documents")),
     "op9_secret_scan": lambda spark, sf: secrets.scan(load(spark, sf, "documents")),
     "op10_source_mixing": lambda spark, sf: mixing.mix(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")),
 }

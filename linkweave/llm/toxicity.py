@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import held_out, session, stage, view
+from linkweave.llm.common import held_out, most_frequent, session, stage, view
 
 # The models learn from at most FIT_DOCS labelled documents of each class, those with the least hashes; of these one
 # in CALIBRATE is kept to fit the curve from log-likelihoods to a score. WORDS and PAIRS bound the tables that are sent out.
@@ -130,16 +130,16 @@ def fit(sample: DataFrame) -> KneserNey:
     of = lambda c: F.count_if(F.col("toxic") == c)
     pairs = stage(runs.distinct().groupBy("before", "word").agg(of(0).alias("k0"), of(1).alias("k1")), "pairs")
     words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.count_if("k0 > 0").alias("k0"), F.count_if("k1 > 0").alias("k1"))
-    words = words.where("kinds > 1").orderBy(F.desc("kinds"), "word").limit(WORDS)
+    words = most_frequent(stage(words.where("kinds > 1"), "kinds"), "kinds", WORDS)
     starts = pairs.groupBy("before").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"))
     words = words.join(starts, F.col("word") == F.col("before"), "left").drop("before").fillna(0)
     words = stage(words, "words")
     name = words.select(F.col("word").alias("known"))
     often = pairs.where(F.greatest("k0", "k1") > RARE_PAIRS).join(name, F.col("word") == F.col("known"), "left_semi")
     often = often.join(name, F.col("before") == F.col("known"), "left_semi")
-    often = often.orderBy(F.desc(F.col("k0") + F.col("k1")), "before", "word").limit(PAIRS)
+    often = most_frequent(stage(often.withColumn("all", F.col("k0") + F.col("k1")), "often"), "all", PAIRS).drop("all")
     rows = lambda df: [tuple(r) for r in df.toPandas().itertuples(index=False)]
-    model = estimate(rows(words.orderBy("word")), rows(often))
+    model = estimate(rows(words.orderBy("word")), rows(often.orderBy("before", "word")))
     spare = sample.where("spare").select("text", "toxic").mapInArrow(_featurer(model), "toxic int, a double, b double, c double")
     spare = spare.orderBy("a", "b", "c", "toxic").collect()
     if spare and len({r.toxic for r in spare}) == 2:
