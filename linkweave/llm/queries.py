@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language, languagemodel, linedup, mixing, neardup, quality, secrets, toxicity
+from linkweave.llm import decontaminate, language, languagemodel, licenses, linedup, mixing, neardup, quality, secrets, toxicity
 from linkweave.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bbit_neardup": lambda spark, sf: neardup.components(load(spark, sf, "documents"), shingle=2),
     "op2_line_dedup": lambda spark, sf: linedup.deduplicated(load(spark, sf, "documents").select("doc_id", "text")),
     "op3_quality_rules": lambda spark, sf: quality.quality(load(spark, sf, "documents")),
+    "op4_benchmark_leaks": lambda spark, sf: decontaminate.contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
+    "op5_license_scan": lambda spark, sf: licenses.scan(load(spark, sf, "documents")),
     "op6_language_id": lambda spark, sf: language.identify(load(spark, sf, "documents")),
     "op7_toxicity": lambda spark, sf: toxicity.score(load(spark, sf, "documents"), load(spark, sf, "labels")),
     "op8_pitman_yor_scores": lambda spark, sf: languagemodel.score(load(spark, sf, "documents")),
