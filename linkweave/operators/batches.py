@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.constants import BAD_REQUEST, CREATED, FAILED, ID_CHARSET, ID_LENGTH
 from linkweave.functions.ids import short_id
 from linkweave.functions.text import is_blank
-from linkweave.operators.shorten import assign_ids
+from linkweave.operators.shorten import assign_ids, matching
 from linkweave.operators.skew import ROWS_PER_TASK, lookup
-from linkweave.session import stage
-
-# Undecided (batch, URL) pairs that one task may decide in sequence.
-SWEEP_PAIRS = 1_000_000
-# Rounds before the sweep is considered.
-ROUNDS_BEFORE_SWEEP = 1
+from linkweave.session import scratch_path, stage
 
 
 def valid_batch(items: DataFrame) -> DataFrame:
@@ -75,95 +69,103 @@ def batch_save(items: DataFrame, links: DataFrame | None = None, **id_options) -
     return assign_ids(rows, "_key", "_key", links, **id_options).drop("_key")
 
 
-def decide_batches(
-    items: DataFrame,
-    links: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    rounds_before_sweep: int = ROUNDS_BEFORE_SWEEP,
-    sweep_pairs: int = SWEEP_PAIRS,
-) -> DataFrame:
+def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Unique mode: ``batch_id, accepted`` for batches taken in ``batch_id`` order.
 
     A batch is accepted when it repeats no URL and holds none of the store or of an earlier accepted
-    batch; a refused batch blocks nobody. In each round a batch that comes first for all its URLs is
-    accepted, and one sharing a URL with an accepted batch is refused. The earliest open batch is
-    always decided, so the rounds end. Long chains of overlapping batches take many rounds; once few
-    pairs are left, one bounded task decides them in sequence, with the same result.
+    batch; a refused batch blocks nobody. Batches are decided in rounds:
+
+    * a batch that comes first for all URLs that it shares with open batches is accepted;
+    * a batch whose only earlier open holder, for all its URLs, is one batch is the opposite of that one. Such
+      batches point to it; each round a pointer takes over the pointer of its target, so a chain of n batches
+      is settled in about log2(n) rounds;
+    * whoever shares a URL with an accepted batch is refused.
+
+    The earliest open batch is always decided, so the rounds end. URLs that only one open batch holds are dropped, so
+    the work shrinks with each round. Every step is a join or an aggregate over staged tables; verdicts
+    are written per round into one folder.
     """
+    spark = items.sparkSession
     per_url = items.groupBy("batch_id", "original_url").agg(F.count(F.lit(1)).alias("_copies"))
     flawed = F.col("_copies") > 1
     if links is not None:
-        stored = links.select("original_url").distinct().withColumn("_stored", F.lit(True))
-        per_url = lookup(per_url, stored, ["original_url"], ["batch_id"], "left", None, rows_per_task)
+        per_url = stage(per_url, "per_url")
+        stored = stage(matching(links.select("original_url"), per_url, "original_url").distinct(), "stored")
+        per_url = lookup(per_url, stored.withColumn("_stored", F.lit(True)), ["original_url"], ["batch_id"])
         flawed = flawed | F.col("_stored").isNotNull()
     pairs = stage(per_url.select("batch_id", "original_url", flawed.alias("_flawed")), "pairs")
     clean = pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"), F.count(F.lit(1)).alias("_n"))
-    decided = [clean.where("not _clean").select("batch_id", F.lit(False).alias("accepted"))]
-    pairs = lookup(
-        pairs.drop("_flawed"),
-        clean.where("_clean").drop("_clean"),
-        ["batch_id"],
-        ["original_url"],
-        "left_semi",
-        "_n",
-        rows_per_task,
-    )
-    done_rounds = 0
-    while True:
-        pairs = stage(pairs, "open")
-        n_open = pairs.count()
-        if n_open == 0:
-            break
-        if done_rounds >= rounds_before_sweep and n_open <= sweep_pairs:
-            decided.append(_sweep(pairs))
-            break
-        verdicts, pairs = _round(pairs, rows_per_task)
-        decided.append(verdicts)
-        done_rounds += 1
-    result = decided[0]
-    for part in decided[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _round(pairs: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of the batches decided now, and the pairs that stay open."""
-    one = F.count(F.lit(1))
-    first = pairs.groupBy("original_url").agg(F.min("batch_id").alias("_first"), one.alias("_n"))
-    seen = stage(lookup(pairs, first, ["original_url"], ["batch_id"], "left", "_n", rows_per_task), "first")
-    mine = F.col("batch_id") == F.col("_first")
-    winners = seen.groupBy("batch_id").agg(F.bool_and(mine).alias("_wins")).where("_wins")
-    rivals = seen.groupBy("_first").agg(one.alias("_n"))
-    winners = winners.select(F.col("batch_id").alias("_first"), "_wins").join(rivals, "_first")
-    judged = lookup(seen, winners, ["_first"], ["batch_id", "original_url"], "left", "_n", rows_per_task)
-    state = stage(
-        judged.groupBy("batch_id").agg(
-            F.bool_and(mine).alias("accepted"), F.bool_or(F.col("_wins").isNotNull()).alias("_settled"), one.alias("_n")
-        ),
-        "state",
+    folder = scratch_path(spark, "verdicts")
+    verdicts = 0
+
+    def decide(rows: DataFrame) -> DataFrame:
+        """Write verdicts of a round; returns those of all rounds."""
+        nonlocal verdicts
+        rows.select("batch_id", "accepted").write.parquet(f"{folder}/round={verdicts}")
+        verdicts += 1
+        return spark.read.schema(rows.select("batch_id", "accepted").schema).parquet(folder).select("batch_id", "accepted")
+
+    decided = decide(clean.where("not _clean").select("batch_id", F.lit(False).alias("accepted")))
+    kept = clean.where("_clean").drop("_clean")
+    pairs = stage(lookup(pairs.drop("_flawed"), kept, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task), "open")
+    pointers = None
+    while not pairs.isEmpty():
+        state, pairs_with_first = _round(pairs, pointers, decided)
+        accepted = state.where("accepted").select("batch_id")
+        taken = stage(pairs_with_first.join(accepted, "batch_id", "left_semi").select("original_url").distinct(), "taken")
+        beaten = pairs_with_first.join(taken, "original_url", "left_semi").select("batch_id").distinct()
+        beaten = beaten.join(accepted, "batch_id", "left_anti").select("batch_id", F.lit(True).alias("_beaten"))
+        # one row per batch of this round: accepted, refused, or null where it stays open
+        state = state.join(beaten, "batch_id", "left")
+        state = state.withColumn("accepted", F.when(F.col("_beaten"), False).otherwise(F.col("accepted"))).drop("_beaten")
+        state = stage(state, "state")
+        decided = decide(state.where("accepted is not null"))
+        pointers = state.where("accepted is null").select("batch_id", "_to", "_odd")
+        still = pointers.select("batch_id")
+        pairs = stage(pairs_with_first.where("_shared").join(still, "batch_id", "left_semi").select("batch_id", "original_url"), "open")
+    return decided
+
+
+def _round(pairs: DataFrame, pointers: DataFrame | None, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``batch_id, accepted, _to, _odd`` of the batches of staged ``pairs``, and the pairs with ``_shared``: whether another open batch has the URL.
+
+    ``_to`` is a batch that this one depends on alone, ``_odd`` whether it is its opposite.
+    """
+    # the first two holders of each URL; the limit is taken before the shuffle, so a hot URL costs two rows per task
+    rank = F.row_number().over(Window.partitionBy("original_url").orderBy("batch_id"))
+    two = pairs.withColumn("_rank", rank).where("_rank <= 2")
+    holders = two.groupBy("original_url").agg(F.min("batch_id").alias("_first"), F.max("batch_id").alias("_second"))
+    holders = stage(holders.where("_first < _second"), "holders")
+    seen = stage(pairs.join(holders, "original_url", "left").withColumn("_shared", F.col("_first").isNotNull()), "seen")
+    first = ~F.col("_shared") | (F.col("batch_id") == F.col("_first"))
+    second = F.col("batch_id") == F.col("_second")
+    parent = F.when(second, F.col("_first"))
+    facts = seen.groupBy("batch_id").agg(
+        F.bool_and(first).alias("_wins"), F.bool_and(first | second).alias("_simple"),
+        F.min(parent).alias("_low"), F.max(parent).alias("_high"),
+    )
+    depends = F.when(F.col("_simple") & (F.col("_low") == F.col("_high")), F.col("_low"))
+    facts = facts.select("batch_id", "_wins", F.when(~F.col("_wins"), depends).alias("_to"))
+    if pointers is not None:
+        old = pointers.select("batch_id", F.col("_to").alias("_old"), F.col("_odd").alias("_old_odd"))
+        facts = facts.join(old, "batch_id", "left")
+        facts = facts.withColumn("_odd", F.coalesce(F.when(F.col("_old").isNotNull(), F.col("_old_odd")), F.lit(True)))
+        facts = facts.withColumn("_to", F.when(~F.col("_wins"), F.coalesce("_old", "_to"))).drop("_old", "_old_odd")
+    else:
+        facts = facts.withColumn("_odd", F.lit(True))
+    facts = stage(facts, "facts")
+    target = facts.select(
+        F.col("batch_id").alias("_to"), F.col("_wins").alias("_root"), F.col("_to").alias("_next"), F.col("_odd").alias("_next_odd")
     )
-    verdicts = state.where("_settled").select("batch_id", "accepted")
-    still = state.where("not _settled").select("batch_id", "_n")
-    rest = lookup(seen.drop("_first"), still, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task)
-    return verdicts, rest
-
-
-def _sweep(pairs: DataFrame) -> DataFrame:
-    """Decide the given pairs in sequence; the caller has checked that they are few."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        batches, verdicts = [], []
-        for batch_id, urls in frame.groupby("batch_id", sort=True)["original_url"]:
-            free = taken.isdisjoint(urls)
-            if free:
-                taken.update(urls)
-            batches.append(batch_id)
-            verdicts.append(free)
-        return pd.DataFrame({"batch_id": batches, "accepted": verdicts})
-
-    kind = pairs.schema["batch_id"].dataType.simpleString()
-    return pairs.groupBy(F.lit(0).alias("_all")).applyInPandas(run, f"batch_id {kind}, accepted boolean")
+    jumped = facts.join(target, "_to", "left")
+    odd = F.when(F.col("_next").isNotNull(), F.col("_odd") != F.col("_next_odd")).otherwise(F.col("_odd"))
+    jumped = jumped.withColumn("_odd", odd).withColumn("_to", F.coalesce("_next", "_to"))
+    # what the target came to, in this round or an earlier one
+    known = facts.where("_wins").select("batch_id", F.lit(True).alias("accepted")).unionByName(decided)
+    known = known.select(F.col("batch_id").alias("_to"), F.col("accepted").alias("_was"))
+    settled = jumped.join(known, "_to", "left")
+    accepted = F.when(F.col("_wins"), True).when(F.col("_was").isNotNull(), F.col("_was") != F.col("_odd"))
+    return stage(settled.select("batch_id", accepted.alias("accepted"), "_to", "_odd"), "settled"), seen
 
 
 def batch_save_unique(
@@ -171,10 +173,12 @@ def batch_save_unique(
 ) -> DataFrame:
     """Unique mode: every item with the ``status`` of its batch (201, 400, 500) and, for 201, its
     ``short_id``."""
-    valid = accepted_items(items, rows_per_task)
+    judged = stage(_judged(items), "judged")
+    good = judged.where(F.col("status") == CREATED).drop("status")
+    valid = lookup(items, good, ["batch_id"], ["pos"], "left_semi", "_n", rows_per_task)
     verdicts = decide_batches(valid.select("batch_id", "original_url"), links, rows_per_task)
     code = F.when(F.col("status") == BAD_REQUEST, BAD_REQUEST).when(F.col("accepted"), CREATED).otherwise(FAILED)
-    status = _judged(items).join(verdicts, "batch_id", "left").select("batch_id", "_n", code.cast("int").alias("status"))
+    status = judged.join(verdicts, "batch_id", "left").select("batch_id", "_n", code.cast("int").alias("status"))
     marked = stage(lookup(items, status, ["batch_id"], ["pos"], "left", "_n", rows_per_task), "marked")
     # an accepted batch holds no URL twice and shares none, so its URLs are unique
     saved = assign_ids(marked.where(F.col("status") == CREATED), "original_url", "original_url", links, **id_options)

@@ -25,17 +25,20 @@ from linkweave.operators.ranking import number_rows
 from linkweave.operators.skew import ROWS_PER_TASK, lookup
 from linkweave.session import stage
 
-_STEP = Decimal(10**19)
+# Request ids are signed longs, so a step in time must exceed their whole span.
+_STEP = Decimal(2 * 10**19)
+_LAST_MICROS, _LAST_ID = Decimal(10**18 - 1), Decimal(2**63 - 1)
 
 
 def arrival(ts: Column, req_id: Column) -> Column:
-    """Order of requests by time, then id, as one number.
+    """Order of requests by time, then id, as one number; a null time comes last, and so does a null id.
 
     A fixed-width key keeps ``min`` and ``max`` inside hash aggregation; a struct or string key
     would sort each partition first.
     """
-    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)")
-    return (micros * F.lit(_STEP) + req_id.cast("decimal(19,0)")).cast("decimal(38,0)")
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)"), F.lit(_LAST_MICROS).cast("decimal(18,0)"))
+    number = F.coalesce(req_id.cast("decimal(19,0)"), F.lit(_LAST_ID).cast("decimal(19,0)"))
+    return (micros * F.lit(_STEP) + number).cast("decimal(38,0)")
 
 
 def latest_by_id(links: DataFrame, order: Column) -> DataFrame:
@@ -131,7 +134,8 @@ def shorten_unique(
     """``requests`` (``req_id, ts, original_url`` and more) with ``short_id, status`` of the outcome.
 
     201 for the first request of a URL that has no link, 409 with the stored id for all others, also
-    when the link belongs to somebody else or is deleted, 500 when no free id was found.
+    when the link belongs to somebody else or is deleted, 500 when no free id was found. Copies of one
+    request (same ``req_id`` and ``ts``) get the same outcome; ``new_links`` makes one link of them.
     """
     order = arrival(F.col("ts"), F.col("req_id"))
     urls = requests.groupBy("original_url").agg(F.min(order).alias("_arrival"), F.count(F.lit(1)).alias("_n"))
@@ -163,8 +167,9 @@ def shorten_append(requests: DataFrame, links: DataFrame | None = None, **id_opt
 
 
 def new_links(outcomes: DataFrame) -> DataFrame:
-    """The links that the 201 outcomes add to the table."""
-    return outcomes.where(F.col("status") == CREATED).select(
+    """The links that the 201 outcomes add to the table, one per id however often a log repeats the request."""
+    made = outcomes.where(F.col("status") == CREATED).select("short_id", "original_url", "user_id", "ts")
+    return made.dropDuplicates(["short_id"]).select(
         "short_id",
         "original_url",
         "user_id",

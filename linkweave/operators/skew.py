@@ -7,22 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task may take.
+# Rows of one key that a single task may take, whatever the total.
 ROWS_PER_TASK = 1_000_000
-# Keys that get a salt. A key beyond the hottest 1024 has less than a thousandth of the rows.
-MAX_HOT_KEYS = 1024
+# A key is hot only if it has more than one part in HOT_PARTS of all rows, so fewer than HOT_PARTS keys can be.
+HOT_PARTS = 4096
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], count: str, rows_per_task: int) -> DataFrame:
-    """``on, _salts`` for the keys that need several tasks; at most ``MAX_HOT_KEYS`` rows.
+def hot_keys(counts: DataFrame, on: Sequence[str], count: str, rows_per_task: int, parts: int = HOT_PARTS) -> DataFrame:
+    """``on, _salts`` for the keys that need several tasks: all keys with more rows than a task takes.
 
-    Keys of equal count are taken in key order: both join sides must agree on what is hot.
+    A task takes ``rows_per_task`` rows, or one part in ``parts`` of the total where that is more: as the counts
+    add up to the total, fewer than ``parts`` keys can be above it, and none is left out.
     """
+    total = F.broadcast(counts.agg(F.sum(count).alias("_total")))
+    most = F.greatest(F.lit(float(rows_per_task)), F.col("_total") / parts)
     return (
-        counts.where(F.col(count) > rows_per_task)
-        .orderBy(F.desc(count), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts"))
+        counts.join(total, F.col("_total") > rows_per_task)
+        .where(F.col(count) > most)
+        .select(*on, F.ceil(F.col(count) / most).cast("int").alias("_salts"))
     )
 
 
@@ -37,21 +39,19 @@ def lookup(
 ) -> DataFrame:
     """Join many ``facts`` to ``dim``, which has at most one row per key.
 
-    Skew splitting at run time needs both join inputs to come straight from a shuffle. Where ``dim``
-    is an aggregate on the join key it is not used, so the rows of a hot key are spread here: each
-    goes to one of ``_salts`` tasks, chosen from its ``salt_by`` columns, and the one ``dim`` row of
-    that key is repeated for each of them. The broadcast part has at most ``MAX_HOT_KEYS`` rows.
+    Without ``count`` it is a plain join: where ``dim`` is a stored table, both inputs come straight
+    from a shuffle and the adaptive planner splits a hot key at run time, without counting first.
 
-    ``count`` names the column of ``dim`` that holds the number of facts of its key, or an upper
-    bound of it; it is dropped. Without it the facts are counted, which reads them once more.
+    Where ``dim`` is an aggregate on the join key that is not possible, but its counts come for
+    nothing: ``count`` names its column with the number of facts of the key, or an upper bound of it, and is
+    dropped. The rows of a hot key go to one of ``_salts`` tasks each, chosen from their ``salt_by``
+    columns, and the one ``dim`` row of that key is repeated for each. The broadcast part has fewer than ``HOT_PARTS`` rows.
     """
     on = list(on)
     if count is None:
-        count = "_rows"
-        counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias(count))
-    else:
-        counts, dim = dim, dim.drop(count)
-    hot = F.broadcast(hot_keys(counts, on, count, rows_per_task))
+        return facts.join(dim, on, how)
+    hot = F.broadcast(hot_keys(dim, on, count, rows_per_task))
+    dim = dim.drop(count)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = (
         facts.join(hot, on, "left")

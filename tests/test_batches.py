@@ -28,19 +28,24 @@ def random_items(seed, n_batches, n_urls, hot=0.0):
     ]
 
 
-@pytest.mark.parametrize("options", [{}, {"sweep_pairs": 0, "rows_per_task": 5}, {"rounds_before_sweep": 0}])
-def test_decisions_equal_a_sequential_pass(spark, options):
-    items = random_items(3, 60, 90, hot=0.15)
+@pytest.mark.parametrize("options,seed,urls", [({}, 3, 90), ({"rows_per_task": 5}, 3, 90), ({}, 11, 25), ({}, 12, 200)])
+def test_decisions_equal_a_sequential_pass(spark, options, seed, urls):
+    items = random_items(seed, 60, urls, hot=0.15)
     links = spark.createDataFrame([("s", "u1"), ("t", "u2")], LINK)
     got = batches.decide_batches(spark.createDataFrame(items, ITEM), links, **options)
     assert {r.batch_id: r.accepted for r in got.collect()} == sequential(items, {"u1", "u2"})
 
 
-def test_chain_of_batches(spark):
-    """Each batch shares a URL with the next: every second one is accepted."""
-    items = [(b, pos, "c", f"u{b + pos}") for b in range(40) for pos in range(2)]
-    got = batches.decide_batches(spark.createDataFrame(items, ITEM), rounds_before_sweep=1)
-    assert {r.batch_id: r.accepted for r in got.collect()} == {b: b % 2 == 0 for b in range(40)}
+def test_long_chain_of_batches(spark, monkeypatch):
+    """Each batch shares a URL with the next: every second one is accepted, in rounds that grow with the logarithm."""
+    rounds = []
+    inner = batches._round
+    monkeypatch.setattr(batches, "_round", lambda *a: rounds.append(1) or inner(*a))
+    chain = spark.range(5000).selectExpr("id as batch_id", "explode(array('u' || id, 'u' || (id + 1))) as original_url")
+    odd = spark.createDataFrame([(10_000, "u0"), (10_000, "x"), (10_001, "x"), (10_002, "x"), (10_002, "y"), (10_003, "y")], "batch_id long, original_url string")
+    got = {r.batch_id: r.accepted for r in batches.decide_batches(chain.union(odd)).collect()}
+    wanted = {b: b % 2 == 0 for b in range(5000)} | {10_000: False, 10_001: True, 10_002: False, 10_003: True}
+    assert got == wanted and len(rounds) < 30
 
 
 def test_one_blank_row_refuses_the_batch(spark):

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from linkweave.operators import deletes, flush, lookup
-from linkweave.operators.skew import MAX_HOT_KEYS, hot_keys
+from linkweave.operators.skew import HOT_PARTS, hot_keys
 from linkweave.sources import stores
 
 DAY = dt.datetime(2024, 1, 1)
@@ -43,18 +43,21 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     assert schemas and all("original_url" not in s and "created_at" not in s for s in schemas)
 
 
-def test_joins_for_hot_keys_vanish_when_there_are_none(spark, tmp_path):
+def test_clicks_are_read_once(spark, tmp_path):
     links = store(spark, tmp_path)
-    clicks = spark.createDataFrame([(i, f"s{i}") for i in range(9)], "req_id long, short_id string")
+    spark.createDataFrame([(i, f"s{i}") for i in range(9)], "req_id long, short_id string").write.parquet(f"{tmp_path}/clicks")
+    clicks = spark.read.parquet(f"{tmp_path}/clicks")
     final = plan(lookup.resolve(clicks, links.links()), run=True).split("Initial Plan")[0]
-    assert "TakeOrdered" not in final
+    assert len(re.findall(r"ReadSchema: struct<req_id:", final)) == 1
 
 
-def test_the_list_of_hot_keys_is_bounded(spark):
-    counts = spark.range(5000).select(F.col("id").alias("key"), F.lit(10).cast("long").alias("n"))
-    hot = hot_keys(counts, ["key"], "n", 3)
-    assert hot.count() == MAX_HOT_KEYS and {r._salts for r in hot.collect()} == {4}
-    assert [r.key for r in hot.orderBy("key").collect()] == list(range(MAX_HOT_KEYS))
+def test_every_hot_key_is_split(spark):
+    counts = spark.range(5000).select(F.col("id").alias("key"), F.when(F.col("id") < 1500, 1000).otherwise(1).cast("long").alias("n"))
+    hot = hot_keys(counts, ["key"], "n", 100)
+    rows = {r.key: r._salts for r in hot.collect()}
+    assert rows == {k: 3 for k in range(1500)}  # one part in 4096 of 1,503,500 rows is 367
+    even = hot_keys(counts.where("n = 1"), ["key"], "n", 0, parts=3500)
+    assert even.count() == 0 and HOT_PARTS > 1500
 
 
 def test_labels_need_no_shuffle_and_counts_are_combined_first(spark):

@@ -125,8 +125,18 @@ def test_latest_and_first(spark):
     assert {r.original_url: int(r.short_id) for r in index.collect()} == last
 
 
+def test_a_repeated_log_makes_one_link_per_url(spark):
+    rows = make_requests(40, 7)
+    log = spark.createDataFrame(rows + rows + [(900, None, "u1", "only-untimed"), (901, None, "u2", "only-untimed")], REQUEST)
+    got = shorten.shorten_unique(log)
+    links = shorten.new_links(got)
+    assert links.count() == links.select("short_id").distinct().count() == links.select("original_url").distinct().count() == 8
+    untimed = {r.req_id: r.status for r in got.where("ts is null").collect()}
+    assert untimed == {900: 201, 901: 409}
+
+
 def test_arrival_orders_by_time_then_id(spark):
-    values = [(dt.datetime(1969, 12, 31), 5), (dt.datetime(1970, 1, 1), 0), (DAY, 2**63 - 1), (DAY + dt.timedelta(microseconds=1), 0)]
+    values = [(dt.datetime(1969, 12, 31), -(2**63)), (dt.datetime(1969, 12, 31), 9 * 10**18), (dt.datetime(1969, 12, 31, 0, 0, 0, 1), -9 * 10**18), (dt.datetime(1970, 1, 1), 0), (DAY, 2**63 - 1), (DAY + dt.timedelta(microseconds=1), 0)]
     frame = spark.createDataFrame(values, "ts timestamp_ntz, req_id long")
     got = [r.a for r in frame.select("ts", "req_id", shorten.arrival(F.col("ts"), F.col("req_id")).alias("a")).orderBy("ts", "req_id").collect()]
-    assert got == sorted(got) and len(set(got)) == 4
+    assert got == sorted(got) and len(set(got)) == 6
