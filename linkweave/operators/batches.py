@@ -69,6 +69,17 @@ def batch_save(items: DataFrame, links: DataFrame | None = None, **id_options) -
     return assign_ids(rows, "_key", "_key", links, **id_options).drop("_key")
 
 
+def batch_save_append(items: DataFrame, links: DataFrame | None = None, **id_options) -> DataFrame:
+    """Append mode: every item with the ``status`` of its batch (201, 400) or, where it got no free id, 500."""
+    judged = stage(_judged(items), "judged")
+    marked = stage(lookup(items, judged, ["batch_id"], ["pos"], "left", "_n"), "marked")
+    rows = marked.where(F.col("status") == CREATED).withColumn("_key", _item_key())
+    saved = assign_ids(rows, "_key", "_key", links, **id_options).drop("_key")
+    saved = saved.withColumn("status", F.when(F.col("short_id").isNull(), FAILED).otherwise(F.col("status")).cast("int"))
+    others = marked.where(F.col("status") != CREATED).withColumn("short_id", F.lit(None).cast("string"))
+    return saved.unionByName(others)
+
+
 def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Unique mode: ``batch_id, accepted`` for batches taken in ``batch_id`` order.
 

@@ -35,6 +35,28 @@ def tombstones(deletes: DataFrame) -> DataFrame:
     return deletes.select("short_id", "user_id").distinct()
 
 
+def timed_tombstones(deletes: DataFrame) -> DataFrame:
+    """``short_id, user_id, ts``: the time of the last delete of each pair. A delete without a time counts as one that comes last."""
+    known = F.col("ts").cast("timestamp_ntz") if "ts" in deletes.columns else F.lit(None).cast("timestamp_ntz")
+    at = F.coalesce(known, F.lit("9999-12-31").cast("timestamp_ntz"))
+    return deletes.groupBy("short_id", "user_id").agg(F.max(at).alias("ts"))
+
+
+def apply_timed_deletes(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """``links`` with ``is_deleted`` set where the owner's delete came at or after ``created_at``.
+
+    A delete before its link existed named an unknown id and does nothing. Marks are ``short_id, user_id, ts``.
+    """
+    last = marks.groupBy("short_id", "user_id").agg(F.max("ts").alias("_last"))
+    born = F.coalesce(F.col("created_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    flag = deleted_flag(F.col("is_deleted")) | F.coalesce(F.col("_last") >= born, F.lit(False))
+    return (
+        links.join(last, ["short_id", "user_id"], "left")
+        .withColumn("is_deleted", flag)
+        .select(*links.columns)
+    )
+
+
 def delete_match(links: DataFrame, deletes: DataFrame) -> DataFrame:
     """Links that the deletes hit."""
     return links.join(tombstones(deletes), ["short_id", "user_id"], "left_semi")

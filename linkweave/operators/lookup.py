@@ -19,6 +19,7 @@ from linkweave.constants import (
 from linkweave.functions.text import deleted_flag, join_path
 from linkweave.operators.ranking import number_rows
 from linkweave.operators.skew import ROWS_PER_TASK, lookup
+from linkweave.session import stage
 
 
 def _newest_first(links: DataFrame) -> list[Column]:
@@ -94,6 +95,7 @@ def user_urls(users: DataFrame, links: DataFrame, base: str) -> DataFrame:
     """
     asking = users.select("user_id").distinct()
     named = asking.where(F.coalesce(F.col("user_id"), F.lit("")) != "")
+    named = stage(named, "named")  # as a stored table a hot user's links can be split at run time
     listed = (
         order_by_created(lookup(links, named, ["user_id"], ["short_id"], how="left_semi"))
         .select(

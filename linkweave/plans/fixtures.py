@@ -16,7 +16,7 @@ from linkweave.operators.shorten import first_by_original
 from linkweave.session import prepare
 
 BASE = "http://localhost:8080"
-TOKEN_KEY = "bench-secret-key-32bytes-long!!"
+TOKEN_KEY = "linkweave: a key for made-up users"
 SHORTEN_TYPES = ("signup", "purchase")
 FOLLOW_TYPES = ("view", "click")
 DELETE_TYPE = "error"
@@ -157,11 +157,11 @@ def shorten_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same in SQL ------------------------------------------------------------------------------
 
 
-def sql_id(key: str) -> str:
+def sql_id(key: str, attempt: int = 0, length: int = ID_LENGTH) -> str:
     """Short id of a text expression."""
-    number = f"('0x' || substr(sha256({key} || ':0'), 1, 15))::BIGINT"
+    number = f"('0x' || substr(sha256({key} || ':{attempt}'), 1, 15))::BIGINT"
     base = len(ID_CHARSET)
-    digits = (f"substr('{ID_CHARSET}', cast(({number} // {base**i}) % {base} as int) + 1, 1)" for i in range(ID_LENGTH))
+    digits = (f"substr('{ID_CHARSET}', cast(({number} // {base**i}) % {base} as int) + 1, 1)" for i in range(length))
     return "(" + " || ".join(digits) + ")"
 
 
@@ -201,6 +201,15 @@ SQL_VIEWS = {
   select l.* exclude (is_deleted), exists (
            select 1 from deletes d where d.short_id = l.short_id and d.user_id = l.user_id) as is_deleted
   from links l""",
+    "timed_links": """
+  select l.* exclude (is_deleted), exists (
+           select 1 from deletes d where d.short_id = l.short_id and d.user_id = l.user_id and d.ts >= l.created_at) as is_deleted
+  from links l""",
+    "timed_resolved": """
+  select c.req_id, c.ts, c.user_id, c.short_id,
+         cast(case when l.short_id is null then 404 when l.is_deleted then 410 else 307 end as int) as status,
+         case when not l.is_deleted then l.original_url end as location
+  from clicks c left join timed_links l on l.short_id = c.short_id""",
     "resolved": """
   select c.req_id, c.ts, c.user_id, c.short_id,
          cast(case when l.short_id is null then 404 when l.is_deleted then 410 else 307 end as int) as status,

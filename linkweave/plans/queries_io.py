@@ -159,7 +159,7 @@ def read_requests(spark, sf_dir):
 @query("read_audit", sql("select ts, action, user_id, url from audit"))
 def read_audit(spark, sf_dir):
     path = scratch_path(spark, "audit")
-    writers.append_audit(audit_events(spark, sf_dir), path)
+    writers.append_audit(audit_events(spark, sf_dir), path, 0)
     return readers.read_audit(spark, path)
 
 
@@ -200,9 +200,10 @@ def rewrite_links(spark, sf_dir):
 def append_audit(spark, sf_dir):
     path = scratch_path(spark, "audit")
     events = audit_events(spark, sf_dir)
-    for action in ("shorten", "follow"):
-        writers.append_audit(events.where(F.col("action") == action), path)
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    # the first load runs twice
+    for load_id, action in ((0, "shorten"), (1, "follow"), (0, "shorten")):
+        writers.append_audit(events.where(F.col("action") == action), path, load_id)
+    return spark.read.text(path, recursiveFileLookup=True).withColumnRenamed("value", "line")
 
 
 def _endpoint(payload: str) -> int:
@@ -214,7 +215,36 @@ def _endpoint(payload: str) -> int:
 select payload, cast(case when length(payload) % 7 = 0 then 503 else 202 end as int) as http_status, length(payload) % 7 <> 0 as delivered
 from (select {SQL_EVENT} as payload from audit)"""))
 def post_audit(spark, sf_dir):
-    return writers.post_audit(audit_events(spark, sf_dir), _endpoint)
+    return writers.post_audit(audit_events(spark, sf_dir), _endpoint).select("payload", "http_status", "delivered")
+
+
+def _unsteady(first_try: bool):
+    """An endpoint that, on the first try, refuses some events and breaks off on others."""
+
+    def send(payload: str) -> int:
+        if first_try and len(payload) % 5 == 0:
+            raise ValueError("bad status line")
+        return 503 if first_try and len(payload) % 7 == 0 else 202
+
+    return send
+
+
+@query("http_sink", sql(f"""
+select payload, count(*) as delivered from (select {SQL_EVENT} as payload from audit) group by payload"""))
+def http_sink(spark, sf_dir):
+    """Events by HTTP from a stream; those that fail at first arrive with the next micro-batch or at the end."""
+    out = scratch_path(spark, "posted")
+    _in_slices(
+        spark,
+        _events_with_time(spark, sf_dir),
+        "events",
+        lambda stream, checkpoint: jobs.stream_audit_fanout(
+            _as_events(stream), {"http": jobs.http_sink(out, _unsteady(True))}, checkpoint
+        ),
+    )
+    writers.post_pending(spark, out, _unsteady(False), 1_000_000)
+    sent = spark.read.parquet(out).where("delivered")
+    return sent.groupBy("payload").agg(F.count(F.lit(1)).alias("delivered"))
 
 
 @query("write_responses", sql(f"""
@@ -297,7 +327,7 @@ def _store(spark, sf_dir, label):
     return store
 
 
-@query("stream_delete_apply", sql("select short_id, original_url, user_id, is_deleted from deleted_links"))
+@query("stream_delete_apply", sql("select short_id, original_url, user_id, is_deleted from timed_links"))
 def stream_delete_apply(spark, sf_dir):
     store = _store(spark, sf_dir, "store")
     _in_slices(
@@ -309,7 +339,7 @@ def stream_delete_apply(spark, sf_dir):
     return store.read().select("short_id", "original_url", "user_id", "is_deleted")
 
 
-@query("stream_resolve", sql("select req_id, status, location from resolved"))
+@query("stream_resolve", sql("select req_id, status, location from timed_resolved"))
 def stream_resolve(spark, sf_dir):
     store = _store(spark, sf_dir, "store")
     store.tombstone(ids_to_delete(spark, sf_dir), 0)
@@ -388,9 +418,10 @@ def flush_window(spark, sf_dir):
 
 
 @query("link_store", sql("""
-select s.store, l.short_id, l.original_url, l.user_id, l.is_deleted from deleted_links l, (values ('parquet'), ('ndjson')) s(store)"""))
+select 'parquet' as store, short_id, original_url, user_id, is_deleted from timed_links
+union all select 'ndjson', short_id, original_url, user_id, is_deleted from deleted_links"""))
 def link_store(spark, sf_dir):
-    """The same work on two kinds of store: append, tombstone, compact, read."""
+    """The same work on two kinds of store: append, tombstone, compact, read. NDJSON lines have no times."""
     links, marks = fx.links(spark, sf_dir), ids_to_delete(spark, sf_dir)
     parts = []
     for name, kind in (("parquet", stores.ParquetStore), ("ndjson", stores.NdjsonStore)):
@@ -430,3 +461,109 @@ def shorten_job(spark, sf_dir):
     store = stores.ParquetStore(spark, scratch_path(spark, "store"))
     answers = service.shorten_job(raw, store, 0, fx.BASE, fx.TOKEN_KEY).responses
     return answers.select("req_id", "status", "body", F.col("new_token").isNotNull().alias("reissued"))
+
+
+@query("store_early_deletes", sql("select short_id, original_url, user_id, is_deleted from timed_links"))
+def store_early_deletes(spark, sf_dir):
+    """All deletes are written before all links; only those that came after their link act."""
+    store = stores.ParquetStore(spark, scratch_path(spark, "store"))
+    store.tombstone(ids_to_delete(spark, sf_dir), 0)
+    store.append(fx.links(spark, sf_dir), 1)
+    return store.read().select("short_id", "original_url", "user_id", "is_deleted")
+
+
+# --- routes: from raw requests to answers. Every fourth user comes without a token ------------------
+
+
+def _signed():
+    return F.when(F.col("req_id") % 4 != 0, sign_token(F.col("user_id"), fx.TOKEN_KEY)).alias("token")
+
+
+def _full_store(spark, sf_dir):
+    store = _store(spark, sf_dir, "store")
+    store.tombstone(ids_to_delete(spark, sf_dir), 0)
+    return store
+
+
+@query("shorten_job_append", sql(f"""
+select req_id, cast(201 as int) as status, '{fx.BASE}/' || {sql_id("cast(req_id as varchar)")} as body, req_id % 4 = 0 as reissued
+from signups"""))
+def shorten_job_append(spark, sf_dir):
+    raw = fx.shorten_requests(spark, sf_dir, "signup").select(
+        "req_id", "ts", _signed(), F.lit("text").alias("kind"), F.col("original_url").alias("body")
+    )
+    store = stores.ParquetStore(spark, scratch_path(spark, "store"))
+    answers = service.shorten_job(raw, store, 0, fx.BASE, fx.TOKEN_KEY, service.APPEND).responses
+    return answers.select("req_id", "status", "body", F.col("new_token").isNotNull().alias("reissued"))
+
+
+@query("follow_job", sql("select req_id, status, location, req_id % 4 = 0 as reissued from timed_resolved"))
+def follow_job(spark, sf_dir):
+    raw = fx.clicks(spark, sf_dir).select("req_id", "ts", _signed(), "short_id")
+    answers = service.follow_job(raw, _full_store(spark, sf_dir), fx.TOKEN_KEY).responses
+    return answers.select("req_id", "status", "location", F.col("new_token").isNotNull().alias("reissued"))
+
+
+@query("list_job", sql(f"""
+, asked as (select req_id, case when req_id % 4 <> 0 then user_id end as user_id from clicks),
+lists as (select user_id, row_number() over (partition by user_id order by created_at desc, short_id) as pos, short_id, original_url
+          from timed_links where not is_deleted and user_id in (select user_id from asked where user_id is not null))
+select 'answer' as part, req_id, cast(case when l.user_id is null then 204 else 200 end as int) as status,
+       cast(null as varchar) as user_id, cast(null as bigint) as pos, cast(null as varchar) as short_url, cast(null as varchar) as original_url
+from asked a left join (select distinct user_id from lists) l on l.user_id = a.user_id
+union all
+select 'list', null, null, user_id, pos, '{fx.BASE}/' || short_id, original_url from lists"""))
+def list_job(spark, sf_dir):
+    raw = fx.clicks(spark, sf_dir).select("req_id", "ts", "user_id", _signed())
+    found = service.list_job(raw.drop("user_id"), _full_store(spark, sf_dir), fx.BASE, fx.TOKEN_KEY)
+    answers = found.responses.select(F.lit("answer").alias("part"), "req_id", "status")
+    lists = found.lists.select(F.lit("list").alias("part"), "user_id", "pos", "short_url", "original_url")
+    return answers.unionByName(lists, allowMissingColumns=True)
+
+
+@query("delete_job", sql("""
+select 'answer' as part, req_id, cast(202 as int) as status, cast(null as varchar) as short_id, cast(null as boolean) as is_deleted from deletes
+union all
+select 'link', null, null, l.short_id, exists (
+  select 1 from deletes d where d.req_id % 4 <> 0 and d.short_id = l.short_id and d.user_id = l.user_id and d.ts >= l.created_at)
+from links l"""))
+def delete_job(spark, sf_dir):
+    raw = fx.delete_requests(spark, sf_dir).select("req_id", "ts", _signed(), F.to_json("ids").alias("body"))
+    store = _store(spark, sf_dir, "store")
+    found = service.delete_job(raw, store, 0, fx.TOKEN_KEY).responses
+    answers = found.select(F.lit("answer").alias("part"), "req_id", "status")
+    links = store.read().select(F.lit("link").alias("part"), "short_id", "is_deleted")
+    return answers.unionByName(links, allowMissingColumns=True)
+
+
+@query("batch_job", sql(f"""
+select i.batch_id as req_id, s.status, i.pos, i.correlation_id, '{fx.BASE}/' || {sql_id("(i.batch_id || ':' || i.new_pos)")} as short_url
+from (select *, cast(row_number() over (partition by batch_id order by pos) - 1 as int) as new_pos from batch_items) i
+join batch_status s on s.batch_id = i.batch_id where s.status = 201
+union all select batch_id, status, null, null, null from batch_status where status <> 201""").replace("i.pos, i.correlation_id", "i.new_pos as pos, i.correlation_id"))
+def batch_job(spark, sf_dir):
+    """Batches of raw JSON bodies in append mode."""
+    item = F.struct("pos", "correlation_id", "original_url")
+    bodies = fx.batch_items(spark, sf_dir).groupBy("batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    body = F.to_json(F.transform("items", lambda x: F.struct(x["correlation_id"].alias("correlation_id"), x["original_url"].alias("original_url"))))
+    raw = bodies.select(F.col("batch_id").alias("req_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("string").alias("token"), body.alias("body"))
+    store = stores.ParquetStore(spark, scratch_path(spark, "store"))
+    answers = service.batch_job(raw, store, 0, fx.BASE, fx.TOKEN_KEY, service.APPEND).responses
+    return answers.select("req_id", "status", "pos", "correlation_id", "short_url")
+
+
+@query("stream_tumbling_deletes", sql("""
+select time_bucket(interval 1 hour, ts) as window_start, user_id, count(*) as n_ids from deletes
+where time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from deletes) group by all"""))
+def stream_tumbling_deletes(spark, sf_dir):
+    """Ticks that are over: the watermark, without lateness here, has passed their end."""
+    out = scratch_path(spark, "ticks")
+    _in_slices(
+        spark,
+        ids_to_delete(spark, sf_dir),
+        "ticking",
+        lambda stream, checkpoint: jobs.stream_tumbling_deletes(
+            stream.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "0 seconds", out, checkpoint
+        ),
+    )
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("window_start"), "user_id", "n_ids")

@@ -11,6 +11,7 @@ from linkweave.plans.catalog import query
 from linkweave.plans.fixtures import sql, sql_id
 from linkweave.plans.replay import replay as run_replay
 from linkweave.plans.routes import route_class as classify
+from linkweave.session import stage
 
 
 def order_of(ts="ts", req_id="req_id"):
@@ -68,6 +69,45 @@ def shorten_conflicts(spark, sf_dir):
     return shorten.shorten_unique(coming, stored).select("req_id", "short_id", "status")
 
 
+@query("shorten_repeated_log", sql("""
+select p.req_id, l.short_id, cast(case when p.req_id = l.link_id then 201 else 409 end as int) as status, l.link_id is not null as linked
+from shorten_requests p join links l on l.original_url = p.original_url, (values (0), (1)) twice(copy)"""))
+def shorten_repeated_log(spark, sf_dir):
+    """Every request is there twice; its links are still one per URL, so each outcome meets one."""
+    log = fx.shorten_requests(spark, sf_dir)
+    outcomes = stage(shorten.shorten_unique(log.unionByName(log)), "outcomes")
+    made = shorten.new_links(outcomes).select("short_id", F.lit(True).alias("linked"))
+    return outcomes.join(made, "short_id", "left").select("req_id", "short_id", "status", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+@query("shorten_append", sql(f"""
+select req_id, {sql_id("cast(req_id as varchar)")} as short_id, cast(201 as int) as status from shorten_requests"""))
+def shorten_append(spark, sf_dir):
+    return shorten.shorten_append(fx.shorten_requests(spark, sf_dir)).select("req_id", "short_id", "status")
+
+
+def _sql_attempts(length: int) -> str:
+    """The five attempts at ids of so few characters that many are taken: round by round, first by key wins."""
+    parts = ["todo0 as (select original_url || '#' || req_id as key from requests union all select url || '#p' || page_id from pages)"]
+    for k in range(5):
+        earlier = " union all ".join(f"select id from won{i}" for i in range(k)) or "select null where false"
+        parts.append(
+            f"try{k} as (select key, {sql_id('key', k, length)} as id from todo{k}), won{k} as (select key, id from (select key, id, "
+            f"row_number() over (partition by id order by key) as place from try{k}) where place = 1 and id not in ({earlier}))"
+        )
+        parts.append(f"todo{k + 1} as (select key from todo{k} where key not in (select key from won{k}))")
+    union = " union all ".join(f"select key, id as short_id, {k} as attempt from won{k}" for k in range(5))
+    return f", {', '.join(parts)} select key, short_id from ({union}) union all select key, null from todo5"
+
+
+@query("assign_ids_collisions", sql("select 1 from requests").replace("select 1 from requests", _sql_attempts(2)))
+def assign_ids_collisions(spark, sf_dir):
+    """Ids of two characters, fewer than there are keys: all five attempts are made, and the rest get none."""
+    events = fx.requests(spark, sf_dir).select(F.concat_ws("#", "original_url", F.col("req_id").cast("string")).alias("key"))
+    pages = fx.table(spark, sf_dir, "pages").select(F.concat(F.col("url"), F.lit("#p"), F.col("page_id").cast("string")).alias("key"))
+    return shorten.assign_ids(events.unionByName(pages), "key", "key", length=2).select("key", "short_id")
+
+
 @query("user_urls", sql(f"""
 select u.user_id, cast(case when l.short_id is null then 204 else 200 end as int) as status,
        case when l.short_id is not null then

@@ -69,13 +69,13 @@ def _follows(log: DataFrame, lives: DataFrame, rows_per_task: int) -> DataFrame:
         "req_id", "short_id", arrival(F.col("ts"), F.col("req_id")).alias("_at")
     )
     status = (
-        F.when(F.col("short_id") == "", BAD_REQUEST)
+        F.when(F.coalesce(F.col("short_id"), F.lit("")) == "", BAD_REQUEST)
         .when(F.col("_created").isNull() | (F.col("_created") > F.col("_at")), NOT_FOUND)
         .when(F.col("_deleted") < F.col("_at"), GONE)
         .otherwise(FOLLOWED)
     )
     seen = lookup(clicks, lives.drop("user_id"), ["short_id"], ["req_id"], rows_per_task=rows_per_task)
-    return _outcome(seen, "GET", F.concat(F.lit("/"), F.col("short_id")), status)
+    return _outcome(seen, "GET", F.concat(F.lit("/"), F.coalesce(F.col("short_id"), F.lit(""))), status)
 
 
 def _lists(log: DataFrame, lives: DataFrame) -> DataFrame:

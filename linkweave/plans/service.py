@@ -22,6 +22,9 @@ from linkweave.sources.readers import decode_batch_bodies, decode_url_bodies
 from linkweave.sources.stores import ParquetStore
 
 
+UNIQUE, APPEND = "unique", "append"
+
+
 @dataclass
 class Answers:
     """``responses``: ``req_id, status`` and what the route returns. ``audit``: events. ``lists``:
@@ -43,14 +46,17 @@ def identify(requests: DataFrame, key: str) -> DataFrame:
     )
 
 
-def shorten_job(requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str) -> Answers:
-    """POST of one URL, as text or as a JSON object, in ``unique`` mode."""
+def shorten_job(
+    requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str, mode: str = UNIQUE
+) -> Answers:
+    """POST of one URL, as text or as a JSON object. ``mode`` is ``unique`` or ``append``."""
     known = identify(requests, key)
     texts = known.where(F.col("kind") == responses.TEXT).withColumn("url", F.col("body"))
     objects = decode_url_bodies(known.where(F.col("kind") == responses.JSON)).drop("status")
-    asked = responses.valid_shorten(texts.unionByName(objects).drop("body"))
+    asked = stage(responses.valid_shorten(texts.unionByName(objects).drop("body")), "asked")
     valid = asked.where("valid").drop("valid", "url")
-    outcomes = stage(shorten.shorten_unique(valid, store.links(before=load_id)), "outcomes")
+    save = shorten.shorten_unique if mode == UNIQUE else shorten.shorten_append
+    outcomes = stage(save(valid, store.links(before=load_id)), "outcomes")
     store.append(shorten.new_links(outcomes), load_id)
     no_text = F.lit(None).cast("string")
     refused = asked.where("not valid").select(
@@ -62,16 +68,17 @@ def shorten_job(requests: DataFrame, store: ParquetStore, load_id: int, base: st
 
 def follow_job(requests: DataFrame, store: ParquetStore, key: str) -> Answers:
     """GET of a short id (column ``short_id``)."""
-    outcomes = lookup.resolve(identify(requests, key), store.read())
+    asked = stage(identify(requests, key), "asked")
+    outcomes = stage(lookup.resolve(asked, store.read_for("short_id", asked)), "outcomes")
     return Answers(outcomes.select("req_id", "status", "location", "new_token"), responses.follow_events(outcomes))
 
 
 def list_job(requests: DataFrame, store: ParquetStore, base: str, key: str) -> Answers:
     """GET of the user's links. The links are in ``lists`` once per user, not once per request."""
-    asked = identify(requests, key).select("req_id", "user_id", "new_token")
-    links = store.read()
+    asked = stage(identify(requests, key).select("req_id", "user_id", "new_token"), "asked")
+    links = stage(store.read_for("user_id", asked), "links")  # the store is read once
     status = lookup.user_has_links(asked, links).drop("n_links")
-    answered = spread_join(asked, status, ["user_id"], ["req_id"]).select("req_id", "user_id", "status", "new_token")
+    answered = spread_join(asked, stage(status, "status"), ["user_id"], ["req_id"]).select("req_id", "user_id", "status", "new_token")
     lists = lookup.user_urls(asked, links, base).where(F.col("status") == OK).drop("status")
     return Answers(answered, lists=lists)
 
@@ -83,15 +90,18 @@ def delete_job(requests: DataFrame, store: ParquetStore, load_id: int, key: str)
     return Answers(asked.select("req_id", "status", "new_token"))
 
 
-def batch_job(requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str) -> Answers:
-    """POST of a list of URLs, all or nothing. The requests act in the order of ``req_id``.
+def batch_job(requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str, mode: str = UNIQUE) -> Answers:
+    """POST of a list of URLs, all or nothing. The requests act in the order of ``req_id``; in ``append`` mode every valid batch is saved.
 
     The answer of a saved batch is one row per item, in order of ``pos``.
     """
     known = identify(requests, key)
     items = stage(decode_batch_bodies(known.withColumnRenamed("req_id", "batch_id")).drop("body"), "items")
     good = items.where("status is null").drop("status")
-    saved = stage(batches.batch_save_unique(good, store.links(before=load_id)), "saved")
+    if mode == UNIQUE:
+        saved = stage(batches.batch_save_unique(good, store.links(before=load_id)), "saved")
+    else:
+        saved = stage(batches.batch_save_append(good, store.links(before=load_id)), "saved")
     created = saved.where(F.col("status") == CREATED)
     store.append(shorten.new_links(created), load_id)
     rows = created.select(

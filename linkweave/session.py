@@ -31,9 +31,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    root = context.getCheckpointDir()
+    root = root or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not context.master.startswith("local"):

@@ -114,7 +114,8 @@ def decode_delete_bodies(bodies: DataFrame) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.AUDIT).json(path)
+    """Audit events of all loads in a folder."""
+    return spark.read.schema(schemas.AUDIT).option("recursiveFileLookup", "true").json(path)
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave import schemas
@@ -51,9 +52,13 @@ def rewrite_links(links: DataFrame, path: str) -> None:
     link_lines(links).write.mode("error").option("ignoreNullFields", "false").json(path)
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Append one JSON line per event; an empty user is left out of the line."""
-    events.withColumn("user_id", F.nullif(F.col("user_id"), F.lit(""))).write.mode("append").json(path)
+def append_audit(events: DataFrame, path: str, load_id: int) -> None:
+    """Append one JSON line per event; an empty user is left out of the line.
+
+    A load has a folder of its own: a job that runs again replaces its events instead of doubling them.
+    """
+    lines = events.withColumn("user_id", F.nullif(F.col("user_id"), F.lit("")))
+    lines.write.mode("overwrite").json(f"{path}/load={load_id:012d}")
 
 
 def http_sender(endpoint: str, timeout: float = 10.0) -> Send:
@@ -73,28 +78,60 @@ def http_sender(endpoint: str, timeout: float = 10.0) -> Send:
 
 
 def post_audit(events: DataFrame, send: Send) -> DataFrame:
-    """Send every event as JSON; returns ``payload, http_status, delivered``.
+    """Send every event as JSON; returns ``payload, http_status, error, delivered``.
 
-    A failing event does not stop the others. The outcomes are written down, so reading them again
+    A failing event does not stop the others: whatever ``send`` raises is that event's own, by name in ``error``. The outcomes are written down, so reading them again
     does not send again; a task that is retried does, hence delivery is at least once.
     """
 
+    payload = encode_event(F.col("ts"), F.col("action"), F.col("user_id"), F.col("url"))
+    return post_payloads(events.select(payload.alias("payload")), send)
+
+
+def post_payloads(payloads: DataFrame, send: Send) -> DataFrame:
     def deliver(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            statuses = []
+            statuses, errors = [], []
             for payload in frame["payload"]:
                 try:
-                    statuses.append(send(payload))
-                except OSError:
-                    statuses.append(None)
-            yield frame.assign(http_status=pd.array(statuses, dtype="Int32"))
-
-    payload = encode_event(F.col("ts"), F.col("action"), F.col("user_id"), F.col("url"))
-    sent = events.select(payload.alias("payload")).mapInPandas(deliver, "payload string, http_status int")
+                    status, error = send(payload), None
+                except Exception as raised:  # an event's failure must not end the job
+                    status, error = None, type(raised).__name__
+                statuses.append(status)
+                errors.append(error)
+            yield frame.assign(http_status=pd.array(statuses, dtype="Int32"), error=errors)
+
+    sent = payloads.select("payload").mapInPandas(deliver, "payload string, http_status int, error string")
     delivered = F.coalesce(F.col("http_status") < BAD_REQUEST, F.lit(False))
     return stage(sent.withColumn("delivered", delivered), "posted")
 
 
+def pending_audit(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """``payload`` of the events that the last load before ``before`` could not deliver, those it took over included."""
+    try:
+        rows = spark.read.schema("payload string, delivered boolean, load long").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "payload string")
+    rows = rows.where(F.col("load") < before)
+    last = rows.agg(F.max("load").alias("last"))  # one row
+    return rows.join(F.broadcast(last), F.col("load") == F.col("last")).where("not delivered").select("payload")
+
+
+def post_pending(spark: SparkSession, path: str, send: Send, load_id: int, events: DataFrame | None = None) -> None:
+    """Send ``events`` and what earlier loads could not deliver; outcomes are written to load ``load_id`` of ``path``.
+
+    A load that runs again replaces its outcomes and starts from the same earlier load, so no event is lost.
+    """
+    payloads = pending_audit(spark, path, load_id)
+    if events is not None:
+        payload = encode_event(F.col("ts"), F.col("action"), F.col("user_id"), F.col("url"))
+        payloads = payloads.unionByName(events.select(payload.alias("payload")))
+    # a load without events still marks that it took over what was pending
+    post_payloads(payloads, send).write.mode("overwrite").parquet(f"{path}/load={load_id}")
+
+
 def write_links_table(links: DataFrame, url: str, table: str = "urls", batch_size: int = 10_000, **options) -> None:
     """Insert links into a database table. Resolve conflicts first: this only inserts."""
     rows = links.select("short_id", "original_url", "user_id", "is_deleted", "created_at", "updated_at")
@@ -117,6 +154,7 @@ def write_responses(responses: DataFrame, path: str) -> None:
     coded = responses.withColumn(
         "encoding", encoding(F.col("status"), F.col("content_type"), F.col("accepts_gzip"))
     ).drop("accepts_gzip")
+    coded = stage(coded, "coded")  # written twice below, made once
     for name, codec in (("gzip", "gzip"), ("identity", "none")):
         part = coded.where(F.col("encoding") == name).drop("encoding")
         part.write.option("compression", codec).json(f"{path}/encoding={name}")

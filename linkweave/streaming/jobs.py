@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from linkweave.operators.lookup import resolve
-from linkweave.operators.shorten import new_links, shorten_unique
+from linkweave.operators.shorten import new_links, shorten_append, shorten_unique
 from linkweave.session import scratch_scope
 from linkweave.sources.stores import LinkStore, ParquetStore
+from linkweave.sources.writers import Send, post_pending
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -33,10 +34,11 @@ def _start(stream: DataFrame, work: Sink, checkpoint: str, trigger: Mapping) ->
 
 
 def stream_shorten(
-    requests: DataFrame, store: ParquetStore, outcomes: str, checkpoint: str, trigger: Mapping = AVAILABLE_NOW
+    requests: DataFrame, store: ParquetStore, outcomes: str, checkpoint: str, trigger: Mapping = AVAILABLE_NOW,
+    mode: str = "unique",
 ) -> StreamingQuery:
-    """Shorten a stream of requests in ``unique`` mode: the first writer of a URL wins, across and
-    within micro-batches. Links go to ``store``, one outcome per request to ``outcomes``.
+    """Shorten a stream of requests. In ``unique`` mode the first writer of a URL wins, across and
+    within micro-batches; in ``append`` mode every request makes a link. Links go to ``store``, one outcome per request to ``outcomes``.
 
     Each micro-batch is reduced to its distinct URLs before the store is asked, so a hot URL costs
     no more than any other. The store is read without the batch's own load: a batch run again must
@@ -45,7 +47,8 @@ def stream_shorten(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         path = f"{outcomes}/batch={batch_id}"
-        shorten_unique(batch, store.links(before=batch_id)).write.mode("overwrite").parquet(path)
+        shorten = shorten_unique if mode == "unique" else shorten_append
+        shorten(batch, store.links(before=batch_id)).write.mode("overwrite").parquet(path)
         # the written outcomes, not a second evaluation of them
         store.append(new_links(batch.sparkSession.read.parquet(path)), batch_id)
 
@@ -65,7 +68,7 @@ def stream_resolve(
     """Resolve clicks against the links as they are when the micro-batch starts."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        resolve(batch, store.read()).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+        resolve(batch, store.read_for("short_id", batch)).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
 
     return _start(clicks, work, checkpoint, trigger)
 
@@ -98,6 +101,16 @@ def file_sink(path: str) -> Sink:
     return write
 
 
+def http_sink(path: str, send: Send) -> Sink:
+    """Audit events by ``send``, at least once: what a micro-batch could not deliver is kept in ``path`` and sent again with
+    the next one. ``post_pending`` sends the rest when the stream has ended."""
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        post_pending(batch.sparkSession, path, send, batch_id, batch)
+
+    return deliver
+
+
 def stream_tumbling_deletes(
     deletes: DataFrame, width: str, lateness: str, target: str, checkpoint: str, trigger: Mapping = AVAILABLE_NOW
 ) -> StreamingQuery:

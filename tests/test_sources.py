@@ -1,5 +1,6 @@
 import datetime as dt
 import gzip
+import http.client
 import io
 import json
 import urllib.error
@@ -73,8 +74,8 @@ def test_audit_file(spark, tmp_path):
     events = [(1700000000, "shorten", "u1", "https://example.com/a"), (42, "follow", "", "https://b.example/")]
     frame = spark.createDataFrame(events, schemas.AUDIT)
     path = str(tmp_path / "audit")
-    for _ in range(2):
-        writers.append_audit(frame, path)
+    for load_id in (0, 1, 0):  # a load that runs again replaces its events
+        writers.append_audit(frame, path, load_id)
     assert sorted({r.value for r in spark.read.text(path).collect()}) == [
         '{"ts":1700000000,"action":"shorten","user_id":"u1","url":"https://example.com/a"}',
         '{"ts":42,"action":"follow","url":"https://b.example/"}',
@@ -88,10 +89,11 @@ def test_post_audit_goes_on_after_a_failure(spark):
     def send(payload):
         number = json.loads(payload)["ts"]
         if number == 3:
-            raise TimeoutError
+            raise http.client.BadStatusLine("x")
         return 500 if number == 4 else 204
 
     got = writers.post_audit(events, send).collect()
+    assert {json.loads(r.payload)["ts"]: r.error for r in got if r.error} == {3: "BadStatusLine"}
     assert sorted((json.loads(r.payload)["ts"], r.http_status, r.delivered) for r in got) == [
         (0, 204, True), (1, 204, True), (2, 204, True), (3, None, False), (4, 500, False), (5, 204, True),
     ]
@@ -146,6 +148,21 @@ def test_links_table_options():
     assert "partitionColumn" not in readers.links_table_options("jdbc:x")
 
 
+def test_a_delete_before_its_link_does_nothing(spark, tmp_path):
+    store = stores.ParquetStore(spark, str(tmp_path))
+    hour = dt.timedelta(hours=1)
+    marks = [("early", "u", DAY - hour), ("late", "u", DAY + hour), ("late", "u", DAY - hour), ("other", "v", DAY + hour)]
+    store.tombstone(spark.createDataFrame(marks, "short_id string, user_id string, ts timestamp_ntz"), 0)
+    links = [(s, f"o{s}", "u", False, DAY, DAY) for s in ("early", "late", "other")]
+    schema = "short_id string, original_url string, user_id string, is_deleted boolean, created_at timestamp_ntz, updated_at timestamp_ntz"
+    store.append(spark.createDataFrame(links, schema), 1)
+    assert {r.short_id: r.is_deleted for r in store.read().collect()} == {"early": False, "late": True, "other": False}
+    asked = spark.createDataFrame([("late",), ("zz",), ("late",)], "short_id string")
+    assert [tuple(r)[::3] for r in store.read_for("short_id", asked).select("short_id", "user_id", "created_at", "is_deleted").collect()] == [("late", True)]
+    urls = spark.createDataFrame([("oearly",)], "original_url string")
+    assert [r.is_deleted for r in store.read_for("original_url", urls).collect()] == [False]
+
+
 @pytest.mark.parametrize("kind", [stores.ParquetStore, stores.NdjsonStore])
 def test_stores(spark, tmp_path, kind):
     store = kind(spark, str(tmp_path / "s"))
