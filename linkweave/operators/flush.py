@@ -5,10 +5,14 @@ depends on where the one before ended. To split a user with very many tasks, eac
 user's tasks is first summed up as a table: for every fill level the buffer can have on entry, the
 level on exit and the number of flushes. The tables of a user are chained, one row per piece, and
 then all pieces are numbered at the same time from their known entry level.
+
+Both passes stream: a task holds one Arrow batch of a sorted piece and the state between batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,39 +26,67 @@ _TABLE = "_piece long, user_id string, _level array<int>, _flushes array<long>"
 _ENTRY = "_piece long, user_id string, _entry_level int, _entry_batch long"
 
 
+def _flush_after(sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """For each task the place after the one that fills a buffer empty before it; ``len + 1`` if none does."""
+    total = np.cumsum(sizes)
+    before = total - sizes
+    return np.searchsorted(total, before + threshold) + 1
+
+
 def _summary(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Exit level and flush count for each entry level ``0 … threshold - 1``."""
-    # entry levels that have met stay together, so only distinct ones are carried on
-    levels, where = np.arange(threshold), np.arange(threshold)
-    flushes = np.zeros(threshold, dtype=np.int64)
-    for size in sizes:
-        levels = levels + size
-        full = levels >= threshold
-        if full.any():
-            flushes += full[where]
-            levels = np.where(full, 0, levels)
-            levels, back = np.unique(levels, return_inverse=True)
-            where = back[where]
-    return levels[where], flushes
-
-
-def _number(users, sizes, levels, batches, threshold: int) -> np.ndarray:
-    """Batch numbers of one piece; a user's entry level and batch stand in each of its rows."""
-    numbers, current, level, batch = [], object(), 0, 0
-    for user, size, entry_level, entry_batch in zip(users, sizes, levels, batches):
-        if user != current:
-            current, level, batch = user, entry_level, entry_batch
-        numbers.append(batch)
-        level += size
-        if level >= threshold:
-            level, batch = 0, batch + 1
-    return np.array(numbers, dtype=np.int64)
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    # from an empty buffer before each task, and before the end: where the last flush leaves off, by pointer doubling
+    goes = np.append(_flush_after(sizes, threshold), n + 1)
+    ends = goes > n
+    to = np.where(ends, np.arange(n + 1), goes)
+    count = (~ends).astype(np.int64)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        count, to = count + count[to], further
+    level = total[n] - total[to]
+    # the first flush from each entry level
+    entry = np.arange(threshold)
+    first = np.searchsorted(total[1:], threshold - entry) + 1
+    none = first > n
+    start = np.where(none, 0, first)
+    return np.where(none, entry + total[n], level[start]), np.where(none, 0, 1 + count[start])
+
+
+def _number(sizes: np.ndarray, level: int, batch: int, threshold: int) -> tuple[np.ndarray, int, int]:
+    """Batch numbers of one user's tasks in a row, and the level and batch they leave."""
+    n = len(sizes)
+    goes = _flush_after(sizes, threshold)
+    at = int(np.searchsorted(np.cumsum(sizes), threshold - level)) + 1
+    starts = []
+    while at <= n:
+        starts.append(at)
+        at = int(goes[at]) if at < n else n + 1
+    flushed = np.zeros(n + 1, dtype=np.int64)
+    flushed[starts] = 1
+    numbers = batch + np.cumsum(flushed)[:n]
+    left = int(sizes[starts[-1] :].sum()) if starts else level + int(sizes.sum())
+    return numbers, left, batch + len(starts)
+
+
+def _stretches(frame: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+    """(piece, user) and bounds of the stretches of equal ones in a sorted frame."""
+    piece, user = frame[PIECE].to_numpy(), frame["user_id"].to_numpy()
+    codes = pd.factorize(user, use_na_sentinel=False)[0]
+    cuts = np.flatnonzero((piece[1:] != piece[:-1]) | (codes[1:] != codes[:-1])) + 1
+    for start, end in zip(np.append(0, cuts), np.append(cuts, len(frame))):
+        yield (int(piece[start]), user[start]), int(start), int(end)
 
 
 def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> DataFrame:
     """``tasks`` (``req_id, ts, user_id, n_ids``) with ``batch_no``, 0, 1, 2 … per user.
 
-    A task is never split, so a batch may hold more than ``threshold`` ids.
+    A task is never split, so a batch may hold more than ``threshold`` ids. A piece of a user is summed up in
+    two arrays of ``threshold`` entries, and all pieces of one user are chained in one task: that is
+    a row per piece, not per task, but ``threshold`` should stay in the hundreds.
     """
     placed = lay_out(
         tasks.select("req_id", "ts", "user_id", F.col("n_ids").cast("bigint").alias("n_ids")),
@@ -68,17 +100,26 @@ def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> Data
         counts.withColumn("_pieces", F.count(F.lit(1)).over(of_user)).where("_pieces > 1").select("user_id", PIECE)
     )
 
-    def summarize(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(POSITION)
-        level, flushes = _summary(frame["n_ids"].to_numpy(), threshold)
-        return pd.DataFrame(
-            {
-                "_piece": [frame[PIECE].iloc[0]],
-                "user_id": [frame["user_id"].iloc[0]],
-                "_level": [level.astype(np.int32)],
-                "_flushes": [flushes],
-            }
-        )
+    def summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level, flushes = None, np.arange(threshold), np.zeros(threshold, dtype=np.int64)
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame(
+                {"_piece": [current[0]], "user_id": [current[1]], "_level": [level.astype(np.int32)], "_flushes": [flushes]}
+            )
+
+        for frame in frames:
+            sizes = frame["n_ids"].to_numpy()
+            for key, start, end in _stretches(frame) if len(frame) else ():
+                if key != current:
+                    if current is not None:
+                        yield row()
+                    current, level, flushes = key, np.arange(threshold), np.zeros(threshold, dtype=np.int64)
+                next_level, more = _summary(sizes[start:end], threshold)
+                flushes = flushes + more[level]
+                level = next_level[level]
+        if current is not None:
+            yield row()
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(PIECE)
@@ -95,25 +136,30 @@ def delete_batches(tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> Data
             }
         )
 
-    def number(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(POSITION)
-        inputs = (frame[c].tolist() for c in ("user_id", "n_ids", "_entry_level", "_entry_batch"))
-        return frame[["req_id", "ts", "user_id", "n_ids"]].assign(batch_no=_number(*inputs, threshold))
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level, batch = None, 0, 0
+        for frame in frames:
+            sizes = frame["n_ids"].to_numpy()
+            entry_level, entry_batch = frame["_entry_level"].to_numpy(), frame["_entry_batch"].to_numpy()
+            numbers = np.zeros(len(frame), dtype=np.int64)
+            for key, start, end in _stretches(frame) if len(frame) else ():
+                if key != current:
+                    current, level, batch = key, int(entry_level[start]), int(entry_batch[start])
+                numbers[start:end], level, batch = _number(sizes[start:end], level, batch, threshold)
+            yield frame[["req_id", "ts", "user_id", "n_ids"]].assign(batch_no=numbers)
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(PIECE).sortWithinPartitions(PIECE, POSITION)
 
     keys = [PIECE, "user_id"]
-    tables = (
-        placed.select(*keys, POSITION, "n_ids").join(spanning, keys).groupBy(*keys).applyInPandas(summarize, _TABLE)
-    )
+    cut = placed.select(*keys, POSITION, "n_ids").join(spanning, keys)
+    tables = in_order(cut).mapInPandas(summarize, _TABLE)
     entries = F.broadcast(tables.groupBy("user_id").applyInPandas(chain, _ENTRY))
     out = T.StructType(
         [placed.schema[c] for c in ("req_id", "ts", "user_id", "n_ids")] + [T.StructField("batch_no", T.LongType())]
     )
-    return (
-        placed.join(entries, keys, "left")
-        .fillna(0, ["_entry_level", "_entry_batch"])
-        .groupBy(PIECE)
-        .applyInPandas(number, out)
-    )
+    known = placed.join(entries, keys, "left").fillna(0, ["_entry_level", "_entry_batch"])
+    return in_order(known).mapInPandas(number, out)
 
 
 def even_batches(buffer: DataFrame, threshold: int = DELETE_BATCH_SIZE) -> DataFrame:
