@@ -18,8 +18,8 @@ PERCENT = 80
 # A pair is left out before the exact check only if so few of its low bits agree that a pair at the
 # threshold would do so with a probability under this.
 MISS = 1e-9
-# Members of one band that are compared with all its others in one round.
-REPRESENTATIVES = 64
+# Members of one group that are compared with all its others in one round.
+REPRESENTATIVES = 256
 # A hot band is met in several orders, so that its members do not hang on one document.
 ORDERS = 4
 CACHE_WORDS = 500_000
@@ -176,8 +176,8 @@ def _labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _bands(sketch: DataFrame, classes: DataFrame) -> DataFrame:
-    """``bucket, id, n_shingles, s0 … s3`` for the class representatives in bands with two or more of them, staged."""
+def _bands(sketch: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``bucket, id`` for the class representatives in bands with two or more of them, and ``id, n_shingles, s0 … s3`` of these, staged."""
     first = classes.select("set_key", F.col("class_id").alias("doc_id"))
     heads = sketch.join(first, ["set_key", "doc_id"]).withColumnRenamed("doc_id", "id")
     heads = stage(heads.dropDuplicates(["id", "set_key"]), "heads")
@@ -185,19 +185,37 @@ def _bands(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     shared = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = stage(shared.select("bucket"), "buckets")
     members = stage(spread.join(shared, "bucket").distinct(), "members")
-    return stage(members.join(heads.select("id", "n_shingles", *SIGNATURE), "id"), "members")
+    ids = stage(members.select("id").distinct(), "ids")
+    return members, stage(heads.select("id", "n_shingles", *SIGNATURE).join(ids, "id"), "signs")
+
+
+def _pairs(near: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``a < b`` those that sizes and estimated similarity do not rule out."""
+    x, y = signs.alias("x"), signs.alias("y")
+    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+    joined = near.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    enough = similarity(agreeing("x", "y")) >= similarity(F.lit(least_agreement(percent)))
+    return joined.where((100 * small >= percent * large) & enough).select("a", "b")
 
 
-def _pairs(members: DataFrame, heads: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs ``a < b`` of members with the chosen heads of their band; estimated dissimilar ones are left out."""
-    m, h = members.alias("m"), heads.alias("h")
-    small, large = F.least("m.n_shingles", "h.n_shingles"), F.greatest("m.n_shingles", "h.n_shingles")
-    apart = F.col("m.id") != F.col("h.id")
-    if across:
-        apart = apart & (F.col("m.component") != F.col("h.component"))
-    near = m.join(h, (F.col("m.bucket") == F.col("h.bucket")) & apart & (100 * small >= percent * large))
-    near = near.where(similarity(agreeing("m", "h")) >= similarity(F.lit(least_agreement(percent))))
-    return near.select(F.least("m.id", "h.id").alias("a"), F.greatest("m.id", "h.id").alias("b")).distinct()
+def _ordered(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """``bucket, id``: of each document in ``ids`` the rarest shingles, so many that two sets that are similar
+    enough have one of them in common. Any order of the shingles will do for that; with the rare ones first, documents that only
+    share a passage do not meet."""
+    chosen = stage(sets.join(ids, "id"), "chosen")
+    each = chosen.select("id", F.explode("members").alias("bucket"))
+    often = stage(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    # a shingle that only one document has meets nobody, but takes its place in the prefix
+    ranked = each.join(often, "bucket").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
+    sizes = chosen.select("id", F.size("members").alias("n"))
+    ranked = ranked.join(sizes, "id")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
+    left = F.greatest(length - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
+    return ranked.select("id", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select(F.col("x.bucket").alias("bucket"), "id")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,11 +230,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; links are exact.
 
-    Documents with the same set form a class. Classes that share a band are candidates: each band
-    first compares all with one member. Then, as long as a band holds several components, up to
-    64 of its members outside the largest are compared with all members of other components, and leave
-    the band. So no band lists all its pairs, and none of its pairs in different components is left out.
-    Pairs that the packed low bits do not rule out are confirmed on the full sets.
+    Documents with the same set form a class. Classes that share a band are candidates. Each band first
+    compares all with one member. Documents of bands that then still hold several components meet again by
+    their rarest shingles, of which any two similar sets share one; as long as such a group holds several components, up to
+    REPRESENTATIVES of its members outside the largest are compared with all members of other
+    components, and leave the group. So no group lists all its pairs, and no pair of a band in different components is
+    left out. Pairs that the packed low bits do not rule out are confirmed on the full sets.
 
     A null, empty or blank text has no shingles and is linked with nothing. A row without an id has
     no component and is kept. Repeated rows of an id get the same verdict; rows of one id with
@@ -226,26 +245,26 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     texts = view(docs).select("doc_id", "text")
     sketch = stage(texts.mapInArrow(_sketcher(shingle), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size")), "classes")
-    members = _bands(named, classes)
-    ids = stage(members.select("id").distinct(), "ids")
-    candidates = attach(texts.withColumnRenamed("doc_id", "id"), ids, ["id"], "left_semi", row_bytes=16)
-    sets = stage(candidates.dropDuplicates(["id", "text"]).mapInArrow(_set_maker(shingle), "id long, members array<long>"), "sets")
+    classes = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    members, signs = _bands(named, classes)
 
     # one member of each band, chosen in one of a few orders
     order = F.xxhash64("id", F.pmod("bucket", F.lit(ORDERS)))
-    chosen = members.groupBy("bucket").agg(F.min_by("id", F.struct(order, "id")).alias("id"))
-    heads = stage(chosen.join(members.drop("bucket").distinct(), "id"), "heads")
-    tested = stage(_pairs(members, heads, percent, False), "pairs")
-    edges = stage(_confirmed(tested, sets, percent), "edges")
-    component = _labels(edges)
-
-    alive = members
+    chosen = members.groupBy("bucket").agg(F.min_by("id", F.struct(order, "id")).alias("head"))
+    star = members.join(stage(chosen, "heads"), "bucket").where("id <> head").select(*_ordered("id", "head")).distinct()
+    tested = stage(_pairs(stage(star, "star"), signs, percent), "pairs")
+    # the full sets of the documents that may have a link or are in a band with several components
+    component = None
+    sets = _sets(texts, stage(tested.select("a").union(tested.select("b")).toDF("id").distinct(), "asked"), shingle)
+    component = _labels(stage(_confirmed(tested, sets, percent), "edges"))
+
+    open_bands = _mixed_groups(members, component)
+    ids = stage(open_bands.select("id").distinct(), "open")
+    sets = _sets(texts, ids, shingle)
+    groups = _prefixes(sets, ids, percent)
+    alive = stage(groups, "groups")
     while True:
-        known = alive.join(component.select(F.col("node").alias("id"), "label"), "id", "left")
-        known = stage(known.withColumn("component", F.coalesce("label", "id")).drop("label"), "known")
-        mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        known = known.join(stage(mixed.select("bucket"), "mixed"), "bucket")
+        known = _mixed_groups(alive, component)
         sizes = known.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"))
         sizes = sizes.join(largest, "bucket").select("bucket", "component", "size", (F.col("component") == F.col("top.component")).alias("is_top"))
@@ -253,10 +272,13 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
         if known.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "id"))
-        outside = known.where("not is_top").withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES).drop("rank")
-        outside = stage(outside, "outside")
-        fresh = _pairs(known, outside, percent, True).join(tested, ["a", "b"], "left_anti")
-        fresh = stage(fresh, "pairs")
+        outside = known.where("not is_top").withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES)
+        outside = stage(outside.select("bucket", "component", "id"), "outside")
+        one, two = known.alias("m"), outside.alias("h")
+        apart = (F.col("m.bucket") == F.col("h.bucket")) & (F.col("m.component") != F.col("h.component"))
+        near = one.join(two, apart).select(*_ordered("m.id", "h.id")).distinct()
+        near = stage(near.join(tested, ["a", "b"], "left_anti"), "near")
+        fresh = stage(_pairs(near, signs, percent), "pairs")
         found = _confirmed(fresh, sets, percent)
         tested = tested.union(fresh)
         # contract: edges between components, then the label of the label
@@ -267,7 +289,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
             above = _labels(joins).toDF("label", "root")
             both = component.join(above, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("root", "label").alias("label"))
             component = stage(both, "component")
-        alive = known.join(outside.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "n_shingles", *SIGNATURE)
+        alive = known.join(outside.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id")
 
     named_classes = classes.join(component, F.col("class_id") == F.col("node"), "left")
     table = stage(named_classes.select("set_key", F.coalesce("label", "class_id").alias("component")), "table")
@@ -280,6 +302,20 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     )
 
 
+def _sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``id, members`` (the full set) of the documents in the staged ``ids``, staged."""
+    rows = attach(texts.withColumnRenamed("doc_id", "id"), ids, ["id"], "left_semi", row_bytes=16)
+    return stage(rows.dropDuplicates(["id", "text"]).mapInArrow(_set_maker(shingle), "id long, members array<long>"), "sets")
+
+
+def _mixed_groups(groups: DataFrame, component: DataFrame) -> DataFrame:
+    """``bucket, id, component`` of the groups that hold several components."""
+    known = groups.join(component.select(F.col("node").alias("id"), "label"), "id", "left")
+    known = stage(known.select("bucket", "id", F.coalesce("label", "id").alias("component")), "labelled")
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return known.join(stage(mixed.select("bucket"), "mixed"), "bucket")
+
+
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that represent their component; rows without an id stay."""
     gone = components(docs, shingle, percent).where("not kept").select("doc_id").distinct()
