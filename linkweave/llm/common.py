@@ -49,10 +49,12 @@ def fits_broadcast(table: DataFrame, row_bytes: int = 40) -> bool:
     return table.limit(bound + 1).count() <= bound
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", row_bytes: int = 40) -> DataFrame:
+def attach(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", row_bytes: int = 40, may_broadcast: bool = True
+) -> DataFrame:
     """Join ``left`` to the staged table ``right`` on ``on``, nulls matching nulls.
 
-    ``right`` is broadcast if it has been counted and is small. Otherwise both sides are shuffled
+    ``right`` is broadcast if it has been counted and is small (and ``may_broadcast``). Otherwise both sides are shuffled
     as they are, so that the adaptive planner can split a hot key.
     """
     names = [f"on_{i}__" for i in range(len(on))]
@@ -63,7 +65,7 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     for name, column in zip(names, on):
         same = left[column].eqNullSafe(other[name])
         condition = same if condition is None else condition & same
-    if fits_broadcast(right, row_bytes):
+    if may_broadcast and fits_broadcast(right, row_bytes):
         other = F.broadcast(other)
     return left.join(other, condition, how).drop(*names)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,202 +27,242 @@ def cut(text: str | None) -> list[str]:
     return [text[a:b] for a, b in zip(ends, ends[1:]) if a < b]
 
 
-def lines_of(text: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
-    """All pieces; of those with a word their places, hashes (A-Z lower-cased, white space folded) and numbers of words."""
-    pieces = cut(text)
-    places, hashes, counts = [], [], []
-    for i, piece in enumerate(pieces):
-        words = piece.encode().lower().split()
-        if words:
-            places.append(i)
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            counts.append(len(words))
-    return pieces, places, hashes, counts
+@dataclass
+class Lines:
+    """The lines with a word of several texts, one text after the other. Runs of lines are pairs of places (start, stop)."""
+
+    sizes: np.ndarray  # lines of each text
+    hashes: np.ndarray  # A-Z lower-cased, white space folded
+    counts: np.ndarray  # words
+    begins: np.ndarray  # the line in its text, in characters
+    ends: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Lines:
+        sizes, hashes, counts, begins, ends = [], [], [], [], []
+        for text in texts:
+            at, found = 0, 0
+            for piece in cut(text):
+                words = piece.encode().lower().split()
+                if words:
+                    hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                    counts.append(len(words))
+                    begins.append(at)
+                    ends.append(at + len(piece))
+                    found += 1
+                at += len(piece)
+            sizes.append(found)
+        numbers = [np.array(x, np.int64) for x in (sizes, counts, begins, ends)]
+        return Lines(numbers[0], np.array(hashes, np.uint64), *numbers[1:])
+
+    def __post_init__(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])  # first line of each text
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.words = np.concatenate([[0], np.cumsum(self.counts)])
+        n = len(self.hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers(STEP, n), dtype=np.uint64)])
+
+    def shortest(self, least: int) -> np.ndarray:
+        """For each line the end of the shortest run from it on with ``least`` words; past its text's end there is none: -1."""
+        n = len(self.hashes)
+        end = np.searchsorted(self.words, self.words[:n] + least)
+        return np.where(end <= self.first[self.owner + 1], end, -1)
+
+    def shortest_back(self, least: int) -> np.ndarray:
+        """For each line the start of the shortest run up to and with it that has ``least`` words, or -1."""
+        start = np.searchsorted(self.words, self.words[1:] - least, side="right") - 1
+        return np.where(start >= self.first[self.owner], start, -1)
+
+    def run_hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of runs of lines, the same wherever the run stands: a polynomial moved to the run's start, then mixed."""
+        x = (self.sums[stop] - self.sums[start]) * powers(BACK, len(self.hashes))[start] + (stop - start).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shortest runs with ``least`` words, from each line on and back from each line, once each, in order."""
+        stop, start = self.shortest(least), self.shortest_back(least)
+        n = np.int64(len(self.hashes) + 1)
+        on = np.flatnonzero(stop >= 0)
+        back = np.flatnonzero(start >= 0)
+        both = np.unique(np.concatenate([on * n + stop[on], start[back] * n + back + 1]))
+        return both // n, both % n
+
+    def fingerprints(self, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Winnowing: places and hashes of the grams chosen, and the ends of all grams. A gram is the shortest run from a line on
+        with ``gram`` words; of the grams inside each window from a line on the least is chosen, the rightmost of equals.
+
+        Any run with ``least`` words that two places share holds a window of the same lines in both, so both choose the same gram.
+        """
+        ends = self.shortest(gram)
+        valid = np.flatnonzero(ends >= 0)
+        value = np.full(len(ends), np.iinfo(np.int64).max)
+        value[valid] = self.run_hash(valid, ends[valid])
+        stop = self.shortest(least)
+        start = np.flatnonzero(stop >= 0)
+        if not len(start):
+            return start, value[start], ends
+        # the last gram that ends inside the window: the text's grams stand in order, and so do their ends
+        last = valid[np.searchsorted(ends[valid], stop[start], side="right") - 1]
+        # least value of start ... last by two overlapping powers of two
+        width = last - start + 1
+        best = np.arange(len(ends))
+        chosen = np.empty(len(start), np.int64)
+        size = 1
+        while True:
+            own = (width >= size) & (width < 2 * size)
+            a, b = best[start[own]], best[last[own] - size + 1]
+            chosen[own] = np.where((value[b] < value[a]) | ((value[b] == value[a]) & (b > a)), b, a)
+            if (width < 2 * size).all():
+                break
+            a, b = best[:-size], best[size:]
+            best = np.append(np.where(value[b] <= value[a], b, a), best[len(best) - size :])
+            size *= 2
+        chosen = np.unique(chosen)
+        return chosen, value[chosen], ends
 
 
-def shortest_runs(counts: list[int], words: int) -> list[int]:
-    """For each line the end (exclusive) of the shortest run from it on with ``words`` words, 0 if there is none."""
-    total = [0, *accumulate(counts)]
-    ends, end = [], 0
-    for start in range(len(counts)):
-        end = max(end, start)
-        while end < len(counts) and total[end] - total[start] < words:
-            end += 1
-        ends.append(end if total[end] - total[start] >= words else 0)
-    return ends
-
-
-def shortest_runs_back(counts: list[int], words: int) -> list[int]:
-    """For each line the start of the shortest run up to and with it that has ``words`` words, -1 if there is none."""
-    n = len(counts)
-    mirrored = shortest_runs(counts[::-1], words)[::-1]
-    return [n - end if end else -1 for end in mirrored]
-
-
-MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
 
 
-class RunHashes:
-    """Hashes of runs of lines from prefix sums of a polynomial, one odd step per line."""
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1) modulo 2^64, kept for the next call."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        size = max(n, 1024)
+        known = np.full(size, base, np.uint64)
+        known[0] = 1
+        _powers[base] = known = np.cumprod(known, dtype=np.uint64)
+    return known[:n]
 
-    def __init__(self, hashes: list[int]) -> None:
-        self.prefix = [0]
-        self.power = [1]
-        for h in hashes:
-            self.prefix.append((self.prefix[-1] * STEP + h) & MASK)
-            self.power.append((self.power[-1] * STEP) & MASK)
 
-    def __call__(self, start: int, end: int) -> int:
-        x = (self.prefix[end] - self.prefix[start] * self.power[end - start]) & MASK
-        x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & MASK
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
-        return (x ^ (x >> 31)) - (1 << 63)
+UNITS = (
+    "doc_id long, text_hash long, hashes array<long>, counts array<int>, begins array<int>, ends array<int>, prints array<long>"
+)
 
 
-def windows(counts: list[int], min_words: int) -> list[tuple[int, int]]:
-    """The shortest runs with ``min_words`` words, from each line on and back from each line, once each."""
-    found = {(start, end) for start, end in enumerate(shortest_runs(counts, min_words)) if end}
-    found |= {(start, end + 1) for end, start in enumerate(shortest_runs_back(counts, min_words)) if start >= 0}
-    return sorted(found)
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def fingerprints(hashes: list[int], counts: list[int], min_words: int, gram_words: int) -> dict[int, int]:
-    """Winnowing: of the grams inside each window the least (the rightmost of equals), as start: hash.
-
-    Any run with ``min_words`` words that two places share holds a window of the same lines in both, so both choose the same gram.
-    """
-    run = RunHashes(hashes)
-    ends = shortest_runs(counts, gram_words)
-    grams = [run(i, e) if e else 0 for i, e in enumerate(ends)]
-    chosen: dict[int, int] = {}
-    queue: list[int] = []  # starts of grams with rising hashes, the least first
-    head, following = 0, 0
-    for start, end in enumerate(shortest_runs(counts, min_words)):
-        if not end:
-            break
-        while following < len(counts) and ends[following] and ends[following] <= end:
-            while len(queue) > head and grams[queue[-1]] >= grams[following]:
-                queue.pop()
-            queue.append(following)
-            following += 1
-        while queue[head] < start:
-            head += 1
-        chosen[queue[head]] = grams[queue[head]]
-    return chosen
-
-
-def _fingerprinter(min_words: int, gram_words: int):
+def _reader(min_words: int, gram_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = []
-            for text in batch.column("text").to_pylist():
-                _, _, hashes, counts = lines_of(text)
-                prints.append(list(fingerprints(hashes, counts, min_words, gram_words).values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.list_(pa.int64()))], [*KEY, "prints"]
-            )
+            lines = Lines.of(batch.column("text").to_pylist())
+            chosen, values, _ = lines.fingerprints(min_words, gram_words)
+            each = np.bincount(lines.owner[chosen], minlength=len(lines.sizes))
+            columns = [batch.column("doc_id"), batch.column("text_hash")]
+            columns.append(_lists(lines.sizes, lines.hashes.view(np.int64), pa.int64()))
+            columns += [_lists(lines.sizes, x, pa.int32()) for x in (lines.counts, lines.begins, lines.ends)]
+            columns.append(_lists(each, values, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [*KEY, "hashes", "counts", "begins", "ends", "prints"])
 
     return run
 
 
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _lines_in(batch: pa.RecordBatch) -> Lines:
+    sizes = batch.column("hashes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = _flat(batch, "hashes").astype(np.int64).view(np.uint64)
+    return Lines(sizes, hashes, *(_flat(batch, name).astype(np.int64) for name in ("counts", "begins", "ends")))
+
+
 def _windower(min_words: int, gram_words: int):
     """Windows that hold a repeated fingerprint: the places that extend a match, line by line to both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, repeated in zip(batch.column("text").to_pylist(), batch.column("prints").to_pylist()):
-                _, _, hashes, counts = lines_of(text)
-                again = set(repeated)
-                chosen = fingerprints(hashes, counts, min_words, gram_words)
-                hits = sorted(at for at, key in chosen.items() if key in again)
-                ends = shortest_runs(counts, gram_words)
-                run_hash = RunHashes(hashes)
-                found, i = [], 0
-                for start, end in windows(counts, min_words):
-                    while i < len(hits) and hits[i] < start:
-                        i += 1
-                    if i < len(hits) and ends[hits[i]] <= end:
-                        found.append({"run": run_hash(start, end), "start": start, "stop": end})
-                rows.append(found)
-            kind = pa.list_(pa.struct([("run", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(rows, kind)], [*KEY, "runs"])
+            lines = _lines_in(batch)
+            chosen, values, ends = lines.fingerprints(min_words, gram_words)
+            hits = np.append(chosen[np.isin(values, _flat(batch, "again"))], len(ends))
+            start, stop = lines.windows(min_words)
+            follows = hits[np.searchsorted(hits, start)]
+            held = follows < len(ends)
+            held[held] = ends[follows[held]] <= stop[held]
+            start, stop = start[held], stop[held]
+            owner = lines.owner[start]
+            keys = [batch.column(k).take(pa.array(owner)) for k in KEY]
+            first = lines.first[owner]
+            made = [pa.array(lines.run_hash(start, stop)), pa.array(start - first, pa.int32()), pa.array(stop - first, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*keys, *made], [*KEY, "run", "start", "stop"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """``doc_id, text_hash, spans``: per text the runs (start, stop) of lines with words that occurred before, staged.
+def _editor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each text that stay, in characters, and how much goes."""
+    for batch in batches:
+        lines = _lines_in(batch)
+        removed_lines, removed_words, keeps = [], [], []
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            at, end = int(lines.first[i]), int(lines.first[i + 1])
+            gone = np.zeros(end - at + 1, np.int64)
+            for x in spans:
+                gone[x["start"]] += 1
+                gone[x["stop"]] -= 1
+            dropped = np.cumsum(gone)[:-1] > 0
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], dropped, [False]]).astype(np.int8)))
+            places, keep = 0, []
+            for start, stop in zip(edges[::2], edges[1::2]):
+                keep.append({"start": places, "stop": int(lines.begins[at + start])})
+                places = int(lines.ends[at + stop - 1])
+            keep.append({"start": places, "stop": (1 << 31) - 1})
+            keeps.append([k for k in keep if k["start"] < k["stop"]])
+            removed_lines.append(int(dropped.sum()))
+            removed_words.append(int(lines.counts[at:end][dropped].sum()))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        columns = [batch.column(k) for k in KEY] + [pa.array(removed_lines, pa.int64()), pa.array(removed_words, pa.int64()), pa.array(keeps, kind)]
+        yield pa.RecordBatch.from_arrays(columns, [*KEY, "n_removed_lines", "n_removed_words", "keep"])
+
+
+EDITS = "doc_id long, text_hash long, n_removed_lines long, n_removed_words long, keep array<struct<start:int,stop:int>>"
+
+
+def edits(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """``doc_id, text_hash, n_removed_lines, n_removed_words, keep`` of the texts that lose
+    some, staged: later repeats of runs that occurred before. ``keep`` lists the stretches of characters that stay.
 
     Texts come in the order of id and text hash (a null id first), lines in the order of the text; a
     run that overlaps its own first occurrence is not a repeat. Rows that agree in id and text are one.
     Fingerprints decide which texts and lines can repeat; their windows are then compared by the
     hash of all their lines. Every step is a count or a least value per hash, combined before the
-    shuffle, or a join to a staged table, so a passage in a third of all documents meets in no task.
+    shuffle, or a join to a staged table, so a passage in a third of all documents meets in no task. Texts
+    are read once here: from then on only the hashes of their lines move.
     """
     session(docs.sparkSession)
-    texts = view(docs)
-    kind = "doc_id long, text_hash long"
-    prints = stage(texts.mapInArrow(_fingerprinter(min_words, gram_words), f"{kind}, prints array<long>"), "prints")
-    spread = prints.select(*KEY, F.explode("prints").alias("print"))
+    units = stage(view(docs).mapInArrow(_reader(min_words, gram_words), UNITS), "lines")
+    spread = units.select(*KEY, F.explode("prints").alias("print"))
     again = stage(spread.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "again")
-    hit = spread.join(again, "print").groupBy(*KEY).agg(F.collect_set("print").alias("prints"))
-    hit = stage(hit, "hits")
-    found = attach(texts, hit, KEY, "inner", row_bytes=200)
-    runs = found.mapInArrow(_windower(min_words, gram_words), f"{kind}, runs array<struct<run:long,start:int,stop:int>>")
-    runs = stage(runs.select(*KEY, F.explode("runs").alias("x")).select(*KEY, "x.*").distinct(), "runs")
+    hit = spread.join(again, "print").groupBy(*KEY).agg(F.collect_set("print").alias("again"))
+    found = attach(units.drop("prints"), stage(hit, "hits"), KEY, "inner", may_broadcast=False)
+    runs = stage(found.mapInArrow(_windower(min_words, gram_words), "doc_id long, text_hash long, run long, start int, stop int"), "runs")
     first = runs.groupBy("run").agg(F.min(F.struct(*KEY, "start", "stop")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stage(first.select("run", "first"), "first")
-    later = runs.join(first, "run")
+    later = runs.join(stage(first.select("run", "first"), "first"), "run")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     later = later.where(~same | (F.col("start") >= F.col("first.stop")))
-    return stage(later.groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-
-
-OUT = "doc_id long, n_lines long, n_removed_lines long, n_removed_words long, text string"
-
-
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns: list[list] = [[], [], [], []]
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            if not spans:
-                columns[0].append(sum(1 for x in cut(text) if x.split()) if text else 0)
-                columns[1].append(0), columns[2].append(0), columns[3].append(text)
-                continue
-            pieces, places, _, counts = lines_of(text)
-            gone = [0] * (len(places) + 1)
-            for x in spans:
-                gone[x["start"]] += 1
-                gone[x["stop"]] -= 1
-            depth = list(accumulate(gone))[:-1]
-            dropped = {places[i] for i, d in enumerate(depth) if d}
-            columns[0].append(len(places))
-            columns[1].append(len(dropped))
-            columns[2].append(sum(c for c, d in zip(counts, depth) if d))
-            columns[3].append("".join(p for i, p in enumerate(pieces) if i not in dropped))
-        made = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.string())]
-        at = batch.schema.get_field_index("text")
-        kept = batch.set_column(at, "text", made[3]).drop_columns(["spans"])
-        for name, column in zip(("n_lines", "n_removed_lines", "n_removed_words"), made):
-            kept = kept.append_column(name, column)
-        yield kept
-
-
-COUNTS = ("n_lines", "n_removed_lines", "n_removed_words")
+    spans = stage(later.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    single = units.drop("prints").dropDuplicates([*KEY])
+    return stage(attach(single, spans, KEY, "inner", may_broadcast=False).mapInArrow(_editor, EDITS), "edits")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs cut out of ``text``, and ``n_lines`` (with words, before), ``n_removed_lines``, ``n_removed_words``.
+    """``docs`` with later repeated runs cut out of ``text``, and ``n_removed_lines``, ``n_removed_words``.
 
-    A null text stays null, an empty one empty. Rows that agree in id and text are the same place, so
+    Blank lines inside a run go with it. A null text stays null, an empty one empty. Rows that agree in id and text are the same place, so
     they get the same text; a row of another id with the same text is a repeat. Columns of ``docs`` with the names of the
-    three counts are replaced.
+    two counts are replaced.
     """
-    spans = repeated_runs(docs, min_words, gram_words)
-    own = docs.drop(*COUNTS, "spans")
+    table = edits(docs, min_words, gram_words)
+    own = docs.drop("n_removed_lines", "n_removed_words", "keep", "text_hash")
     rows = own.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
-    rows = attach(rows, spans, KEY, row_bytes=200).drop("text_hash")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("spans").schema.fields)
-    return rows.mapInArrow(_remover, f"{schema}, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = attach(rows, table, KEY, may_broadcast=False).drop("text_hash")
+    kept = F.transform("keep", lambda k: F.substring("text", k["start"] + 1, k["stop"] - k["start"]))
+    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed_lines", "n_removed_words")]
+    return rows.select(*(text.alias(c) if c == "text" else c for c in own.columns), *counts)
