@@ -129,7 +129,7 @@ def fit(sample: DataFrame) -> KneserNey:
     runs = sample.where("not spare").select("text", "toxic").mapInArrow(_counter, "toxic int, far string, before string, word string")
     of = lambda c: F.count_if(F.col("toxic") == c)
     pairs = stage(runs.distinct().groupBy("before", "word").agg(of(0).alias("k0"), of(1).alias("k1")), "pairs")
-    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.count_if("k0 > 0").alias("k0"), F.count_if("k1 > 0").alias("k1"))
+    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("k0") > 0).alias("k0"), F.count_if(F.col("k1") > 0).alias("k1"))
     words = most_frequent(stage(words.where("kinds > 1"), "kinds"), "kinds", WORDS)
     starts = pairs.groupBy("before").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"))
     words = words.join(starts, F.col("word") == F.col("before"), "left").drop("before").fillna(0)
