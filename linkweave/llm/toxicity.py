@@ -16,8 +16,9 @@ from linkweave.llm.common import held_out, most_frequent, session, stage, view
 # in CALIBRATE is kept to fit the curve from log-likelihoods to a score. WORDS and PAIRS bound the tables that are sent out.
 FIT_DOCS, CALIBRATE = 4000, 4
 WORDS, PAIRS = 200_000, 400_000
-# The discounts: so many different words before a word or a bigram are left to the shared backoff.
-RARE_KINDS, RARE_PAIRS = 8.0, 8.0
+# The discount: so many different words before a word or a bigram are left to the shared backoff. It grows from the
+# first to the second figure with the documents of the smaller class, one for each RARE_STEP, as chance finds grow with them.
+RARE_LEAST, RARE_MOST, RARE_STEP = 3.0, 8.0, 50
 THRESHOLD = 0.7
 # ASCII other than letters and digits parts words; other bytes stay.
 FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -78,7 +79,7 @@ class KneserNey:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate(words: list[tuple], pairs: list[tuple]) -> KneserNey:
+def estimate(words: list[tuple], pairs: list[tuple], rare: float) -> KneserNey:
     """The models from rows (word, kinds, ordinary kinds, toxic kinds) and (before, word, ordinary kinds, toxic kinds).
 
     All counts are continuation counts: after how many different words a word, or a bigram, occurs. A
@@ -93,7 +94,7 @@ def estimate(words: list[tuple], pairs: list[tuple]) -> KneserNey:
     shared /= shared.sum()
     word_p = np.empty((unknown + 1, 2))
     for c in range(2):
-        own = np.maximum(kinds[:, 1 + c] - RARE_KINDS, 0)
+        own = np.maximum(kinds[:, 1 + c] - rare, 0)
         total = max(kinds[:, 1 + c].sum(), 1.0)
         word_p[:, c] = own / total + (1 - own.sum() / total) * shared
     first = np.array([number[row[0].encode()] for row in pairs], np.int64)
@@ -104,7 +105,7 @@ def estimate(words: list[tuple], pairs: list[tuple]) -> KneserNey:
     key, first, counts = key[order], first[order], counts[order]
     total = np.zeros((unknown + 1, 2))
     total[:unknown] = np.array([row[4:6] for row in words], float).reshape(-1, 2)  # of bigrams that start with the word
-    share = np.maximum(counts - RARE_PAIRS, 0) / np.maximum(total[first], 1)
+    share = np.maximum(counts - rare, 0) / np.maximum(total[first], 1)
     taken = np.zeros((unknown + 1, 2))
     np.add.at(taken, first, share)
     return KneserNey(number, word_p, key, share, np.maximum(1 - taken, 0.01))
@@ -126,6 +127,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(sample: DataFrame) -> KneserNey:
     """Learn from the staged sample ``text, toxic, spare``. Words and bigrams are counted on the executors; those that the
     discounts leave something of reach the driver, at most WORDS and PAIRS of them, the most frequent."""
+    classes = {r.toxic: r["count"] for r in sample.where("not spare").groupBy("toxic").count().collect()}
+    rare = min(RARE_MOST, RARE_LEAST + min(classes.get(0, 0), classes.get(1, 0)) // RARE_STEP)
     runs = sample.where("not spare").select("text", "toxic").mapInArrow(_counter, "toxic int, far string, before string, word string")
     of = lambda c: F.count_if(F.col("toxic") == c)
     pairs = stage(runs.distinct().groupBy("before", "word").agg(of(0).alias("k0"), of(1).alias("k1")), "pairs")
@@ -135,11 +138,11 @@ def fit(sample: DataFrame) -> KneserNey:
     words = words.join(starts, F.col("word") == F.col("before"), "left").drop("before").fillna(0)
     words = stage(words, "words")
     name = words.select(F.col("word").alias("known"))
-    often = pairs.where(F.greatest("k0", "k1") > RARE_PAIRS).join(name, F.col("word") == F.col("known"), "left_semi")
+    often = pairs.where(F.greatest("k0", "k1") > rare).join(name, F.col("word") == F.col("known"), "left_semi")
     often = often.join(name, F.col("before") == F.col("known"), "left_semi")
     often = most_frequent(stage(often.withColumn("all", F.col("k0") + F.col("k1")), "often"), "all", PAIRS).drop("all")
     rows = lambda df: [tuple(r) for r in df.toPandas().itertuples(index=False)]
-    model = estimate(rows(words.orderBy("word")), rows(often.orderBy("before", "word")))
+    model = estimate(rows(words.orderBy("word")), rows(often.orderBy("before", "word")), rare)
     spare = sample.where("spare").select("text", "toxic").mapInArrow(_featurer(model), "toxic int, a double, b double, c double")
     spare = spare.orderBy("a", "b", "c", "toxic").collect()
     if spare and len({r.toxic for r in spare}) == 2:
