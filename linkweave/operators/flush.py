@@ -56,15 +56,22 @@ def _summary(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]
     return np.where(none, entry + total[n], level[start]), np.where(none, 0, 1 + count[start])
 
 
-def _number(sizes: np.ndarray, level: int, batch: int, threshold: int) -> tuple[np.ndarray, int, int]:
-    """Batch numbers of one user's tasks in a row, and the level and batch they leave."""
+def flush_ends(sizes: np.ndarray, level: int, threshold: int) -> list[int]:
+    """The places after the tasks that fill the buffer, which holds ``level`` ids at first. One step per flush."""
     n = len(sizes)
     goes = _flush_after(sizes, threshold)
     at = int(np.searchsorted(np.cumsum(sizes), threshold - level)) + 1
-    starts = []
+    ends = []
     while at <= n:
-        starts.append(at)
+        ends.append(at)
         at = int(goes[at]) if at < n else n + 1
+    return ends
+
+
+def _number(sizes: np.ndarray, level: int, batch: int, threshold: int) -> tuple[np.ndarray, int, int]:
+    """Batch numbers of one user's tasks in a row, and the level and batch they leave."""
+    n = len(sizes)
+    starts = flush_ends(sizes, level, threshold)
     flushed = np.zeros(n + 1, dtype=np.int64)
     flushed[starts] = 1
     numbers = batch + np.cumsum(flushed)[:n]

@@ -302,22 +302,28 @@ def stream_shorten(spark, sf_dir):
     return spark.read.parquet(f"{out}/outcomes").select("req_id", "short_id", "status")
 
 
-@query("stream_deletes", sql("select user_id, short_id, count(*) as n from deletes group by all"))
-def stream_deletes(spark, sf_dir):
-    """Every id leaves its user's buffer once, by a full batch or by the tick."""
+def _flushed(spark, sf_dir):
+    """``short_id, user_id`` of the batches that the delete buffers flush; busy users have several buffers."""
     session = buffer.state_session(fx.prepare(spark))
     root = scratch_path(spark, "buffer")
     rows = ids_to_delete(spark, sf_dir).select("req_id", "ts", "user_id", F.array("short_id").alias("ids"))
     rows.write.parquet(f"{root}/in")
     tasks = session.readStream.schema(rows.schema).parquet(f"{root}/in")
-    flushes = buffer.stream_deletes(tasks, threshold=10, tick_ms=10, lanes=2)
+    lanes = buffer.lanes_of(session.read.parquet(f"{root}/in"), tasks_per_lane=3)
+    flushes = buffer.stream_deletes(tasks, threshold=10, tick_ms=10, lanes=lanes)
     jobs.run_until_idle(
         flushes.writeStream.format("parquet")
         .option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/checkpoint")
         .outputMode("append")
     )
-    flushed = buffer.flushed_ids(spark.read.schema(buffer.FLUSHES).parquet(f"{root}/out"))
+    return buffer.flushed_ids(spark.read.schema(buffer.FLUSHES).parquet(f"{root}/out"))
+
+
+@query("stream_deletes", sql("select user_id, short_id, count(*) as n from deletes group by all"))
+def stream_deletes(spark, sf_dir):
+    """Every id leaves its user's buffer once, by a full batch or by the tick."""
+    flushed = _flushed(spark, sf_dir)
     return flushed.groupBy("user_id", "short_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -339,6 +345,21 @@ def stream_delete_apply(spark, sf_dir):
     return store.read().select("short_id", "original_url", "user_id", "is_deleted")
 
 
+@query("stream_flush_apply", sql("select short_id, original_url, user_id, is_deleted from deleted_links"))
+def stream_flush_apply(spark, sf_dir):
+    """From delete tasks through the buffers to the store. A flushed batch has no time of its own: it acts when it is applied."""
+    store = _store(spark, sf_dir, "store")
+    flushed = _flushed(spark, sf_dir)
+    jobs.stream_delete_apply(_as_stream(spark, flushed), store, scratch_path(spark, "applied")).awaitTermination()
+    return store.read().select("short_id", "original_url", "user_id", "is_deleted")
+
+
+def _as_stream(spark, rows):
+    path = scratch_path(spark, "stream")
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 @query("stream_resolve", sql("select req_id, status, location from timed_resolved"))
 def stream_resolve(spark, sf_dir):
     store = _store(spark, sf_dir, "store")

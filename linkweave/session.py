@@ -33,6 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     root = root or context.getCheckpointDir()
     if root:
+        _check_shared(spark, root)
         return root.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -40,6 +41,16 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def _check_shared(spark: SparkSession, root: str) -> None:
+    """On a cluster a folder of the local file system is refused, unless ``linkweave.sharedFileSystem`` says that all machines mount it."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or spark.conf.get("linkweave.sharedFileSystem", "false") == "true":
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+        raise RuntimeError(f"spark.checkpoint.dir is {root}, a folder of the local file system; name one that all executors share")
+
+
 def _scratch_folder(spark: SparkSession) -> str:
     parts = [scratch_root(spark), "linkweave", spark.sparkContext.applicationId, _scope.get()]
     return "/".join(part for part in parts if part)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from linkweave.constants import DELETE_BATCH_SIZE, DELETE_TICK_MS
+from linkweave.operators.flush import flush_ends
 
-# Buffers per user.
-LANES = 8
+# Delete tasks of one user, in the time that a volume is measured over, that one buffer takes.
+TASKS_PER_LANE = 100_000
 FLUSHES = "user_id string, lane int, reason string, ids array<string>"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,12 +50,13 @@ class DeleteBuffer(StatefulProcessor):
         held = self._held()
         waiting = bool(held)
         for frame in rows:
-            full = []
-            for ids in frame.sort_values(["ts", "req_id"])["ids"]:
-                held.extend(ids)
-                if len(held) >= self.threshold:
-                    full.append(held)
-                    held = []
+            tasks = frame.sort_values(["ts", "req_id"])["ids"].tolist()
+            sizes = np.fromiter(map(len, tasks), dtype=np.int64, count=len(tasks))
+            full, start = [], 0
+            for end in flush_ends(sizes, len(held), self.threshold):
+                full.append([*held, *chain.from_iterable(tasks[start:end])])
+                held, start = [], end
+            held.extend(chain.from_iterable(tasks[start:]))
             if full:
                 yield self._flush(key, "full", full)
         if held:
@@ -72,18 +76,34 @@ class DeleteBuffer(StatefulProcessor):
         pass
 
 
+def lanes_of(history: DataFrame, tasks_per_lane: int = TASKS_PER_LANE) -> DataFrame:
+    """``user_id, lanes`` of the users whose volume, a table of their delete tasks, needs more than one buffer."""
+    volume = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    lanes = F.ceil(F.col("n") / tasks_per_lane).cast("int")
+    return volume.where(F.col("n") > tasks_per_lane).select("user_id", lanes.alias("lanes"))
+
+
 def stream_deletes(
-    tasks: DataFrame, threshold: int = DELETE_BATCH_SIZE, tick_ms: int = DELETE_TICK_MS, lanes: int = LANES
+    tasks: DataFrame,
+    threshold: int = DELETE_BATCH_SIZE,
+    tick_ms: int = DELETE_TICK_MS,
+    lanes: int | DataFrame = 1,
 ) -> DataFrame:
     """Stream of flushed batches ``user_id, lane, reason, ids`` from delete tasks
     ``req_id, ts, user_id, ids``.
 
-    Each user has ``lanes`` buffers, so one user's deletes do not all go to one task. Each buffer
+    A user has as many buffers as ``lanes`` says: a number for all, or the table that ``lanes_of`` makes from the
+    volume of each (one for users it does not list), so that no user's deletes all go to one task. Each buffer
     flushes by the same two rules, and every id is flushed once. Start it from a ``state_session``.
     """
-    lane = F.pmod(F.xxhash64("req_id"), F.lit(lanes)).cast("int")
+    rows = tasks.select("req_id", "ts", "user_id", "ids")
+    if isinstance(lanes, DataFrame):
+        rows = rows.join(lanes.withColumnRenamed("lanes", "_lanes"), "user_id", "left")
+    else:
+        rows = rows.withColumn("_lanes", F.lit(lanes))
+    lane = F.pmod(F.xxhash64("req_id"), F.coalesce("_lanes", F.lit(1))).cast("int")
     return (
-        tasks.select("req_id", "ts", "user_id", "ids", lane.alias("lane"))
+        rows.select("req_id", "ts", "user_id", "ids", lane.alias("lane"))
         .groupBy("user_id", "lane")
         .transformWithStateInPandas(
             DeleteBuffer(threshold, tick_ms),
