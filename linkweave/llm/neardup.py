@@ -203,9 +203,9 @@ def _ordered(one: str, two: str) -> list[Column]:
 
 
 def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """``bucket, id``: of each document in ``ids`` the rarest shingles, so many that two sets that are similar
-    enough have one of them in common. Any order of the shingles will do for that; with the rare ones first, documents that only
-    share a passage do not meet."""
+    """``bucket, id, pos, n``: of each document in ``ids`` the rarest shingles, so many that two sets that are similar
+    enough have one of them in common, with their places in the order and the size of the set. Any order of the shingles will do
+    for that; with the rare ones first, documents that only share a passage do not meet."""
     chosen = stage(sets.join(ids, "id"), "chosen")
     each = chosen.select("id", F.explode("members").alias("bucket"))
     often = stage(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
@@ -214,8 +214,16 @@ def _prefixes(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     sizes = chosen.select("id", F.size("members").alias("n"))
     ranked = ranked.join(sizes, "id")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
-    left = F.greatest(length - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
-    return ranked.select("id", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select(F.col("x.bucket").alias("bucket"), "id")
+    alone = F.col("n") - F.size("shared")
+    left = F.greatest(length - alone, F.lit(0)).cast("int")
+    each = ranked.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("at", "x"))
+    return each.select(F.col("x.bucket").alias("bucket"), "id", (F.col("alone") + F.col("at")).alias("pos"), "n")
+
+
+def _may_reach(one: str, two: str, percent: int) -> Column:
+    """Whether two sets whose first common shingle stands at these places can be similar enough: what follows bounds what they share."""
+    rest = F.least(F.col(f"{one}.n") - F.col(f"{one}.pos"), F.col(f"{two}.n") - F.col(f"{two}.pos"))
+    return (100 + percent) * rest >= percent * (F.col(f"{one}.n") + F.col(f"{two}.n"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +240,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
 
     Documents with the same set form a class. Classes that share a band are candidates. Each band first
     compares all with one member. Documents of bands that then still hold several components meet again by
-    their rarest shingles, of which any two similar sets share one; as long as such a group holds several components, up to
+    their rarest shingles, of which any two similar sets share one, if sizes and places allow a link; as long as such a group holds several components, up to
     REPRESENTATIVES of its members outside the largest are compared with all members of other
     components, and leave the group. So no group lists all its pairs, and no pair of a band in different components is
     left out. Pairs that the packed low bits do not rule out are confirmed on the full sets.
@@ -273,10 +281,10 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
             break
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "component", "id"))
         outside = known.where("not is_top").withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES)
-        outside = stage(outside.select("bucket", "component", "id"), "outside")
+        outside = stage(outside.select("bucket", "component", "id", "pos", "n"), "outside")
         one, two = known.alias("m"), outside.alias("h")
         apart = (F.col("m.bucket") == F.col("h.bucket")) & (F.col("m.component") != F.col("h.component"))
-        near = one.join(two, apart).select(*_ordered("m.id", "h.id")).distinct()
+        near = one.join(two, apart & _may_reach("m", "h", percent)).select(*_ordered("m.id", "h.id")).distinct()
         near = stage(near.join(tested, ["a", "b"], "left_anti"), "near")
         fresh = stage(_pairs(near, signs, percent), "pairs")
         found = _confirmed(fresh, sets, percent)
@@ -289,7 +297,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
             above = _labels(joins).toDF("label", "root")
             both = component.join(above, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("root", "label").alias("label"))
             component = stage(both, "component")
-        alive = known.join(outside.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id")
+        alive = known.join(outside.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "pos", "n")
 
     named_classes = classes.join(component, F.col("class_id") == F.col("node"), "left")
     table = stage(named_classes.select("set_key", F.coalesce("label", "class_id").alias("component")), "table")
@@ -309,9 +317,9 @@ def _sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def _mixed_groups(groups: DataFrame, component: DataFrame) -> DataFrame:
-    """``bucket, id, component`` of the groups that hold several components."""
+    """The groups that hold several components, with the ``component`` of each ``id``."""
     known = groups.join(component.select(F.col("node").alias("id"), "label"), "id", "left")
-    known = stage(known.select("bucket", "id", F.coalesce("label", "id").alias("component")), "labelled")
+    known = stage(known.withColumn("component", F.coalesce("label", "id")).drop("label"), "labelled")
     mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return known.join(stage(mixed.select("bucket"), "mixed"), "bucket")
 
