@@ -141,7 +141,7 @@ def fit(sample: DataFrame) -> KneserNey:
     often = pairs.where(F.greatest("k0", "k1") > rare).join(name, F.col("word") == F.col("known"), "left_semi")
     often = often.join(name, F.col("before") == F.col("known"), "left_semi")
     often = most_frequent(stage(often.withColumn("all", F.col("k0") + F.col("k1")), "often"), "all", PAIRS).drop("all")
-    rows = lambda df: [tuple(r) for r in df.toPandas().itertuples(index=False)]
+    rows = lambda df: list(zip(*(c.to_pylist() for c in df.toArrow().columns)))
     model = estimate(rows(words.orderBy("word")), rows(often.orderBy("before", "word")), rare)
     spare = sample.where("spare").select("text", "toxic").mapInArrow(_featurer(model), "toxic int, a double, b double, c double")
     spare = spare.orderBy("a", "b", "c", "toxic").collect()
