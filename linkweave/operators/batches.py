@@ -107,16 +107,20 @@ def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_ta
     pairs = stage(per_url.select("batch_id", "original_url", flawed.alias("_flawed")), "pairs")
     clean = pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"), F.count(F.lit(1)).alias("_n"))
     folder = scratch_path(spark, "verdicts")
-    verdicts = 0
-
-    def decide(rows: DataFrame) -> DataFrame:
-        """Write verdicts of a round; returns those of all rounds."""
-        nonlocal verdicts
-        rows.select("batch_id", "accepted").write.parquet(f"{folder}/round={verdicts}")
-        verdicts += 1
-        return spark.read.schema(rows.select("batch_id", "accepted").schema).parquet(folder).select("batch_id", "accepted")
-
-    decided = decide(clean.where("not _clean").select("batch_id", F.lit(False).alias("accepted")))
+    rounds = 0
+
+    def decide(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write the state after a round; returns it, and the verdicts of all rounds."""
+        nonlocal rounds
+        state.write.parquet(f"{folder}/round={rounds}")
+        written = spark.read.schema(state.schema).parquet(f"{folder}/round={rounds}")
+        rounds += 1
+        return written, spark.read.schema(state.schema).parquet(folder).where("accepted is not null").select("batch_id", "accepted")
+
+    refused = clean.where("not _clean").select(
+        "batch_id", F.lit(False).alias("accepted"), F.lit(None).cast(pairs.schema["batch_id"].dataType).alias("_to"), F.lit(True).alias("_odd")
+    )
+    _, decided = decide(refused)
     kept = clean.where("_clean").drop("_clean")
     pairs = stage(lookup(pairs.drop("_flawed"), kept, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task), "open")
     pointers = None
@@ -129,8 +133,7 @@ def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_ta
         # one row per batch of this round: accepted, refused, or null where it stays open
         state = state.join(beaten, "batch_id", "left")
         state = state.withColumn("accepted", F.when(F.col("_beaten"), False).otherwise(F.col("accepted"))).drop("_beaten")
-        state = stage(state, "state")
-        decided = decide(state.where("accepted is not null"))
+        state, decided = decide(state.select("batch_id", "accepted", "_to", "_odd"))
         pointers = state.where("accepted is null").select("batch_id", "_to", "_odd")
         still = pointers.select("batch_id")
         pairs = stage(pairs_with_first.where("_shared").join(still, "batch_id", "left_semi").select("batch_id", "original_url"), "open")
