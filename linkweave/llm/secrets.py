@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from re import _constants as op
