@@ -22,7 +22,8 @@ MISS = 1e-9
 REPRESENTATIVES = 256
 # A hot band is met in several orders, so that its members do not hang on one document.
 ORDERS = 4
-CACHE_WORDS = 500_000
+# Words whose hashes a worker keeps; the frequent ones come first.
+CACHE_WORDS = 100_000
 
 _random = np.random.Generator(np.random.Philox(20240229))
 MULTIPLY = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -31,9 +32,9 @@ ADD = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 
