@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import decontaminate, language, languagemodel, lexical, licenses, linedup, mixing, neardup, quality, secrets, toxicity, trie
+from linkweave.llm import decontaminate, language, languagemodel, lexical, licenses, linedup, mixing, neardup, personal, quality, secrets, toxicity, trie
 from linkweave.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor_scores": lambda spark, sf: languagemodel.score(load(spark, sf, "documents")),
     "op9_secret_scan": lambda spark, sf: secrets.scan(load(spark, sf, "documents")),
     "op10_source_mixing": lambda spark, sf: mixing.mix(load(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")),
+    "op11_personal_data": lambda spark, sf: personal.scan(load(spark, sf, "documents")),
     "op12_prefix_trie": lambda spark, sf: trie.build(load(spark, sf, "conversations")),
     "op13_lexical_search": lambda spark, sf: lexical.search(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
 }
