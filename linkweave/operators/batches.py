@@ -80,11 +80,15 @@ def batch_save_append(items: DataFrame, links: DataFrame | None = None, **id_opt
     return saved.unionByName(others)
 
 
-def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def decide_batches(
+    items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK, claims: DataFrame | None = None
+) -> DataFrame:
     """Unique mode: ``batch_id, accepted`` for batches taken in ``batch_id`` order.
 
     A batch is accepted when it repeats no URL and holds none of the store or of an earlier accepted
-    batch; a refused batch blocks nobody. Batches are decided in rounds:
+    batch; a refused batch blocks nobody. ``claims`` (``original_url, claimed``, one row per URL) are single requests that come
+    between the batches: whatever became of them, their URL is stored from the place ``claimed`` in the order of ``batch_id`` on, so
+    a later batch that holds it is refused. Batches are decided in rounds:
 
     * a batch that comes first for all URLs that it shares with open batches is accepted;
     * a batch whose only earlier open holder, for all its URLs, is one batch is the opposite of that one. Such
@@ -92,94 +96,84 @@ def decide_batches(items: DataFrame, links: DataFrame | None = None, rows_per_ta
       is settled in about log2(n) rounds;
     * whoever shares a URL with an accepted batch is refused.
 
-    The earliest open batch is always decided, so the rounds end. URLs that only one open batch holds are dropped, so
+    The earliest open batch is always decided, so the rounds end. Only URLs that several open batches hold are kept, so
     the work shrinks with each round. Every step is a join or an aggregate over staged tables; verdicts
-    are written per round into one folder.
+    are written per round into one folder, and a round reads only those of the one before: whoever pointed to a batch
+    that was decided earlier was settled then.
     """
     spark = items.sparkSession
     per_url = items.groupBy("batch_id", "original_url").agg(F.count(F.lit(1)).alias("_copies"))
     flawed = F.col("_copies") > 1
-    if links is not None:
+    if links is not None or claims is not None:
         per_url = stage(per_url, "per_url")
+    if links is not None:
         stored = stage(matching(links.select("original_url"), per_url, "original_url").distinct(), "stored")
         per_url = lookup(per_url, stored.withColumn("_stored", F.lit(True)), ["original_url"], ["batch_id"])
         flawed = flawed | F.col("_stored").isNotNull()
+    if claims is not None:
+        claimed = stage(matching(claims.select("original_url", "claimed"), per_url, "original_url"), "claimed")
+        per_url = lookup(per_url, claimed, ["original_url"], ["batch_id"])
+        flawed = flawed | F.coalesce(F.col("claimed") < F.col("batch_id"), F.lit(False))
     pairs = stage(per_url.select("batch_id", "original_url", flawed.alias("_flawed")), "pairs")
-    clean = pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"), F.count(F.lit(1)).alias("_n"))
+    clean = stage(pairs.groupBy("batch_id").agg((~F.bool_or("_flawed")).alias("_clean"), F.count(F.lit(1)).alias("_n")), "clean")
+    kept = clean.where("_clean").drop("_clean")
+    pairs = lookup(pairs.drop("_flawed"), kept, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task)
+    no_batch = F.lit(None).cast(items.schema["batch_id"].dataType)
+    waiting = kept.select("batch_id", no_batch.alias("_to"), F.lit(True).alias("_odd"))
     folder = scratch_path(spark, "verdicts")
-    rounds = 0
-
-    def decide(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Write the state after a round; returns it, and the verdicts of all rounds."""
-        nonlocal rounds
-        state.write.parquet(f"{folder}/round={rounds}")
-        written = spark.read.schema(state.schema).parquet(f"{folder}/round={rounds}")
+    refused = clean.where("not _clean").select("batch_id", F.lit(False).alias("accepted"), no_batch.alias("_to"), F.lit(True).alias("_odd"))
+    refused.write.parquet(f"{folder}/round=0")
+    last, rounds = refused.limit(0), 0
+    while not waiting.isEmpty():
         rounds += 1
-        return written, spark.read.schema(state.schema).parquet(folder).where("accepted is not null").select("batch_id", "accepted")
+        state, pairs = _round(waiting, stage(pairs, "open"), last.select("batch_id", "accepted"))
+        state.write.parquet(f"{folder}/round={rounds}")
+        state = spark.read.schema(refused.schema).parquet(f"{folder}/round={rounds}")
+        last = state.where("accepted is not null")
+        waiting = state.where("accepted is null").drop("accepted")
+        pairs = pairs.join(waiting.select("batch_id"), "batch_id", "left_semi")
+    written = spark.read.schema(refused.schema).parquet(folder)
+    return written.where("accepted is not null").select("batch_id", "accepted")
 
-    refused = clean.where("not _clean").select(
-        "batch_id", F.lit(False).alias("accepted"), F.lit(None).cast(pairs.schema["batch_id"].dataType).alias("_to"), F.lit(True).alias("_odd")
-    )
-    _, decided = decide(refused)
-    kept = clean.where("_clean").drop("_clean")
-    pairs = stage(lookup(pairs.drop("_flawed"), kept, ["batch_id"], ["original_url"], "left_semi", "_n", rows_per_task), "open")
-    pointers = None
-    while not pairs.isEmpty():
-        state, pairs_with_first = _round(pairs, pointers, decided)
-        accepted = state.where("accepted").select("batch_id")
-        taken = stage(pairs_with_first.join(accepted, "batch_id", "left_semi").select("original_url").distinct(), "taken")
-        beaten = pairs_with_first.join(taken, "original_url", "left_semi").select("batch_id").distinct()
-        beaten = beaten.join(accepted, "batch_id", "left_anti").select("batch_id", F.lit(True).alias("_beaten"))
-        # one row per batch of this round: accepted, refused, or null where it stays open
-        state = state.join(beaten, "batch_id", "left")
-        state = state.withColumn("accepted", F.when(F.col("_beaten"), False).otherwise(F.col("accepted"))).drop("_beaten")
-        state, decided = decide(state.select("batch_id", "accepted", "_to", "_odd"))
-        pointers = state.where("accepted is null").select("batch_id", "_to", "_odd")
-        still = pointers.select("batch_id")
-        pairs = stage(pairs_with_first.where("_shared").join(still, "batch_id", "left_semi").select("batch_id", "original_url"), "open")
-    return decided
-
-
-def _round(pairs: DataFrame, pointers: DataFrame | None, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``batch_id, accepted, _to, _odd`` of the batches of staged ``pairs``, and the pairs with ``_shared``: whether another open batch has the URL.
-
-    ``_to`` is a batch that this one depends on alone, ``_odd`` whether it is its opposite.
+
+def _round(waiting: DataFrame, pairs: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``batch_id, accepted, _to, _odd`` of the ``waiting`` batches, null where one stays open, and the ``pairs`` whose URL another of them has.
+
+    ``_to`` is a batch that this one depends on alone, ``_odd`` whether it is its opposite. ``last``: verdicts of the round before.
     """
     # the first two holders of each URL; the limit is taken before the shuffle, so a hot URL costs two rows per task
     rank = F.row_number().over(Window.partitionBy("original_url").orderBy("batch_id"))
     two = pairs.withColumn("_rank", rank).where("_rank <= 2")
     holders = two.groupBy("original_url").agg(F.min("batch_id").alias("_first"), F.max("batch_id").alias("_second"))
     holders = stage(holders.where("_first < _second"), "holders")
-    seen = stage(pairs.join(holders, "original_url", "left").withColumn("_shared", F.col("_first").isNotNull()), "seen")
-    first = ~F.col("_shared") | (F.col("batch_id") == F.col("_first"))
-    second = F.col("batch_id") == F.col("_second")
+    shared = stage(pairs.join(holders, "original_url"), "shared")
+    first, second = F.col("batch_id") == F.col("_first"), F.col("batch_id") == F.col("_second")
     parent = F.when(second, F.col("_first"))
-    facts = seen.groupBy("batch_id").agg(
+    facts = shared.groupBy("batch_id").agg(
         F.bool_and(first).alias("_wins"), F.bool_and(first | second).alias("_simple"),
         F.min(parent).alias("_low"), F.max(parent).alias("_high"),
     )
     depends = F.when(F.col("_simple") & (F.col("_low") == F.col("_high")), F.col("_low"))
-    facts = facts.select("batch_id", "_wins", F.when(~F.col("_wins"), depends).alias("_to"))
-    if pointers is not None:
-        old = pointers.select("batch_id", F.col("_to").alias("_old"), F.col("_odd").alias("_old_odd"))
-        facts = facts.join(old, "batch_id", "left")
-        facts = facts.withColumn("_odd", F.coalesce(F.when(F.col("_old").isNotNull(), F.col("_old_odd")), F.lit(True)))
-        facts = facts.withColumn("_to", F.when(~F.col("_wins"), F.coalesce("_old", "_to"))).drop("_old", "_old_odd")
-    else:
-        facts = facts.withColumn("_odd", F.lit(True))
+    # a batch that shares no URL any more wins; a pointer that there is already stays
+    wins = F.coalesce("_wins", F.lit(True))
+    facts = waiting.join(facts.select("batch_id", "_wins", depends.alias("_new")), "batch_id", "left").select(
+        "batch_id", wins.alias("_wins"), F.when(~wins, F.coalesce("_to", "_new")).alias("_to"),
+        F.when(F.col("_to").isNotNull(), F.col("_odd")).otherwise(True).alias("_odd"),
+    )
     facts = stage(facts, "facts")
-    target = facts.select(
-        F.col("batch_id").alias("_to"), F.col("_wins").alias("_root"), F.col("_to").alias("_next"), F.col("_odd").alias("_next_odd")
-    )
-    jumped = facts.join(target, "_to", "left")
+    target = facts.select(F.col("batch_id").alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_next_odd"))
     odd = F.when(F.col("_next").isNotNull(), F.col("_odd") != F.col("_next_odd")).otherwise(F.col("_odd"))
-    jumped = jumped.withColumn("_odd", odd).withColumn("_to", F.coalesce("_next", "_to"))
-    # what the target came to, in this round or an earlier one
-    known = facts.where("_wins").select("batch_id", F.lit(True).alias("accepted")).unionByName(decided)
+    jumped = facts.join(target, "_to", "left").select("batch_id", "_wins", F.coalesce("_next", "_to").alias("_to"), odd.alias("_odd"))
+    # what the target came to, in this round or the one before
+    known = facts.where("_wins").select("batch_id", F.lit(True).alias("accepted")).unionByName(last)
     known = known.select(F.col("batch_id").alias("_to"), F.col("accepted").alias("_was"))
-    settled = jumped.join(known, "_to", "left")
     accepted = F.when(F.col("_wins"), True).when(F.col("_was").isNotNull(), F.col("_was") != F.col("_odd"))
-    return stage(settled.select("batch_id", accepted.alias("accepted"), "_to", "_odd"), "settled"), seen
+    settled = jumped.join(known, "_to", "left").select("batch_id", accepted.alias("accepted"), "_to", "_odd")
+    taken = stage(shared.join(settled.where("accepted").select("batch_id"), "batch_id", "left_semi").select("original_url").distinct(), "taken")
+    beaten = shared.join(taken, "original_url", "left_semi").select("batch_id").distinct().withColumn("_beaten", F.lit(True))
+    state = settled.join(beaten, "batch_id", "left")
+    verdict = F.coalesce("accepted", F.when(F.col("_beaten"), False))
+    return state.select("batch_id", verdict.alias("accepted"), "_to", "_odd"), shared.select("batch_id", "original_url")
 
 
 def batch_save_unique(

@@ -10,6 +10,7 @@ from linkweave.plans import fixtures as fx
 from linkweave.plans.catalog import query
 from linkweave.plans.fixtures import sql, sql_id
 from linkweave.plans.replay import replay as run_replay
+from linkweave.plans.replay import replay_batches as run_replay_batches
 from linkweave.plans.routes import route_class as classify
 from linkweave.session import stage
 
@@ -473,6 +474,79 @@ def replay(spark, sf_dir):
     return run_replay(request_log(spark, sf_dir))
 
 
+def mixed_log(spark, sf_dir):
+    """All events, and all orders as batches of five: each batch comes right after the event that has its number, by the same user,
+    and asks for URLs that the user's neighbours ask for as well, and for some of its own."""
+    events = request_log(spark, sf_dir)
+    group = F.expr("cast(substr(user_id, 2) as bigint) div 10")
+    key = F.col("o_orderkey")
+    shop = F.concat(F.lit("https://shop.example/g"), F.col("grp").cast("string"), F.lit("/"), (key * 7 % 100).cast("string"))
+    own = F.concat(F.lit("https://o.example/"), F.col("o_custkey").cast("string"))
+    orders = fx.table(spark, sf_dir, "orders").withColumn("n", F.expr("o_orderkey div 5"))
+    rows = orders.join(events.select(F.col("req_id").alias("n"), "ts", "user_id", group.alias("grp")), "n").select(
+        (F.col("n") + 1_000_000_000).alias("req_id"), "ts", "user_id", F.expr("o_orderkey % 5").alias("pos"),
+        F.struct(
+            F.when(key % 211 == 0, " ").otherwise(key.cast("string")).alias("correlation_id"),
+            F.when(key % 97 == 0, " ").when(key % 4 < 2, own).otherwise(shop).alias("original_url"),
+        ).alias("item"),
+    )
+    items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
+    batches_ = rows.groupBy("req_id", "ts", "user_id").agg(items.alias("items")).withColumn("kind", F.lit("batch"))
+    return events.unionByName(batches_, allowMissingColumns=True)
+
+
+@query("replay_batches", sql(f"""
+, posts as (
+  select e.ts, 1000000000 + o_orderkey // 5 as req_id, e.user_id, case when o_orderkey % 211 = 0 then ' ' else 'c' end as correlation_id,
+         case when o_orderkey % 97 = 0 then ' ' when o_orderkey % 4 < 2 then 'https://o.example/' || o_custkey
+              else 'https://shop.example/g' || (cast(substr(e.user_id, 2) as bigint) // 10) || '/' || (o_orderkey * 7 % 100) end as original_url
+  from orders join requests e on e.req_id = o_orderkey // 5),
+claims as (select original_url, min((ts, req_id)) as claimed from requests where event_type in ('signup', 'purchase') and k <> 99 group by original_url),
+posted as (
+  select p.ts, p.req_id, p.user_id, bool_or(p.original_url = ' ' or correlation_id = ' ') as bad, list(p.original_url) as urls,
+         coalesce(bool_or(c.claimed < (p.ts, p.req_id)), false) as late
+  from posts p left join claims c using (original_url) group by all),
+listed as (select *, row_number() over (order by ts, req_id) as i from posted where not bad),
+steps as (
+  select 0::bigint as i, 0::bigint as req_id, []::varchar[] as taken, false as ok
+  union all
+  select b.i, b.req_id, case when free then list_concat(s.taken, b.urls) else s.taken end, free
+  from steps s join listed b on b.i = s.i + 1,
+       lateral (select not late and len(list_distinct(b.urls)) = len(b.urls) and not list_has_any(s.taken, b.urls) as free)),
+asked as (
+  select ts, req_id, user_id, original_url from requests where event_type in ('signup', 'purchase') and k <> 99
+  union all
+  select ts, req_id, user_id, unnest(urls) from posted where req_id in (select req_id from steps where ok)),
+lives as (
+  select {sql_id("l.original_url")} as short_id, l.user_id, l.born, min((d.ts, d.req_id)) filter (where d.req_id is not null) as gone
+  from (select original_url, min((ts, req_id)) as born, arg_min(user_id, (ts, req_id)) as user_id from asked group by original_url) l
+  left join (select * from requests where event_type = 'error' and k % 50 <> 49) d
+    on d.original_url = l.original_url and d.user_id = l.user_id and (d.ts, d.req_id) > l.born
+  group by all),
+log as (select *, {sql_id("original_url")} as short_id, (ts, req_id) as at from requests),
+live as (
+  select g.req_id, count(v.short_id) as n from log g
+  left join lives v on v.user_id = g.user_id and v.born < g.at and (v.gone is null or v.gone > g.at)
+  where g.event_type = 'click' group by g.req_id)
+select g.req_id,
+       case when event_type in ('signup', 'purchase') then 'POST' when event_type = 'error' then 'DELETE' else 'GET' end as method,
+       case event_type when 'signup' then '/' when 'purchase' then '/api/shorten' when 'view' then '/' || g.short_id
+            else '/api/user/urls' end as uri,
+       cast(case when event_type in ('signup', 'purchase') then
+                   case when k = 99 then 400 when v.born = g.at then 201 else 409 end
+                 when event_type = 'view' then
+                   case when v.born is null or v.born > g.at then 404 when v.gone < g.at then 410 else 307 end
+                 when event_type = 'click' then case when n > 0 then 200 else 204 end
+                 else case when k % 50 = 49 then 400 else 202 end end as int) as status
+from log g left join lives v on v.short_id = g.short_id left join live on live.req_id = g.req_id
+union all
+select req_id, 'POST', '/api/shorten/batch',
+       cast(case when bad then 400 when req_id in (select req_id from steps where ok) then 201 else 500 end as int) from posted""").replace(
+    "with ", "with recursive ", 1).replace("\n, posts", ", posts", 1))
+def replay_batches(spark, sf_dir):
+    return run_replay_batches(mixed_log(spark, sf_dir))
+
+
 _METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 _PATHS = ("/", "/api/shorten", "/api/shorten/batch", "/api/user/urls", "/ping", "/some/path", "/api", "/a/", "/api/user/urls/x")
 

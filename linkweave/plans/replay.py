@@ -1,4 +1,4 @@
-"""Replay of a whole request log in ``unique`` mode, without going through it row by row."""
+"""Replay of whole request logs in ``unique`` mode, without going through it row by row."""
 
 from __future__ import annotations
 
@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from linkweave.constants import (
     ACCEPTED,
     BAD_REQUEST,
+    CONFLICT,
     CREATED,
+    FAILED,
     FOLLOWED,
     GONE,
     NO_CONTENT,
     NOT_FOUND,
     OK,
 )
+from linkweave.operators.batches import accepted_items, decide_batches
 from linkweave.operators.deletes import clean_deletes, delete_times
 from linkweave.operators.ranking import running_total
 from linkweave.operators.responses import JSON, TEXT, valid_shorten
-from linkweave.operators.shorten import arrival, shorten_unique
+from linkweave.operators.shorten import arrival, assign_ids, shorten_unique
 from linkweave.operators.skew import ROWS_PER_TASK, lookup
 from linkweave.session import stage
 
-FOLLOW, LIST, DELETE = "follow", "list", "delete"
+FOLLOW, LIST, DELETE, BATCH = "follow", "list", "delete", "batch"
 LIST_URI = "/api/user/urls"
+BATCH_URI = "/api/shorten/batch"
 
 
 def replay(log: DataFrame, rows_per_task: int = ROWS_PER_TASK, **id_options) -> DataFrame:
@@ -33,7 +37,26 @@ def replay(log: DataFrame, rows_per_task: int = ROWS_PER_TASK, **id_options) ->
     shorten request on and is live until the first delete by its owner after that. Requests act in
     the order of time and id; each then compares its own time with those two.
     """
-    shortened, created = _shortens(log, rows_per_task, id_options)
+    return _replayed(log, *_shortens(log, rows_per_task, id_options), rows_per_task)
+
+
+def replay_batches(log: DataFrame, rows_per_task: int = ROWS_PER_TASK, **id_options) -> DataFrame:
+    """Outcome of each request of a log that also has batches: rows of kind ``batch`` with ``items``, an array of
+    ``correlation_id, original_url``.
+
+    Single requests and batches are decided in one order of time and id. A single request always claims its URL; a batch is
+    saved only if it wins all of its URLs. So only batches can depend on each other's fate: a batch with a URL that some
+    single request asked for earlier is refused at once, the others are decided in rounds (``decide_batches``), and then each
+    URL belongs to the earliest of its single requests and the one saved batch that may hold it. Follows, lists and deletes see the links of
+    both. A batch with no item, or with a blank URL or correlation id, is a 400 and claims nothing; a refused one is a 500.
+
+    A batch request is known by its time and id: rows with both the same are copies, each with the same outcome. A null
+    ``items`` is an empty batch. If ids run out, all of a batch fails and the single requests of its URLs with it.
+    """
+    return _replayed(log, *_saves(log, rows_per_task, id_options), rows_per_task)
+
+
+def _replayed(log: DataFrame, shortened: DataFrame, created: DataFrame, rows_per_task: int) -> DataFrame:
     removals = log.where(F.col("kind") == DELETE)
     deleted = delete_times(created, clean_deletes(removals), rows_per_task)
     lives = stage(created.join(deleted, "short_id", "left"), "lives")
@@ -64,6 +87,43 @@ def _shortens(log: DataFrame, rows_per_task: int, id_options: dict) -> tuple[Dat
     return _outcome(outcomes, "POST", uri, F.col("status")).unionByName(refused), created
 
 
+def _saves(log: DataFrame, rows_per_task: int, id_options: dict) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of the shorten requests and batches, and the links of both with their time of creation."""
+    at = arrival(F.col("ts"), F.col("req_id"))
+    asked = valid_shorten(log.where(F.col("kind").isin(TEXT, JSON)).select("req_id", at.alias("_at"), "user_id", "kind", "url"))
+    singles = stage(asked.where("valid").select("req_id", "_at", "user_id", "kind", "original_url"), "singles")
+    posted = stage(log.where(F.col("kind") == BATCH).select("req_id", at.alias("batch_id"), "user_id", "items"), "posted")
+    rows = posted.dropDuplicates(["batch_id"]).select("batch_id", "user_id", F.posexplode("items").alias("pos", "item"))
+    items = stage(accepted_items(rows.select("batch_id", "user_id", "pos", "item.correlation_id", "item.original_url"), rows_per_task), "items")
+
+    claims = singles.groupBy("original_url").agg(F.min("_at").alias("claimed"))
+    verdicts = stage(decide_batches(items.select("batch_id", "original_url"), None, rows_per_task, stage(claims, "claims")), "verdicts")
+    saved = items.join(verdicts.where("accepted"), "batch_id", "left_semi").select("original_url", F.col("batch_id").alias("_at"), "user_id")
+    by_url = singles.select("original_url", "_at", "user_id").unionByName(saved).groupBy("original_url").agg(
+        F.min("_at").alias("_arrival"), F.min_by("user_id", "_at").alias("user_id"), F.count(F.lit(1)).alias("_n")
+    )
+    links = stage(assign_ids(by_url, "original_url", "_arrival", **id_options), "links")
+    lost = links.where("short_id is null")
+    if not lost.isEmpty():  # a batch that did not get all its ids has none of its links
+        failed = verdicts.where("accepted").join(lost.select(F.col("_arrival").alias("batch_id")), "batch_id", "left_semi")
+        failed = stage(failed.select(F.col("batch_id").alias("_arrival"), F.lit(True).alias("_failed")), "failed")
+        links = links.join(failed, "_arrival", "left").withColumn("short_id", F.when(F.col("_failed").isNull(), F.col("short_id"))).drop("_failed")
+        verdicts = verdicts.join(failed.select(F.col("_arrival").alias("batch_id"), "_failed"), "batch_id", "left")
+        verdicts = verdicts.select("batch_id", (F.col("accepted") & F.col("_failed").isNull()).alias("accepted"))
+
+    found = lookup(singles, links.select("original_url", "short_id", "_arrival", "_n"), ["original_url"], ["req_id"], "left", "_n", rows_per_task)
+    status = F.when(F.col("short_id").isNull(), FAILED).when(F.col("_at") == F.col("_arrival"), CREATED).otherwise(CONFLICT)
+    uri = F.when(F.col("kind") == TEXT, "/").otherwise("/api/shorten")
+    outcome = F.when(F.col("accepted").isNull(), BAD_REQUEST).when(F.col("accepted"), CREATED).otherwise(FAILED)
+    outcomes = (
+        _outcome(found, "POST", uri, status)
+        .unionByName(_outcome(asked.where("not valid"), "POST", uri, F.lit(BAD_REQUEST)))
+        .unionByName(_outcome(posted.join(verdicts, "batch_id", "left"), "POST", F.lit(BATCH_URI), outcome))
+    )
+    created = links.where("short_id is not null").select("short_id", "user_id", F.col("_arrival").alias("_created"))
+    return outcomes, created
+
+
 def _follows(log: DataFrame, lives: DataFrame, rows_per_task: int) -> DataFrame:
     clicks = log.where(F.col("kind") == FOLLOW).select(
         "req_id", "short_id", arrival(F.col("ts"), F.col("req_id")).alias("_at")
