@@ -177,14 +177,14 @@ def _round(waiting: DataFrame, pairs: DataFrame, last: DataFrame) -> tuple[DataF
 
 
 def batch_save_unique(
-    items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK, **id_options
+    items: DataFrame, links: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK, index: DataFrame | None = None, **id_options
 ) -> DataFrame:
     """Unique mode: every item with the ``status`` of its batch (201, 400, 500) and, for 201, its
-    ``short_id``."""
+    ``short_id``. ``index``: as in ``shorten_unique``."""
     judged = stage(_judged(items), "judged")
     good = judged.where(F.col("status") == CREATED).drop("status")
     valid = lookup(items, good, ["batch_id"], ["pos"], "left_semi", "_n", rows_per_task)
-    verdicts = decide_batches(valid.select("batch_id", "original_url"), links, rows_per_task)
+    verdicts = decide_batches(valid.select("batch_id", "original_url"), links if index is None else index, rows_per_task)
     code = F.when(F.col("status") == BAD_REQUEST, BAD_REQUEST).when(F.col("accepted"), CREATED).otherwise(FAILED)
     status = judged.join(verdicts, "batch_id", "left").select("batch_id", "_n", code.cast("int").alias("status"))
     marked = stage(lookup(items, status, ["batch_id"], ["pos"], "left", "_n", rows_per_task), "marked")

@@ -129,20 +129,22 @@ def shorten_unique(
     requests: DataFrame,
     links: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    index: DataFrame | None = None,
     **id_options,
 ) -> DataFrame:
     """``requests`` (``req_id, ts, original_url`` and more) with ``short_id, status`` of the outcome.
 
     201 for the first request of a URL that has no link, 409 with the stored id for all others, also
     when the link belongs to somebody else or is deleted, 500 when no free id was found. Copies of one
-    request (same ``req_id`` and ``ts``) get the same outcome; ``new_links`` makes one link of them.
+    request (same ``req_id`` and ``ts``) get the same outcome; ``new_links`` makes one link of them. ``index`` (``original_url, short_id``)
+    is where the store keeps its links by URL, if it has such a table beside ``links``.
     """
     order = arrival(F.col("ts"), F.col("req_id"))
     urls = requests.groupBy("original_url").agg(F.min(order).alias("_arrival"), F.count(F.lit(1)).alias("_n"))
     if links is None:
         resolved = assign_ids(urls, "original_url", "_arrival", **id_options)
     else:
-        hits = matching(links.select("original_url", "short_id"), urls, "original_url")
+        hits = matching((links if index is None else index).select("original_url", "short_id"), urls, "original_url")
         urls = stage(urls.join(hits, "original_url", "left"), "urls")
         known = urls.where("short_id is not null").withColumn("_arrival", F.lit(None).cast("decimal(38,0)"))
         fresh = urls.where("short_id is null").drop("short_id")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from linkweave import schemas
 from linkweave.functions.ids import short_id
 from linkweave.functions.json import decode_line
 from linkweave.functions.tokens import sign_token
-from linkweave.operators import flush, responses
+from linkweave.operators import flush, lookup, responses, shorten
 from linkweave.plans import fixtures as fx
 from linkweave.plans import service
-from linkweave.plans.catalog import query
+from linkweave.plans.catalog import ORACLES, query
 from linkweave.plans.fixtures import sql, sql_id
 from linkweave.plans.queries_scalar import SQL_EVENT
 from linkweave.plans.queries_table import (
@@ -22,7 +24,7 @@ from linkweave.plans.queries_table import (
     shorten_outcomes,
 )
 from linkweave.session import scratch_path
-from linkweave.sources import readers, stores, writers
+from linkweave.sources import readers, stores, versions, writers
 from linkweave.streaming import buffer, jobs
 
 _LINE = ["uuid", "short_id", "original_url", "user_id", "is_deleted"]
@@ -455,6 +457,76 @@ def link_store(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def _bucketed(spark, links, label):
+    store = versions.VersionedStore(spark, scratch_path(spark, label), buckets=8)
+    store.append(links, 0)
+    return store
+
+
+@query("resolve_bucketed", sql("select req_id, short_id, status, location from timed_resolved"))
+def resolve_bucketed(spark, sf_dir):
+    store = _bucketed(spark, fx.links(spark, sf_dir), "bucketed")
+    store.tombstone(ids_to_delete(spark, sf_dir), 0)
+    clicks = fx.clicks(spark, sf_dir)
+    return lookup.resolve(clicks, store.read_for("short_id", clicks)).select("req_id", "short_id", "status", "location")
+
+
+@query("shorten_bucketed", ORACLES["shorten_conflicts"])
+def shorten_bucketed(spark, sf_dir):
+    store = _bucketed(spark, fx.links(spark, sf_dir, "signup"), "bucketed")
+    coming = fx.shorten_requests(spark, sf_dir, "purchase")
+    return shorten.shorten_unique(coming, store.links(), index=store.index()).select("req_id", "short_id", "status")
+
+
+@query("store_versions", sql("""
+, later as (select * from links where original_url not in (select original_url from store)),
+full_table as (
+  select short_id, original_url, user_id, false as is_deleted, created_at from store
+  union all select short_id, original_url, user_id, false, created_at from later),
+marked as (
+  select l.* replace (exists (select 1 from deletes d where d.short_id = l.short_id and d.user_id = l.user_id and d.ts >= l.created_at) as is_deleted)
+  from full_table l)
+select 'first' as version, short_id, original_url, user_id, false as is_deleted from store
+union all select 'both', short_id, original_url, user_id, false from full_table
+union all select name, short_id, original_url, user_id, is_deleted from marked, (values ('deleted'), ('compacted'), ('read before')) as t(name)""").replace(
+    "\n, later", ", later", 1))
+def store_versions(spark, sf_dir):
+    """A store is appended to, deleted from, compacted and cleaned while readers stay on their versions."""
+    signups, everything = fx.links(spark, sf_dir, "signup"), fx.links(spark, sf_dir)
+    store = _bucketed(spark, signups, "versions")
+    first = store.at(store.latest())
+    # a purchase that came before the signup of its URL does not change who had it first in this store
+    store.append(everything.join(signups.select("original_url"), "original_url", "left_anti"), 1)
+    both = store.at(store.latest())
+    store.tombstone(ids_to_delete(spark, sf_dir), 2)
+    deleted = store.at(store.latest())
+    before = deleted.read()  # planned now, run after the compaction
+    store.compact(before=3)
+    store.append(everything.limit(0), 3)
+    store.clean(keep=6)
+    named = {"first": first.read(), "both": both.read(), "deleted": deleted.read(), "read before": before, "compacted": store.read()}
+    parts = [frame.select(F.lit(name).alias("version"), "short_id", "original_url", "user_id", "is_deleted") for name, frame in named.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+class _Compacting(versions.VersionedStore):
+    """Merges all earlier loads after each new one."""
+
+    def append(self, links, load_id, **options):
+        super().append(links, load_id, **options)
+        return self.compact(before=load_id)
+
+
+@query("stream_compaction", ORACLES["stream_shorten"])
+def stream_compaction(spark, sf_dir):
+    """Shorten a stream into a bucketed store that is compacted between its micro-batches."""
+    out = scratch_path(spark, "compaction")
+    store = _Compacting(spark, f"{out}/store", buckets=4)
+    requests_ = fx.shorten_requests(spark, sf_dir)
+    _in_slices(spark, requests_, "requests", lambda stream, checkpoint: jobs.stream_shorten(stream, store, f"{out}/outcomes", checkpoint))
+    return spark.read.parquet(f"{out}/outcomes").select("req_id", "short_id", "status")
+
+
 @query("shorten_job", sql(f"""
 select req_id, cast(case when k = 99 then 400 else status end as int) as status,
        case when k <> 99 then case when kind = 'text' then '{fx.BASE}/' || short_id

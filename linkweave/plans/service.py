@@ -20,7 +20,9 @@ from linkweave.operators.skew import lookup as spread_join
 from linkweave.session import stage
 from linkweave.sources.readers import decode_batch_bodies, decode_url_bodies
 from linkweave.sources.stores import ParquetStore
+from linkweave.sources.versions import VersionedStore
 
+Store = ParquetStore | VersionedStore
 
 UNIQUE, APPEND = "unique", "append"
 
@@ -47,7 +49,7 @@ def identify(requests: DataFrame, key: str) -> DataFrame:
 
 
 def shorten_job(
-    requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str, mode: str = UNIQUE
+    requests: DataFrame, store: Store, load_id: int, base: str, key: str, mode: str = UNIQUE
 ) -> Answers:
     """POST of one URL, as text or as a JSON object. ``mode`` is ``unique`` or ``append``."""
     known = identify(requests, key)
@@ -55,8 +57,11 @@ def shorten_job(
     objects = decode_url_bodies(known.where(F.col("kind") == responses.JSON)).drop("status")
     asked = stage(responses.valid_shorten(texts.unionByName(objects).drop("body")), "asked")
     valid = asked.where("valid").drop("valid", "url")
-    save = shorten.shorten_unique if mode == UNIQUE else shorten.shorten_append
-    outcomes = stage(save(valid, store.links(before=load_id)), "outcomes")
+    links = store.links(before=load_id)
+    if mode == UNIQUE:
+        outcomes = stage(shorten.shorten_unique(valid, links, index=store.index(before=load_id)), "outcomes")
+    else:
+        outcomes = stage(shorten.shorten_append(valid, links), "outcomes")
     store.append(shorten.new_links(outcomes), load_id)
     no_text = F.lit(None).cast("string")
     refused = asked.where("not valid").select(
@@ -66,14 +71,14 @@ def shorten_job(
     return Answers(answered.unionByName(refused), responses.shorten_events(outcomes))
 
 
-def follow_job(requests: DataFrame, store: ParquetStore, key: str) -> Answers:
+def follow_job(requests: DataFrame, store: Store, key: str) -> Answers:
     """GET of a short id (column ``short_id``)."""
     asked = stage(identify(requests, key), "asked")
     outcomes = stage(lookup.resolve(asked, store.read_for("short_id", asked)), "outcomes")
     return Answers(outcomes.select("req_id", "status", "location", "new_token"), responses.follow_events(outcomes))
 
 
-def list_job(requests: DataFrame, store: ParquetStore, base: str, key: str) -> Answers:
+def list_job(requests: DataFrame, store: Store, base: str, key: str) -> Answers:
     """GET of the user's links. The links are in ``lists`` once per user, not once per request."""
     asked = stage(identify(requests, key).select("req_id", "user_id", "new_token"), "asked")
     links = stage(store.read_for("user_id", asked), "links")  # the store is read once
@@ -83,14 +88,14 @@ def list_job(requests: DataFrame, store: ParquetStore, base: str, key: str) -> A
     return Answers(answered, lists=lists)
 
 
-def delete_job(requests: DataFrame, store: ParquetStore, load_id: int, key: str) -> Answers:
+def delete_job(requests: DataFrame, store: Store, load_id: int, key: str) -> Answers:
     """DELETE of a list of ids; the tombstones are written before the job ends."""
     asked = responses.valid_delete(identify(requests, key).withColumn("valid", F.lit(True)))
     store.tombstone(deletes.clean_deletes(asked.where("ids is not null")), load_id)
     return Answers(asked.select("req_id", "status", "new_token"))
 
 
-def batch_job(requests: DataFrame, store: ParquetStore, load_id: int, base: str, key: str, mode: str = UNIQUE) -> Answers:
+def batch_job(requests: DataFrame, store: Store, load_id: int, base: str, key: str, mode: str = UNIQUE) -> Answers:
     """POST of a list of URLs, all or nothing. The requests act in the order of ``req_id``; in ``append`` mode every valid batch is saved.
 
     The answer of a saved batch is one row per item, in order of ``pos``.
@@ -99,7 +104,7 @@ def batch_job(requests: DataFrame, store: ParquetStore, load_id: int, base: str,
     items = stage(decode_batch_bodies(known.withColumnRenamed("req_id", "batch_id")).drop("body"), "items")
     good = items.where("status is null").drop("status")
     if mode == UNIQUE:
-        saved = stage(batches.batch_save_unique(good, store.links(before=load_id)), "saved")
+        saved = stage(batches.batch_save_unique(good, store.links(before=load_id), index=store.index(before=load_id)), "saved")
     else:
         saved = stage(batches.batch_save_append(good, store.links(before=load_id)), "saved")
     created = saved.where(F.col("status") == CREATED)

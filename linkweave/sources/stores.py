@@ -70,6 +70,10 @@ class ParquetStore:
         """Links as they were appended, without deletes."""
         return _read_loads(self.spark, f"{self.path}/links", _LINK, before)
 
+    def index(self, before: int | None = None) -> DataFrame:
+        """``original_url, short_id`` of all links."""
+        return self.links(before).select("original_url", "short_id")
+
     def tombstones(self, before: int | None = None) -> DataFrame:
         return _read_loads(self.spark, f"{self.path}/tombstones", _TOMBSTONE, before)
 

@@ -18,6 +18,7 @@ from linkweave.operators.lookup import resolve
 from linkweave.operators.shorten import new_links, shorten_append, shorten_unique
 from linkweave.session import scratch_scope
 from linkweave.sources.stores import LinkStore, ParquetStore
+from linkweave.sources.versions import VersionedStore
 from linkweave.sources.writers import Send, post_pending
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -34,7 +35,7 @@ def _start(stream: DataFrame, work: Sink, checkpoint: str, trigger: Mapping) ->
 
 
 def stream_shorten(
-    requests: DataFrame, store: ParquetStore, outcomes: str, checkpoint: str, trigger: Mapping = AVAILABLE_NOW,
+    requests: DataFrame, store: ParquetStore | VersionedStore, outcomes: str, checkpoint: str, trigger: Mapping = AVAILABLE_NOW,
     mode: str = "unique",
 ) -> StreamingQuery:
     """Shorten a stream of requests. In ``unique`` mode the first writer of a URL wins, across and
@@ -47,8 +48,9 @@ def stream_shorten(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         path = f"{outcomes}/batch={batch_id}"
-        shorten = shorten_unique if mode == "unique" else shorten_append
-        shorten(batch, store.links(before=batch_id)).write.mode("overwrite").parquet(path)
+        links = store.links(before=batch_id)
+        made = shorten_unique(batch, links, index=store.index(before=batch_id)) if mode == "unique" else shorten_append(batch, links)
+        made.write.mode("overwrite").parquet(path)
         # the written outcomes, not a second evaluation of them
         store.append(new_links(batch.sparkSession.read.parquet(path)), batch_id)
 
