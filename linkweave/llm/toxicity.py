@@ -7,18 +7,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import held_out, most_frequent, session, stage, view
+from linkweave.llm.common import held_out, session, stage, view
 
-# The models learn from at most FIT_DOCS labelled documents of each class, those with the least hashes; of these one
-# in CALIBRATE is kept to fit the curve from log-likelihoods to a score. WORDS and PAIRS bound the tables that are sent out.
+# The models learn from FIT_DOCS labelled documents of each class on average, chosen by a hash, or from all if there are fewer. Of
+# these one text in CALIBRATE is kept to fit the curve from log-likelihoods to a score.
 FIT_DOCS, CALIBRATE = 4000, 4
-WORDS, PAIRS = 200_000, 400_000
-# The discount: so many different words before a word or a bigram are left to the shared backoff. It grows from the
-# first to the second figure with the documents of the smaller class, one for each RARE_STEP, as chance finds grow with them.
-RARE_LEAST, RARE_MOST, RARE_STEP = 3.0, 8.0, 50
+# A text is as toxic as its passages: lengths, in words, of those whose likelihoods are compared beside the whole text's.
+PASSAGES = (1, 2, 4)
 THRESHOLD = 0.7
 # ASCII other than letters and digits parts words; other bytes stay.
 FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -51,114 +49,126 @@ class KneserNey:
     pair_key: np.ndarray  # sorted keys before * (words + 1) + word
     pair_p: np.ndarray  # pairs x 2: the discounted shares of a bigram
     back: np.ndarray  # words + 1 x 2: the weight of the backoff after a word
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(len(PASSAGES) + 3))
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """The difference of mean log-likelihoods, the same in standard errors, and the share of its positive part."""
-        words = words_of(text)
-        n = len(words)
-        if not n:
-            return 0.0, 0.0, 0.0
-        unknown = len(self.number)
-        get = self.number.get
-        ids = np.fromiter((get(w, unknown) for w in words), np.int64, n)
-        before = np.concatenate([[unknown], ids[:-1]])
+    def probabilities(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The chance of each word after the word before it, in both classes."""
         p = self.word_p[ids] * self.back[before]
-        key = before * (unknown + 1) + ids
+        key = before * (len(self.number) + 1) + ids
         at = np.searchsorted(self.pair_key, key)
         at[at == len(self.pair_key)] = 0
         if len(self.pair_key):
             hit = self.pair_key[at] == key
             p[hit] += self.pair_p[at[hit]]
-        gain = np.log(p[:, 1]) - np.log(p[:, 0])
-        total = float(gain.sum())
-        return total / n, total / np.sqrt(n), float(np.clip(gain - 2.0, 0, None).sum())
+        return p
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Toxic minus ordinary log-likelihood, each divided by the number of words: of the passages of each length in PASSAGES that
+        have most of it, of the whole text by words, and of the whole text by bigrams."""
+        words = words_of(text)
+        n = len(words)
+        if not n:
+            return (0.0,) * (len(PASSAGES) + 2)
+        unknown = len(self.number)
+        get = self.number.get
+        ids = np.fromiter((get(w, unknown) for w in words), np.int64, n)
+        gain = np.log(self.word_p[ids, 1] / self.word_p[ids, 0])
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        best = [float((sums[k:] - sums[:-k]).max()) / k for k in (min(k, n) for k in PASSAGES)]
+        p = self.probabilities(np.concatenate([[unknown], ids[:-1]]), ids)
+        return (*best, float(sums[-1]) / n, float(np.log(p[:, 1] / p[:, 0]).mean()))
 
     def score(self, found: np.ndarray) -> np.ndarray:
-        z = found @ self.curve[:3] + self.curve[3]
+        z = found @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate(words: list[tuple], pairs: list[tuple], rare: float) -> KneserNey:
-    """The models from rows (word, kinds, ordinary kinds, toxic kinds) and (before, word, ordinary kinds, toxic kinds).
+def discounts(histogram: dict[int, int]) -> np.ndarray:
+    """What counts of 0, 1, 2, and 3 or more give up, from the numbers of counts of 1 to 4: modified Kneser-Ney. Where one of them is missing, 3/4."""
+    n1, n2, n3, n4 = (histogram.get(i, 0) for i in (1, 2, 3, 4))
+    if not (n1 and n2 and n3):
+        return np.array([0.0, 0.75, 0.75, 0.75])
+    y = n1 / (n1 + 2 * n2)
+    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return np.array([0.0, *(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))])
+
+
+def _given_up(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(counts, 3).astype(np.int64)]
+
+
+def estimate(words: pa.Table, pairs: pa.Table) -> KneserNey:
+    """The models from the tables ``word, kinds, k0, k1`` and ``before, word, k0, k1``, of all words and bigrams of the sample.
 
     All counts are continuation counts: after how many different words a word, or a bigram, occurs. A
-    text that repeats itself or is copied adds nothing to them. Words that are not listed are one unknown word; bigrams that
-    are not listed are left to the backoff, whose weight is what the listed ones leave.
+    text that repeats itself or is copied adds nothing to them. What the discounts take goes to the level below, so each context's
+    probabilities add up to one; the lowest level is shared by the classes and has one place for all words that were not seen.
     """
-    number = {row[0].encode(): i for i, row in enumerate(words)}
+    number = {w.encode(): i for i, w in enumerate(words.column("word").to_pylist())}
     unknown = len(number)
-    kinds = np.zeros((unknown + 1, 3))
-    kinds[:unknown] = np.array([row[1:4] for row in words], float).reshape(-1, 3)
-    shared = kinds[:, 0] + 1
+    whole = lambda table, c: table.column(c).to_numpy().astype(np.float64)
+    shared = np.append(whole(words, "kinds"), 0.0) + 1
     shared /= shared.sum()
-    word_p = np.empty((unknown + 1, 2))
-    for c in range(2):
-        own = np.maximum(kinds[:, 1 + c] - rare, 0)
-        total = max(kinds[:, 1 + c].sum(), 1.0)
-        word_p[:, c] = own / total + (1 - own.sum() / total) * shared
-    first = np.array([number[row[0].encode()] for row in pairs], np.int64)
-    second = np.array([number[row[1].encode()] for row in pairs], np.int64)
-    counts = np.array([row[2:4] for row in pairs], float).reshape(-1, 2)
-    key = first * (unknown + 1) + second
+    ids = lambda c: np.array([number.get(w.encode(), unknown) for w in pairs.column(c).to_pylist()], np.int64)
+    first = ids("before")  # the start of a text is no word: it stands in the place of the unknown one
+    key = first * (unknown + 1) + ids("word")
     order = np.argsort(key)
-    key, first, counts = key[order], first[order], counts[order]
-    total = np.zeros((unknown + 1, 2))
-    total[:unknown] = np.array([row[4:6] for row in words], float).reshape(-1, 2)  # of bigrams that start with the word
-    share = np.maximum(counts - rare, 0) / np.maximum(total[first], 1)
-    taken = np.zeros((unknown + 1, 2))
-    np.add.at(taken, first, share)
-    return KneserNey(number, word_p, key, share, np.maximum(1 - taken, 0.01))
+    key, first = key[order], first[order]
+    word_p, share, back = np.empty((unknown + 1, 2)), np.empty((len(key), 2)), np.ones((unknown + 1, 2))
+    histogram = lambda counts: dict(zip(*(x.tolist() for x in np.unique(counts, return_counts=True))))
+    for c in range(2):
+        kinds = whole(words, f"k{c}")
+        lost = _given_up(kinds, discounts(histogram(kinds)))
+        total = max(kinds.sum(), 1.0)
+        left = lost.sum() / total if kinds.sum() else 1.0
+        word_p[:, c] = np.append((kinds - lost) / total, 0.0) + left * shared
+        counts = whole(pairs, f"k{c}")[order]
+        lost = _given_up(counts, discounts(histogram(counts)))
+        of_first, lost_first = (np.bincount(first, x, unknown + 1) for x in (counts, lost))
+        share[:, c] = (counts - lost) / np.maximum(of_first[first], 1)
+        seen = of_first > 0
+        back[seen, c] = lost_first[seen] / of_first[seen]
+    return KneserNey(number, word_p, key, share, back)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps, with a little shrinkage; features are scaled inside."""
-    scale = np.maximum(np.abs(x).std(axis=0), 1e-9)
+    scale = np.maximum(x.std(axis=0), 1e-9)
     z = np.hstack([x / scale, np.ones((len(x), 1))])
-    w = np.zeros(4)
+    w = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         pull = z.T @ (p - y) + 0.01 * len(y) / 100 * w
-        bend = (z * (p * (1 - p))[:, None]).T @ z + (0.01 * len(y) / 100 + 1e-6) * np.eye(4)
+        bend = (z * (p * (1 - p))[:, None]).T @ z + (0.01 * len(y) / 100 + 1e-6) * np.eye(z.shape[1])
         w -= np.linalg.solve(bend, pull)
-    return np.concatenate([w[:3] / scale, w[3:]])
+    return np.concatenate([w[:-1] / scale, w[-1:]])
 
 
 def fit(sample: DataFrame) -> KneserNey:
-    """Learn from the staged sample ``text, toxic, spare``. Words and bigrams are counted on the executors; those that the
-    discounts leave something of reach the driver, at most WORDS and PAIRS of them, the most frequent."""
-    classes = {r.toxic: r["count"] for r in sample.where("not spare").groupBy("toxic").count().collect()}
-    rare = min(RARE_MOST, RARE_LEAST + min(classes.get(0, 0), classes.get(1, 0)) // RARE_STEP)
+    """Learn from the staged sample ``text, toxic, spare``. Words and bigrams are counted on the executors; all of the
+    sample's reach the driver, a few numbers each, so they are bounded as the sample is."""
     runs = sample.where("not spare").select("text", "toxic").mapInArrow(_counter, "toxic int, far string, before string, word string")
-    of = lambda c: F.count_if(F.col("toxic") == c)
+    of = lambda c: F.count_if(F.col("toxic") == c).cast("int")
     pairs = stage(runs.distinct().groupBy("before", "word").agg(of(0).alias("k0"), of(1).alias("k1")), "pairs")
-    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("k0") > 0).alias("k0"), F.count_if(F.col("k1") > 0).alias("k1"))
-    words = most_frequent(stage(words.where("kinds > 1"), "kinds"), "kinds", WORDS)
-    starts = pairs.groupBy("before").agg(F.sum("k0").alias("s0"), F.sum("k1").alias("s1"))
-    words = words.join(starts, F.col("word") == F.col("before"), "left").drop("before").fillna(0)
-    words = stage(words, "words")
-    name = words.select(F.col("word").alias("known"))
-    often = pairs.where(F.greatest("k0", "k1") > rare).join(name, F.col("word") == F.col("known"), "left_semi")
-    often = often.join(name, F.col("before") == F.col("known"), "left_semi")
-    often = most_frequent(stage(often.withColumn("all", F.col("k0") + F.col("k1")), "often"), "all", PAIRS).drop("all")
-    rows = lambda df: list(zip(*(c.to_pylist() for c in df.toArrow().columns)))
-    model = estimate(rows(words.orderBy("word")), rows(often.orderBy("before", "word")), rare)
-    spare = sample.where("spare").select("text", "toxic").mapInArrow(_featurer(model), "toxic int, a double, b double, c double")
-    spare = spare.orderBy("a", "b", "c", "toxic").collect()
+    some = lambda c: F.count_if(F.col(c) > 0).cast("int")
+    words = pairs.groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("kinds"), some("k0").alias("k0"), some("k1").alias("k1"))
+    model = estimate(words.toArrow().sort_by("word"), pairs.toArrow())
+    names = [f"f{i}" for i in range(len(PASSAGES) + 2)]
+    spare = sample.where("spare").select("text", "toxic").mapInArrow(_featurer(model, names), "toxic int, " + ", ".join(f"{n} double" for n in names))
+    spare = spare.orderBy(*names, "toxic").collect()
     if spare and len({r.toxic for r in spare}) == 2:
-        x = np.array([[r.a, r.b, r.c] for r in spare])
-        model.curve = _curve(x, np.array([float(r.toxic) for r in spare]))
+        model.curve = _curve(np.array([r[1:] for r in spare]), np.array([float(r.toxic) for r in spare]))
     else:
-        model.curve = np.array([0.0, 1.0, 0.0, -1.0])
+        model.curve = np.array([1.0, *[0.0] * (len(PASSAGES) + 1), -3.0])
     return model
 
 
-def _featurer(model: KneserNey):
+def _featurer(model: KneserNey, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.features(t) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("toxic"), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "a", "b", "c"])
+            columns = [batch.column("toxic"), *(pa.array([f[i] for f in found], pa.float64()) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", *names])
 
     return run
 
@@ -166,7 +176,8 @@ def _featurer(model: KneserNey):
 def score(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (3, 1), fit_docs: int = FIT_DOCS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    The models learn from at most ``fit_docs`` documents of each class, those whose ids have the least hashes.
+    The models learn from ``fit_docs`` labelled documents of each class on average, those whose ids have the least hashes, or from all if
+    there are fewer.
     Labels teach only through rows that are not held out (crc32(doc_id) mod ``test[0]`` equal to ``test[1]``, or no id);
     a null label teaches nothing, of several labels of an id the greatest counts. Scores use whole texts and nothing else;
     a null, empty or wordless text gets the score of no evidence. Without labels of both classes the scores rest on
@@ -176,16 +187,20 @@ def score(docs: DataFrame, labels: DataFrame, test: tuple[int, int] = (3, 1), fi
     texts = view(docs).withColumn("held_out", held_out(*test))
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = marked.agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)").where(~held_out(*test))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("rank", rank).where(F.col("rank") <= fit_docs)
-    chosen = stage(chosen.select("doc_id", "toxic", (F.col("rank") % CALIBRATE == 0).alias("spare")), "chosen")
-    # at most two times fit_docs rows
-    taught = texts.where(~F.col("held_out")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "spare")
+    marked = stage(marked, "marked")
+    sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    # a document is taken if its hash, as a number from 0 to 1, lies below the share of its class that is wanted
+    at = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    share = F.element_at(F.lit([fit_docs / max(sizes.get(c, 1), 1) for c in (0, 1)]), F.col("toxic") + 1)
+    chosen = stage(marked.where(at < share), "chosen")
+    # about two times fit_docs rows
+    taught = texts.where(~F.col("held_out")).join(F.broadcast(chosen), "doc_id")
+    taught = taught.select("text", "toxic", (F.pmod("text_hash", F.lit(CALIBRATE)) == 0).alias("spare"))
     model = spark.broadcast(fit(stage(taught.repartition("text"), "sample")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([model.value.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            found = np.array([model.value.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(PASSAGES) + 2)
             scores = model.value.score(found)
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())]
             columns.append(pa.array((scores >= THRESHOLD).astype(np.int32)))

@@ -203,13 +203,37 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs = common.load(spark, MEDIUM, "documents")
-    out = toxicity.score(docs, common.load(spark, MEDIUM, "labels")).join(docs, "doc_id").collect()
-    harsh = re.compile(r"(?i)\b(worthless|loser|trash|clown|scum|pathetic|idiot|disgusting|moron|stupid)\b")
-    held = [r for r in out if r.held_out]
-    bad = [r.predicted for r in held if len(harsh.findall(r.text)) > 1]
-    assert np.mean(bad) > 0.6 and np.mean([r.predicted for r in held if not harsh.search(r.text)]) < 0.03
-    assert {r.doc_id for r in held} == {r.doc_id for r in out if crc(r.doc_id) % 3 == 1}
+    """All labelled documents that were held out, whatever words they hold."""
+    large = "/root/testdata/sf0.1"
+    labels = common.load(spark, large, "labels").where("toxic is not null")
+    out = toxicity.score(common.load(spark, large, "documents"), labels).where("held_out").join(labels, "doc_id").select("doc_id", "score", "predicted", "toxic").collect()
+    assert all(crc(r.doc_id) % 3 == 1 for r in out)
+    clean, toxic = (np.array([r.score for r in out if r.toxic == c]) for c in (0, 1))
+    assert len(toxic) > 100 and (toxic > np.quantile(clean, 0.9)).mean() >= 0.9
+    flagged = {c: np.mean([r.predicted for r in out if r.toxic == c]) for c in (0, 1)}
+    assert flagged[1] > 0.7 and flagged[0] < 0.02
+
+
+def test_toxicity_models_add_up_to_one(spark):
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(f"w{i}" for i in rng.zipf(1.4, 40) % 50), int(c), False) for c in (0, 0, 0, 1) for _ in range(30)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int, spare boolean"))
+    n = len(model.number)
+    for before in range(n + 1):
+        assert np.allclose(model.probabilities(np.full(n + 1, before), np.arange(n + 1)).sum(axis=0), 1.0)
+    assert np.allclose(model.word_p.sum(axis=0), 1.0) and (model.word_p > 0).all()
+    # every bigram of the sample has its share, one with a single context too
+    seen = {(c, a, b) for t, c, _ in rows for a, b in zip(t.split(), t.split()[1:])}
+    where = dict(zip(model.pair_key.tolist(), model.pair_p))
+    for c, a, b in seen:
+        assert where[model.number[a.encode()] * (n + 1) + model.number[b.encode()]][c] > 0
+
+
+def test_discounts_by_counts_of_counts():
+    d = toxicity.discounts({1: 100, 2: 40, 3: 20, 4: 10, 5: 3})
+    y = 100 / 180
+    assert np.allclose(d, [0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.5])
+    assert toxicity.discounts({1: 5}).tolist() == [0, 0.75, 0.75, 0.75]
 
 
 def test_language_model(spark):
