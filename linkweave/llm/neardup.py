@@ -87,7 +87,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def _sketcher(size: int):
@@ -104,10 +104,10 @@ def _sketcher(size: int):
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 signs.append(packed(least).tolist())
                 bands.append(band_keys(least))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())]
             columns += [pa.array([s[i] for s in signs], pa.int64()) for i in range(4)]
             columns.append(pa.array(bands, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"])
 
     return run
 
@@ -250,9 +250,14 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
     no component and is kept. Repeated rows of an id get the same verdict; rows of one id with
     different texts are judged each by its text. An empty table gives an empty result.
     """
+    return _verdicts(docs, shingle, percent).drop("text_hash")
+
+
+def _verdicts(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``components`` with the ``text_hash`` that tells rows of one id apart."""
     session(docs.sparkSession)
+    sketch = stage(view(docs).select("doc_id", "text_hash", "text").mapInArrow(_sketcher(shingle), SKETCH), "sketch")
     texts = view(docs).select("doc_id", "text")
-    sketch = stage(texts.mapInArrow(_sketcher(shingle), SKETCH), "sketch")
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     members, signs = _bands(named, classes)
@@ -302,9 +307,10 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> Dat
 
     named_classes = classes.join(component, F.col("class_id") == F.col("node"), "left")
     table = stage(named_classes.select("set_key", F.coalesce("label", "class_id").alias("component")), "table")
-    rows = sketch.select("doc_id", "n_shingles", "set_key").alias("s").join(table.alias("t"), F.col("s.set_key") == F.col("t.set_key"), "left")
+    rows = sketch.select("doc_id", "text_hash", "n_shingles", "set_key").alias("s").join(table.alias("t"), F.col("s.set_key") == F.col("t.set_key"), "left")
     return rows.select(
         F.col("s.doc_id").alias("doc_id"),
+        "text_hash",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "doc_id"))).alias("kept"),
@@ -326,9 +332,15 @@ def _mixed_groups(groups: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that represent their component; rows without an id stay."""
-    gone = components(docs, shingle, percent).where("not kept").select("doc_id").distinct()
-    return attach(docs, stage(gone, "gone"), ["doc_id"], "left_anti", row_bytes=16)
+    """The rows of ``docs`` that represent their component, each text of an id by its own verdict; of rows that repeat an id with its
+    text one stays. Rows without an id, or without a word, all stay."""
+    judged = _verdicts(docs, shingle, percent).where("doc_id is not null and n_shingles > 0")
+    marks = judged.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept__"), F.count(F.lit(1)).alias("rows__"))
+    marks = stage(marks.where("not kept__ or rows__ > 1"), "marks").withColumnRenamed("text_hash", "hash__")
+    rows = docs.withColumn("hash__", F.xxhash64(F.col("text").cast("string")))
+    rows = attach(rows, marks, ["doc_id", "hash__"], row_bytes=32).where(F.coalesce("kept__", F.lit(True)))
+    once = rows.where("rows__ > 1").dropDuplicates(["doc_id", "hash__"])  # few texts are shuffled here
+    return rows.where("rows__ is null").unionByName(once).select(*docs.columns)
 
 
 def oracle(shingle: int = 2, percent: int = PERCENT) -> str:

@@ -15,8 +15,8 @@ from linkweave.llm.common import attach, session, stage, view
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-# A line is frequent on a host if more than LINE_DOCS documents with different texts hold it, and more than LINE_SHARE of them all.
-LINE_DOCS, LINE_SHARE = 10, 0.10
+# A line is frequent on a host if more than LINE_DOCS documents with different texts hold it, however large the host is.
+LINE_DOCS = 10
 # A document is depleted if less than this share of its words stays.
 LEAST_LEFT = 1 / 3
 
@@ -86,13 +86,12 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return stage(base.withColumn("row", F.monotonically_increasing_id()), "measured")
 
 
-def frequent_lines(base: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """``host, line`` above both limits, staged. Copies of one text count as one document, so a group of
+def frequent_lines(base: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """``host, line`` above the limit, staged. Copies of one text count as one document, so a group of
     copies does not turn its own lines into boilerplate. Counting distinct texts spreads a hot line by text first."""
     lines = base.select("host", "text_hash", F.explode("lines").alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("docs")).where(F.col("docs") > line_docs)
-    sizes = stage(base.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs")), "hosts")
-    return stage(attach(counts, sizes, ["host"]).where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line"), "frequent")
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("docs"))
+    return stage(counts.where(F.col("docs") > line_docs).select("host", "line"), "frequent")
 
 
 def judge(base: DataFrame, frequent: DataFrame, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -114,7 +113,7 @@ def judge(base: DataFrame, frequent: DataFrame, least_left: float = LEAST_LEFT)
     )
 
 
-def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the measures, ``base_failed``, ``kept``, ``removed_words``, ``depleted``.
 
     A null text has no words (so it fails), a null host is a host of its own, repeated rows get a row
@@ -122,7 +121,7 @@ def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
     """
     session(docs.sparkSession)
     base = measured(docs, host)
-    judged = judge(base, frequent_lines(base, line_docs, line_share))
+    judged = judge(base, frequent_lines(base, line_docs))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "depleted"
     )
@@ -169,9 +168,7 @@ said as (select doc_id, source, h, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D
   regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') as k from line),
 full_line as (select * from said where n > 0),
 dup as (select doc_id, count(*) - count(distinct l) as n from full_line group by 1),
-size_of as (select source, count(distinct h) as d from base group by 1),
-often as (select f.source, k from full_line f join size_of s on f.source is not distinct from s.source
-  group by f.source, k, s.d having count(distinct h) > {LINE_DOCS} and count(distinct h) > {LINE_SHARE}::double * s.d),
+often as (select source, k from full_line group by source, k having count(distinct h) > {LINE_DOCS}),
 gone as (select f.doc_id, sum(n) as n from full_line f join often o on f.source is not distinct from o.source and f.k = o.k group by 1),
 m as (select b.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,

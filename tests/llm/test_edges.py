@@ -119,3 +119,14 @@ def test_stages_on_odd_rows(spark, odd, nothing, tmp_path, name, step):
 
 def test_extra_columns_do_not_reach_results(spark, odd):
     assert quality.clean(odd.select("doc_id", "text", "lang", "source", "n_chars")).where(F.col("doc_id") == 9).count() == 1
+
+
+def test_near_dedup_keeps_what_is_judged_kept(spark):
+    """One id with two texts, one of them a copy; and rows that repeat an id with its text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (6, a), (6, c), (7, b), (7, b), (8, ""), (8, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.components(docs).collect() if r.doc_id in (5, 6))
+    assert judged == [(5, 5, True), (6, 5, False), (6, 6, True)]
+    got = sorted((r.doc_id or 0, r.text) for r in neardup.deduplicated(docs).collect())
+    assert got == [(0, a), (5, a), (6, c), (7, b), (8, ""), (8, "")]

@@ -4,7 +4,7 @@ import collections
 
 import numpy as np
 
-from linkweave.llm import decontaminate, languagemodel
+from linkweave.llm import decontaminate, languagemodel, quality
 
 
 def test_every_bigram_keeps_its_own_share(spark, monkeypatch):
@@ -58,3 +58,12 @@ def test_a_given_answer_need_not_stand_in_the_question(spark):
     other = " ".join(f"z{i}" for i in range(200))
     texts = [" ".join(half(question)) + " forty two", " ".join(half(question)), " ".join(half(question[:40])) + " forty two", other]
     assert leaked(spark, texts, [(1, " ".join(question), "Forty two.")]) == {(0, 1), (2, 1)}
+
+
+def test_a_line_in_a_small_part_of_a_large_host_goes(spark):
+    own = lambda i: "\n".join(" ".join(f"d{i}w{j}x{k}" for k in range(12)) for j in range(6))
+    shares = {"one in a hundred of all pages says this": 100, "three in a hundred say that": 33, "five in a hundred say so": 20}
+    texts = ["\n".join([own(i), *(line for line, step in shares.items() if i % step == 0)]) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t, "en", "big", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert cut == {i: own(i) for i in range(1500)}
