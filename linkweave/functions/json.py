@@ -18,6 +18,10 @@ def _typed(value: Column) -> Column:
     return F.struct(F.schema_of_variant(value).alias("kind"), value.alias("value"))
 
 
+# The variant's name of each type a field may have, and its value when it is absent.
+_ZEROS = {T.BooleanType: ("BOOLEAN", False), T.StringType: ("STRING", ""), T.LongType: ("BIGINT", 0)}
+
+
 def _field(entries: Column, name: str, data_type: T.DataType) -> Column:
     """``struct(value, fits)`` of one object field; an absent or null field has the zero value.
 
@@ -25,13 +29,13 @@ def _field(entries: Column, name: str, data_type: T.DataType) -> Column:
     """
     loose = F.map_values(F.map_filter(entries, lambda key, _: F.lower(key) == name))
     raw = F.coalesce(F.try_element_at(entries, F.lit(name)), F.try_element_at(loose, F.lit(-1)))
-    want, zero = ("BOOLEAN", F.lit(False)) if isinstance(data_type, T.BooleanType) else ("STRING", F.lit(""))
+    want, zero = _ZEROS[type(data_type)]
 
     def decode(field: Column) -> Column:
         absent = field["value"].isNull() | (field["kind"] == "VOID")
         value = F.try_variant_get(field["value"], "$", data_type.simpleString())
         return F.struct(
-            F.when(absent, zero).otherwise(value).alias("value"), (absent | (field["kind"] == want)).alias("fits")
+            F.when(absent, F.lit(zero).cast(data_type)).otherwise(value).alias("value"), (absent | (field["kind"] == want)).alias("fits")
         )
 
     return _once(_typed(raw), decode)

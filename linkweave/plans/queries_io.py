@@ -24,8 +24,8 @@ from linkweave.plans.queries_table import (
     shorten_outcomes,
 )
 from linkweave.session import scratch_path
-from linkweave.sources import readers, stores, versions, writers
-from linkweave.streaming import buffer, jobs
+from linkweave.sources import ledger, readers, stores, versions, writers
+from linkweave.streaming import buffer, intake, jobs
 
 _LINE = ["uuid", "short_id", "original_url", "user_id", "is_deleted"]
 _SQL_LINE = "select '' as uuid, short_id, original_url, user_id, is_deleted"
@@ -660,3 +660,97 @@ def stream_tumbling_deletes(spark, sf_dir):
         ),
     )
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("window_start"), "user_id", "n_ids")
+
+
+def _in_text_slices(spark, rows, label, run):
+    """``_in_slices`` for rows with a ``line``: gzip text, in three parts by time."""
+    root = scratch_path(spark, label)
+    early, middle = (F.col("ts") < F.lit(cut).cast("timestamp_ntz") for cut in _CUTS)
+    for number, part in enumerate((early, middle & ~early, ~middle)):
+        rows.where(part).select("line").write.option("compression", "gzip").text(f"{root}/in/slice={number}")
+        run(intake.body_stream(spark, f"{root}/in"), f"{root}/checkpoint").awaitTermination()
+
+
+# Every request as a JSON body: whole, cut off, a URL of a wrong type, null, blank, text behind the value, no JSON at all.
+_SQL_BODY = """
+select req_id, case k % 8 when 0 then '{"url"' when 1 then '{"url":5,"id":' || req_id || '}' when 2 then 'null'
+         when 3 then '{"url":" "}' when 4 then 'not json ' || req_id end as refused,
+       case k % 8 when 0 then 'syntax' when 1 then 'type' when 2 then 'blank' when 3 then 'blank' when 4 then 'syntax' end as reason,
+       original_url || '?' || req_id as url
+from requests"""
+
+
+@query("stream_requests", sql(f"""
+select case when reason is null then url end as url, case when reason is not null then refused end as body, reason, count(*) as n
+from ({_SQL_BODY}) group by all"""))
+def stream_requests(spark, sf_dir):
+    """Bodies of the JSON route as a stream: accepted URLs, and rejected bodies with the reason."""
+    url = F.concat("original_url", F.lit("?"), F.col("req_id").cast("string"))
+    whole = F.to_json(F.struct(url.alias("url")))
+    shape = F.col("k") % 8
+    number = F.col("req_id").cast("string")
+    line = (
+        F.when(shape == 0, '{"url"')
+        .when(shape == 1, F.concat(F.lit('{"url":5,"id":'), number, F.lit("}")))
+        .when(shape == 2, "null")
+        .when(shape == 3, '{"url":" "}')
+        .when(shape == 4, F.concat(F.lit("not json "), number))
+        .when(shape == 5, F.concat(whole, F.lit(" tail")))
+        .otherwise(whole)
+    )
+    out = scratch_path(spark, "intake")
+    rows = fx.requests(spark, sf_dir).withColumn("line", line)
+    _in_text_slices(spark, rows, "raw", lambda stream, checkpoint: intake.stream_intake(stream, intake.OBJECT, out, checkpoint))
+    nothing = F.lit(None).cast("string")
+    taken = intake.accepted(spark, out, intake.OBJECT).select(F.col("value").alias("url"), nothing.alias("body"), nothing.alias("reason"))
+    refused = intake.rejected(spark, out, intake.OBJECT).select(nothing.alias("url"), "body", "reason")
+    return taken.unionByName(refused).groupBy("url", "body", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SQL_EVENTS = """
+select req_id, cast(floor(epoch(ts)) as bigint) as ts, event_type as action, case when k % 9 <> 3 then user_id else '' end as user_id,
+       original_url as url, case k % 9 when 0 then 'syntax' when 1 then 'type' when 2 then 'type' when 8 then 'syntax' end as reason
+from requests"""
+
+
+@query("stream_audit_source", sql(f"""
+select case when reason is null then ts end as ts, case when reason is null then action end as action,
+       case when reason is null then user_id end as user_id, case when reason is null then url end as url, reason, count(*) as n
+from ({_SQL_EVENTS}) group by all"""))
+def stream_audit_source(spark, sf_dir):
+    """Audit lines as a stream. Cut off, with a time that is a fraction or text, without a user, with a second value behind the first."""
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    shape = F.col("k") % 9
+
+    def event(ts):
+        user = F.when(shape != 3, F.col("user_id"))
+        return F.to_json(F.struct(ts.alias("ts"), F.col("event_type").alias("action"), user.alias("user_id"), F.col("original_url").alias("url")))
+
+    whole = event(seconds)
+    line = (
+        F.when(shape == 0, F.substring(whole, F.lit(1), F.length(whole) - 3))
+        .when(shape == 1, event(seconds + F.lit(0.5)))
+        .when(shape == 2, event(seconds.cast("string")))
+        .when(shape == 8, F.concat(whole, F.lit(" {}")))
+        .otherwise(whole)
+    )
+    out = scratch_path(spark, "intake")
+    rows = fx.requests(spark, sf_dir).withColumn("line", line)
+    _in_text_slices(spark, rows, "raw", lambda stream, checkpoint: intake.stream_intake(stream, intake.AUDIT, out, checkpoint))
+    taken = intake.accepted(spark, out, intake.AUDIT).drop("batch", "place").withColumn("reason", F.lit(None).cast("string"))
+    refused = intake.rejected(spark, out, intake.AUDIT).select("reason")
+    columns = ["ts", "action", "user_id", "url", "reason"]
+    return taken.unionByName(refused, allowMissingColumns=True).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("assign_ids_loads", """
+select row_number() over (order by o_orderkey % 10, o_orderdate, o_orderkey) as link_id, cast(o_orderkey % 10 as bigint) as load, o_orderkey
+from orders""")
+def assign_ids_loads(spark, sf_dir):
+    """All orders numbered in ten loads, one of which is offered twice."""
+    book = ledger.IdLedger(spark, scratch_path(spark, "ledger"))
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    order = [F.col("o_orderdate"), F.col("o_orderkey")]
+    for load in (0, 1, 2, 3, 4, 3, 5, 6, 7, 8, 9):
+        book.append(orders.where(F.col("o_orderkey") % 10 == load), order, load)
+    return book.read("o_orderkey long").select("link_id", "load", "o_orderkey")

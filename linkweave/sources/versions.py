@@ -17,7 +17,6 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from linkweave.functions.text import deleted_flag
 from linkweave.operators.deletes import timed_tombstones
 from linkweave.operators.shorten import matching
 from linkweave.session import stage
+from linkweave.sources.files import file_system, numbered, put_new, read_text
 
 LINKS, URLS, MARKS = "links", "urls", "tombstones"
 _COLUMNS = {
@@ -77,16 +77,8 @@ class VersionedStore:
 
     # --- versions
 
-    def _fs(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
-
     def _versions(self) -> list[int]:
-        fs, folder = self._fs(f"{self.path}/versions")
-        if not fs.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        return sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[:-5].isdigit())
+        return numbered(self.spark, f"{self.path}/versions")
 
     def latest(self) -> int:
         return self._versions()[-1]
@@ -97,31 +89,14 @@ class VersionedStore:
 
     def manifest(self) -> Manifest:
         version = self.latest() if self.pinned is None else self.pinned
-        fs, place = self._fs(f"{self.path}/versions/{version:012d}.json")
-        stream = fs.open(place)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        return Manifest(**json.loads(read_text(self.spark, f"{self.path}/versions/{version:012d}.json")))
 
     def _commit(self, manifest: Manifest) -> None:
-        """Write the manifest beside, then rename it into place; the rename refuses to replace a version."""
-        jvm = self.spark._jvm
-        final = f"{self.path}/versions/{manifest.version:012d}.json"
-        fs, beside = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(beside)
-        stream.write(bytearray(json.dumps(manifest.__dict__).encode()))
-        stream.close()
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), self.spark._jsc.hadoopConfiguration())
-        no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        """Put the manifest into place, unless the version is there already."""
         try:
-            files.rename(fs.makeQualified(beside), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(final)), no_options)
-        except Py4JJavaError as error:
-            fs.delete(beside, False)
-            if "FileAlreadyExists" in error.java_exception.getClass().getName():
-                raise LostRace(f"version {manifest.version} is there already") from error
-            raise
+            put_new(self.spark, f"{self.path}/versions/{manifest.version:012d}.json", json.dumps(manifest.__dict__))
+        except FileExistsError as error:
+            raise LostRace(f"version {manifest.version} is there already") from error
 
     def _offer(self, change, tries: int) -> int:
         """Commit ``change`` of the newest manifest, again on the next one where another writer was first."""
@@ -258,11 +233,11 @@ class VersionedStore:
         named = {s["name"] for v in versions[-keep:] for s in self.at(v).manifest().segments}
         now = self.spark._jvm.java.lang.System.currentTimeMillis()
         for version in versions[:-keep]:
-            fs, place = self._fs(f"{self.path}/versions/{version:012d}.json")
+            fs, place = file_system(self.spark, f"{self.path}/versions/{version:012d}.json")
             fs.delete(place, False)
         removed = []
         for kind in (LINKS, URLS, MARKS):
-            fs, folder = self._fs(f"{self.path}/{kind}")
+            fs, folder = file_system(self.spark, f"{self.path}/{kind}")
             for status in fs.listStatus(folder) if fs.exists(folder) else ():
                 name = status.getPath().getName().removeprefix("seg=")
                 if name not in named and now - status.getModificationTime() >= 1000 * grace_seconds:

@@ -26,7 +26,9 @@ AVAILABLE_NOW = {"availableNow": True}
 Sink = Callable[[DataFrame, int], None]
 
 
-def _start(stream: DataFrame, work: Sink, checkpoint: str, trigger: Mapping) -> StreamingQuery:
+def start_batches(stream: DataFrame, work: Sink, checkpoint: str, trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
+    """Run ``work`` on every micro-batch; what it stages is removed when it is done."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):
             work(batch, batch_id)
@@ -54,14 +56,14 @@ def stream_shorten(
         # the written outcomes, not a second evaluation of them
         store.append(new_links(batch.sparkSession.read.parquet(path)), batch_id)
 
-    return _start(requests, work, checkpoint, trigger)
+    return start_batches(requests, work, checkpoint, trigger)
 
 
 def stream_delete_apply(
     deletes: DataFrame, store: LinkStore, checkpoint: str, trigger: Mapping = AVAILABLE_NOW
 ) -> StreamingQuery:
     """Turn deletes (``short_id, user_id``) into tombstones of the store."""
-    return _start(deletes, store.tombstone, checkpoint, trigger)
+    return start_batches(deletes, store.tombstone, checkpoint, trigger)
 
 
 def stream_resolve(
@@ -72,7 +74,7 @@ def stream_resolve(
     def work(batch: DataFrame, batch_id: int) -> None:
         resolve(batch, store.read_for("short_id", batch)).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
 
-    return _start(clicks, work, checkpoint, trigger)
+    return start_batches(clicks, work, checkpoint, trigger)
 
 
 def stream_audit_fanout(
@@ -89,7 +91,7 @@ def stream_audit_fanout(
     queries = {}
     for name, sink in sinks.items():
         stream = events[name] if isinstance(events, Mapping) else events
-        queries[name] = _start(stream, sink, f"{checkpoint}/{name}", trigger)
+        queries[name] = start_batches(stream, sink, f"{checkpoint}/{name}", trigger)
     return queries
 
 
