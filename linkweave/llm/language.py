@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import KEY, held_out, session, stage, view
+from linkweave.llm.common import fits_broadcast, held_out, session, stage, view
 
 # ISO 639-1 codes by branch. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -26,10 +26,9 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-# The classifier is fitted on at most this many rows of each language, those with the least hashes, and on
-# their first FIT_BYTES bytes. Prediction reads whole texts.
-# FIT_TOTAL bounds the rows of all languages together.
-FIT_ROWS, FIT_TOTAL, FIT_BYTES = 1500, 6000, 4000
+# The classifier is fitted on about this many distinct texts of each language, whole ones, chosen by hash.
+# FIT_TOTAL bounds the texts of all languages together in the same way.
+FIT_ROWS, FIT_TOTAL = 1500, 6000
 BUCKETS = 1 << 12
 EPOCHS, REGULAR = 12, 1e-4
 UNKNOWN = "und"
@@ -133,21 +132,45 @@ class Model:
         return names, scores
 
 
+def chosen(docs: DataFrame, rows: int) -> DataFrame:
+    """``lang, text_hash, text``: each language's distinct texts whose hash lies in a share of the range of hashes. The share is that
+    in which ``rows`` of them are expected, so copies count once, and no task sorts or gathers a language."""
+    sizes = docs.groupBy("lang").agg(F.count_distinct("text_hash").alias("n_texts"))
+    shares = stage(sizes.select(F.col("lang").alias("of"), (F.lit(float(rows)) / F.col("n_texts")).alias("share")), "shares")
+    if not fits_broadcast(shares):
+        raise ValueError("more languages than a table of them may have")
+    place = F.shiftrightunsigned("text_hash", 11) / F.lit(float(1 << 53))
+    near = docs.join(F.broadcast(shares), (F.col("lang") == F.col("of")) & (place < F.col("share")))
+    return near.groupBy("lang", "text_hash").agg(F.min("text").alias("text"))
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of the texts that have a letter, without the zeros."""
+    for batch in batches:
+        made = []
+        for lang, code, text in zip(*(batch.column(name).to_pylist() for name in ("lang", "text_hash", "text"))):
+            if LETTER.search(text):
+                x = features(text)
+                at = np.flatnonzero(x)
+                made.append((lang, code, at.astype(np.uint16).tobytes(), x[at].tobytes()))
+        kinds = pa.string(), pa.int64(), pa.binary(), pa.binary()
+        columns = zip(*made) if made else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["lang", "text_hash", "places", "weights"])
+
+
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` rows of each language, FIT_TOTAL in all, of ``docs`` (text, lang), those with the least hash
-    of their text; this bounded sample is all that reaches the driver. Null texts and languages teach nothing."""
-    usable = docs.where("lang is not null and length(text) > 0")
+    """Fit on about ``rows`` distinct texts of each language, FIT_TOTAL in all, of ``docs`` (text, text_hash, lang). Only the features
+    of this bounded sample reach the driver, 6 bytes for each bucket that a text fills. Null texts and languages teach nothing."""
+    usable = docs.where("lang is not null and length(text) > 0").select("lang", "text", "text_hash")
     languages = usable.agg(F.count_distinct("lang")).first()[0]
     rows = max(1, min(rows, FIT_TOTAL // max(1, languages)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("text_hash", "doc_id"))
-    chosen = usable.select("lang", *KEY).withColumn("rank", rank).where(F.col("rank") <= rows).select(*KEY).distinct()
-    chosen = stage(chosen, "chosen")  # at most FIT_TOTAL rows
-    sample = usable.join(F.broadcast(chosen), list(KEY)).select("lang", F.substring("text", 1, FIT_BYTES).alias("text"))
-    sample = sample.dropDuplicates().orderBy("lang", "text").collect()
-    sample = [r for r in sample if LETTER.search(r.text)]
+    kinds = "lang string, text_hash long, places binary, weights binary"
+    sample = sorted(chosen(usable, rows).mapInArrow(_sparse, kinds).collect(), key=lambda r: (r.lang, r.text_hash))
     if not sample:
         return Model(Machines([], [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)), [])
-    x = np.stack([features(r.text) for r in sample])
+    x = np.zeros((len(sample), BUCKETS), np.float32)
+    for line, r in zip(x, sample):
+        line[np.frombuffer(r.places, np.uint16)] = np.frombuffer(r.weights, np.float32)
     langs = [r.lang for r in sample]
     of = [FAMILY.get(name, f"only {name}") for name in langs]
     families = machines(x, of)
@@ -164,7 +187,7 @@ def identify(docs: DataFrame, test: tuple[int, int] = (5, 0), rows: int = FIT_RO
     The model learns from text and language of the rows that are not held out; held out are those with
     crc32(doc_id) mod ``test[0]`` equal to ``test[1]`` and those without an id. Predictions use whole
     texts and nothing else. ``und`` with score 0 for a null text, a text without a letter, and everything if there is nothing to
-    learn from. Repeated rows get equal results; an empty table gives an empty result.
+    learn from. Repeated rows teach once and get equal results; an empty table gives an empty result.
     """
     spark = session(docs.sparkSession).sparkContext
     texts = view(docs, "lang").withColumn("held_out", held_out(*test))

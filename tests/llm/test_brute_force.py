@@ -202,6 +202,18 @@ def test_language_on_held_out_rows(spark):
     assert out.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_sample_takes_whole_texts_and_counts_copies_once(spark):
+    texts = [f"text number {i} " + "of many words " * 500 + f"and end {i}" for i in range(400)]
+    rows = [("en", t) for t in texts] + [("en", texts[0])] * 3000 + [("de", t) for t in texts[:30]] + [("fr", None), (None, "x"), ("fr", "")]
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumn("text_hash", F.xxhash64("text")).where("lang is not null and length(text) > 0")
+    got = [(r.lang, r.text) for r in language.chosen(docs, 100).collect()]
+    assert len(got) == len(set(got))
+    assert 60 < sum(lang == "en" for lang, _ in got) < 140
+    assert {t for lang, t in got if lang == "de"} == set(texts[:30]) and all(t in texts for _, t in got)
+    model = language.fit(docs.withColumn("extra", F.lit(1)), 100)
+    assert sorted(model.families.labels) == ["germanic"] and model.members[0].labels == ["de", "en"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     """All labelled documents that were held out, whatever words they hold."""
     large = "/root/testdata/sf0.1"
