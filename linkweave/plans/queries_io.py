@@ -24,7 +24,7 @@ from linkweave.plans.queries_table import (
     shorten_outcomes,
 )
 from linkweave.session import scratch_path
-from linkweave.sources import ledger, readers, stores, versions, writers
+from linkweave.sources import backend, ledger, readers, stores, versions, writers
 from linkweave.streaming import buffer, intake, jobs
 
 _LINE = ["uuid", "short_id", "original_url", "user_id", "is_deleted"]
@@ -754,3 +754,15 @@ def assign_ids_loads(spark, sf_dir):
     for load in (0, 1, 2, 3, 4, 3, 5, 6, 7, 8, 9):
         book.append(orders.where(F.col("o_orderkey") % 10 == load), order, load)
     return book.read("o_orderkey long").select("link_id", "load", "o_orderkey")
+
+
+@query("resolve_source", sql("""
+select c.req_id, cast(case when l.short_id is null then 404 else 307 end as int) as status, l.original_url as location
+from clicks c left join links l on l.short_id = c.short_id"""))
+def resolve_source(spark, sf_dir):
+    """All clicks against a folder of links that Spark reads through a registered backend."""
+    path = scratch_path(spark, "folder")
+    fx.links(spark, sf_dir).repartition(4, "short_id").sortWithinPartitions("short_id").write.parquet(path)
+    backend.register(spark, "link_folder", backend.FolderBackend)
+    found = backend.read_for(spark, "link_folder", "short_id", fx.clicks(spark, sf_dir), path=path)
+    return lookup.resolve(fx.clicks(spark, sf_dir), found).select("req_id", "status", "location")
