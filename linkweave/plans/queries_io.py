@@ -24,7 +24,7 @@ from linkweave.plans.queries_table import (
     shorten_outcomes,
 )
 from linkweave.session import scratch_path
-from linkweave.sources import backend, ledger, readers, stores, versions, writers
+from linkweave.sources import backend, keybook, ledger, readers, stores, userlists, versions, writers
 from linkweave.streaming import buffer, intake, jobs
 
 _LINE = ["uuid", "short_id", "original_url", "user_id", "is_deleted"]
@@ -766,3 +766,49 @@ def resolve_source(spark, sf_dir):
     backend.register(spark, "link_folder", backend.FolderBackend)
     found = backend.read_for(spark, "link_folder", "short_id", fx.clicks(spark, sf_dir), path=path)
     return lookup.resolve(fx.clicks(spark, sf_dir), found).select("req_id", "status", "location")
+
+
+# A key of every shorten request: the requests of a URL fall on 40 keys.
+_LOADS = 6
+
+
+@query("check_unique_loads", sql(f"""
+, per_load as (
+  select original_url || '?' || req_id % 40 as key, cast(req_id % {_LOADS} as bigint) as load, count(*) as k from shorten_requests group by all),
+upto as (select key, load, cast(sum(k) over (partition by key order by load) as bigint) as n from per_load)
+select load, 'url unique' as constraint, key, n from upto where n > 1""").replace("\n, per_load", ", per_load", 1))
+def check_unique_loads(spark, sf_dir):
+    """The unique constraint checked load by load against the keys of the loads before; two loads are offered twice, all but one merged midway."""
+    url = F.concat("original_url", F.lit("?"), (F.col("req_id") % 40).cast("string"))
+    rows = fx.shorten_requests(spark, sf_dir).select((F.col("req_id") % _LOADS).alias("load"), url.alias("url"))
+    path = scratch_path(spark, "keybook")
+    book = keybook.KeyBook(spark, f"{path}/book", "url")
+    for load in range(_LOADS):
+        keybook.check_load(book, rows.where(F.col("load") == load), load, f"{path}/violations")
+        if load in (1, 4):
+            keybook.check_load(book, rows.where(F.col("load") == load), load, f"{path}/violations")
+        if load == 3:
+            book.merge()
+    found = spark.read.schema("constraint string, key string, n long, load long").parquet(f"{path}/violations")
+    return found.select("load", "constraint", "key", "n")
+
+
+@query("user_lists_loads", sql("""
+select 'list' as part, user_id, row_number() over (partition by user_id order by created_at desc, short_id) as n, short_id
+from timed_links where not is_deleted
+union all select 'count', user_id, count(*) filter (not is_deleted), null from timed_links group by user_id"""))
+def user_lists_loads(spark, sf_dir):
+    """Counts and lists by user, kept up to date over loads of links and deletes; many deletes come loads before or after their link."""
+    path = scratch_path(spark, "view")
+    store = versions.VersionedStore(spark, f"{path}/store", buckets=4)
+    view = userlists.UserLists(spark, f"{path}/view")
+    links, marks = fx.links(spark, sf_dir), ids_to_delete(spark, sf_dir)
+    for load in range(4):
+        coming = links.where(F.col("link_id") % 4 == load)
+        deleted = marks.where(F.pmod(F.hash("short_id", "ts"), F.lit(4)) == load)
+        store.append(coming, load)
+        store.tombstone(deleted, load)
+        view.update(store, coming, deleted, load)
+    lists = view.lists().select(F.lit("list").alias("part"), "user_id", F.col("pos").alias("n"), "short_id")
+    counts = view.counts().select(F.lit("count").alias("part"), "user_id", F.col("n_links").alias("n"), F.lit(None).cast("string").alias("short_id"))
+    return lists.unionByName(counts)
