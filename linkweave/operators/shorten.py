@@ -30,15 +30,23 @@ _STEP = Decimal(2 * 10**19)
 _LAST_MICROS, _LAST_ID = Decimal(10**18 - 1), Decimal(2**63 - 1)
 
 
+def arrival_parts(ts: Column, req_id: Column) -> tuple[Column, Column]:
+    """The two numbers that ``arrival`` joins: time, then request id, each with a last value for null."""
+    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(int(_LAST_MICROS)).cast("long"))
+    return micros, F.coalesce(req_id.cast("long"), F.lit(int(_LAST_ID)).cast("long"))
+
+
+def as_one(micros: Column, number: Column) -> Column:
+    return (micros.cast("decimal(18,0)") * F.lit(_STEP) + number.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def arrival(ts: Column, req_id: Column) -> Column:
     """Order of requests by time, then id, as one number; a null time comes last, and so does a null id.
 
     A fixed-width key keeps ``min`` and ``max`` inside hash aggregation; a struct or string key
     would sort each partition first.
     """
-    micros = F.coalesce(F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)"), F.lit(_LAST_MICROS).cast("decimal(18,0)"))
-    number = F.coalesce(req_id.cast("decimal(19,0)"), F.lit(_LAST_ID).cast("decimal(19,0)"))
-    return (micros * F.lit(_STEP) + number).cast("decimal(38,0)")
+    return as_one(*arrival_parts(ts, req_id))
 
 
 def latest_by_id(links: DataFrame, order: Column) -> DataFrame:

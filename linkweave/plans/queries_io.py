@@ -25,7 +25,7 @@ from linkweave.plans.queries_table import (
 )
 from linkweave.session import scratch_path
 from linkweave.sources import backend, keybook, ledger, readers, stores, userlists, versions, writers
-from linkweave.streaming import buffer, intake, jobs
+from linkweave.streaming import buffer, intake, jobs, registry
 
 _LINE = ["uuid", "short_id", "original_url", "user_id", "is_deleted"]
 _SQL_LINE = "select '' as uuid, short_id, original_url, user_id, is_deleted"
@@ -812,3 +812,18 @@ def user_lists_loads(spark, sf_dir):
     lists = view.lists().select(F.lit("list").alias("part"), "user_id", F.col("pos").alias("n"), "short_id")
     counts = view.counts().select(F.lit("count").alias("part"), "user_id", F.col("n_links").alias("n"), F.lit(None).cast("string").alias("short_id"))
     return lists.unionByName(counts)
+
+
+@query("stream_shorten_state", ORACLES["stream_shorten"])
+def stream_shorten_state(spark, sf_dir):
+    """The link table as keyed state, restarted from its checkpoint twice."""
+    session = buffer.state_session(fx.prepare(spark))
+    out = scratch_path(spark, "registry")
+    store = stores.ParquetStore(session, f"{out}/store")
+    _in_slices(
+        session,
+        fx.shorten_requests(session, sf_dir),
+        "requests",
+        lambda stream, checkpoint: registry.stream_shorten_state(stream, store, f"{out}/outcomes", checkpoint),
+    )
+    return spark.read.parquet(f"{out}/outcomes").select("req_id", "short_id", "status")
