@@ -10,7 +10,6 @@ from linkweave.operators import lookup
 from linkweave.sources import userlists
 from linkweave.sources.stores import ParquetStore
 from linkweave.sources.userlists import UserLists
-from linkweave.sources.versions import VersionedStore
 from test_versions import DAY, LINK, marks
 
 
@@ -33,7 +32,7 @@ def recomputed(store):
 
 def test_ten_loads_are_equal_to_recomputation(spark, tmp_path):
     draw = random.Random(3)
-    store = VersionedStore(spark, str(tmp_path / "store"), buckets=2)
+    store = ParquetStore(spark, str(tmp_path / "store"))
     view = UserLists(spark, str(tmp_path / "view"))
     known, number = [], 0
     for load in range(10):
