@@ -244,3 +244,41 @@ def test_only_a_local_session_may_use_a_folder_of_its_own(monkeypatch, tmp_path)
         scratch_root(_Session("spark://host:7077"))
     local = _Session("local[2]")
     assert scratch_root(local) == scratch_root(local) == str(tmp_path / "linkweave-")
+
+
+class _Cluster:
+    """The real session under the name of a cluster's master."""
+
+    def __init__(self, spark, rows=None, **settings):
+        self._spark, self._rows, self.conf = spark, rows, self
+        self._settings = {"spark.master": "spark://host:7077", "spark.app.id": f"app-{id(self)}"} | settings
+
+    def get(self, name, *default):
+        return self._settings[name] if name in self._settings or not default else default[0]
+
+    def range(self, *bounds):
+        return self._spark.range(*bounds) if self._rows is None else self._spark.range(self._rows)
+
+    @property
+    def read(self):
+        return self._spark.read
+
+    @property
+    def sparkContext(self):
+        class Context(_Session):
+            def getConf(self):
+                return {}
+
+        return Context("spark://host:7077")
+
+
+def test_a_mounted_folder_of_a_cluster_is_shared(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    assert scratch_root(_Cluster(spark, **{"spark.checkpoint.dir": folder})) == folder
+    assert scratch_path(_Cluster(spark, **{"spark.checkpoint.dir": folder}), "x").startswith(folder + "/linkweave/app-")
+    assert scratch_root(_Cluster(spark, **{"spark.sql.warehouse.dir": folder})) == folder
+
+
+def test_a_folder_that_loses_rows_is_refused(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="do not share"):
+        scratch_root(_Cluster(spark, rows=3, **{"spark.checkpoint.dir": f"file://{tmp_path}"}))
