@@ -16,18 +16,18 @@ from linkweave.llm.common import attach, session, stage, view
 # lie whole in one; longer items are cut into parts of PART words, each a query of its own.
 TERMS, BLOCK, PART = 1 << 16, 32, 48
 # The space has the terms of the benchmark and the MORE most frequent others; other terms only add to the length of a
-# passage. It has RANK directions, found from SAMPLE passages of the corpus and all benchmark parts, in POWER passes.
-MORE, RANK, OVERSAMPLE, POWER, SAMPLE = 1024, 240, 16, 2, 20_000
-# A space is shared by at most RANK + OVERSAMPLE parts; a larger benchmark is sought in several spaces. A part of
-# whose length its space holds less than HELD is sought by its words.
-HELD = 0.6
+# passage. It has RANK directions, found from all passages of the corpus and all benchmark parts, in POWER passes over their products.
+MORE, RANK, OVERSAMPLE, POWER = 1024, 240, 16, 2
+# A space is shared by at most RANK + OVERSAMPLE parts, which have at most OWN terms (or it is one part's); a larger benchmark is sought
+# in several spaces. A part of whose length its space holds less than HELD is sought by its words.
+OWN, HELD = 4096, 0.6
 # Terms in more than this share of all blocks weigh nothing: they say little and would take most of the time.
 COMMON = 0.02
 # A part of which such terms would hold more than this share, if they weighed by their frequency alone, is not sought in the space
 # but by its words, so that an item does not hide by being frequent itself. So many of these parts are counted together.
 LOST, TOGETHER = 0.25, 256
-# Tasks that multiply the sample; their matrices of columns x RANK are summed in bands of BAND columns.
-TASKS, BAND = 8, 256
+# Tasks that multiply the terms of all passages; their matrices of columns x columns are summed in bands of BAND columns.
+TASKS, BAND = 16, 256
 # Cosine of a passage and a benchmark part that makes a candidate, see `recall` in the tests.
 COSINE = 0.35
 # Shares of the part's words that must follow in order: alone, or with the answer there.
@@ -94,22 +94,48 @@ def _laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids, np.repeat(first[:-1], sizes) + inside // BLOCK, first
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each text, 2 bytes a term."""
+    for batch in batches:
+        folded = [_folded(t) for t in batch.column("text").to_pylist()]
+        ids, starts = _terms(b" ".join(folded))
+        ends = np.searchsorted(starts, np.cumsum([0, *(len(f) + 1 for f in folded)])) * 2
+        held = ids.astype("<u2").tobytes()
+        terms = [held[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary())], ["terms"])
+
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """``terms`` of every text, staged: the words are cut and hashed once for the frequencies and all spaces."""
+    return stage(texts.select("text").mapInArrow(_numbered, "terms binary"), "terms")
+
+
+def _cut_up(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The terms of all texts of a batch, and the stretch of ``words`` words that each stands in; the number of stretches."""
+    held = batch.column("terms").to_pylist()
+    ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
+    sizes = np.array([len(h) // 2 for h in held], np.int64)
+    first = np.concatenate([[0], np.cumsum(-(-sizes // words))])
+    inside = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return ids, np.repeat(first[:-1], sizes) + inside // words, int(first[-1])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many blocks each term occurs; the row of term -1 is the number of blocks."""
     total = np.zeros(TERMS, np.int64)
     blocks = 0
     for batch in batches:
-        ids, block, first = _laid_out(batch.column("text").to_pylist())
+        ids, block, n = _cut_up(batch, BLOCK)
         keys = np.sort(block * TERMS + ids)
         total += np.bincount(keys[np.diff(keys, prepend=-1) > 0] % TERMS, minlength=TERMS)
-        blocks += int(first[-1])
+        blocks += n
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([blocks, *total[seen]], pa.int64())], ["term", "n"])
 
 
-def inverse_frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def inverse_frequencies(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies of all TERMS terms over all blocks of the corpus: with 0 for common terms, and as they are."""
-    found = texts.select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = terms.mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     terms, numbers = found["term"].to_numpy(), found["n"].to_numpy()
     counts = np.zeros(TERMS)
     counts[terms[terms >= 0]] = numbers[terms >= 0]
@@ -163,35 +189,88 @@ def _product(rows: Iterator[np.ndarray], basis: np.ndarray, weights: np.ndarray,
     return total
 
 
-def latent_space(sample: DataFrame, parts: list[np.ndarray], idf: np.ndarray, column: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Columns x rank: the leading right singular vectors of the TF-IDF matrix of the sample's passages and
+def _products(idf: np.ndarray, column: np.ndarray, size: int):
+    """The upper half of the sum of x^T x over the passages x of a share of the texts, in bands of columns as places and sums; the band -1 has
+    the number of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, passages = np.zeros(size * size), 0
+        for batch in batches:
+            ids, passage, n = _cut_up(batch, 2 * BLOCK)
+            passages += n
+            keys = np.sort(passage * TERMS + ids)
+            starts = np.flatnonzero(np.diff(keys, prepend=-1) > 0)
+            at, terms = keys[starts] // TERMS, keys[starts] % TERMS
+            x = np.diff(starts, append=len(keys)) * idf[terms]
+            x /= np.maximum(np.sqrt(np.bincount(at, x * x, n)), 1e-9)[at]
+            inside = np.flatnonzero((column[terms] >= 0) & (x > 0))
+            at, where, x = at[inside], column[terms[inside]], x[inside]
+            later = np.searchsorted(at, at, side="right") - np.arange(len(at))  # entries of the passage from this one on
+            left = np.arange(len(at))
+            step = 0
+            while len(left):
+                right = left + step
+                np.add.at(total, np.minimum(where[left], where[right]) * size + np.maximum(where[left], where[right]), x[left] * x[right])
+                step += 1
+                left = left[later[left] > step]
+        yield from _bands(-1, np.array([passages], np.float64)).to_batches()
+        for low in range(0, size, BAND):
+            yield from _bands(low, total[low * size : (low + BAND) * size]).to_batches()
+
+    return run
+
+
+BANDS = "at int, places binary, sums binary"
+
+
+def _bands(at: int, band: np.ndarray) -> pa.Table:
+    """One row of BANDS with what is not zero."""
+    places = np.flatnonzero(band)
+    columns = [pa.array([at], pa.int32()), pa.array([places.astype(np.int32).tobytes()], pa.binary()), pa.array([band[places].tobytes()], pa.binary())]
+    return pa.Table.from_arrays(columns, ["at", "places", "sums"])
+
+
+def _adder(size: int):
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BAND * max(1, size))
+        for places, sums in zip(rows.column("places"), rows.column("sums")):
+            total[np.frombuffer(places.as_py(), np.int32)] += np.frombuffer(sums.as_py(), np.float64)
+        return _bands(rows.column("at")[0].as_py(), total)
+
+    return add
+
+
+def products(terms: DataFrame, idf: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, int]:
+    """The upper half of A^T A for the TF-IDF rows A of all passages of the corpus, laid end to end, and their number."""
+    size = int(column.max()) + 1
+    half, passages = np.zeros((size, size), np.float32), 0
+    made = terms.coalesce(TASKS).mapInArrow(_products(idf, column, size), BANDS)
+    for r in made.groupBy("at").applyInArrow(_adder(size), BANDS).toLocalIterator():
+        places, sums = np.frombuffer(r.places, np.int32), np.frombuffer(r.sums, np.float64)
+        if r["at"] < 0:
+            passages = int(sums.sum())
+        else:
+            half[r["at"] + places // size, places % size] = sums
+    return half, passages
+
+
+def latent_space(terms: DataFrame, parts: list[np.ndarray], idf: np.ndarray, column: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Columns x rank: the leading right singular vectors of the TF-IDF matrix of all passages of the corpus and
     the benchmark's parts, by the randomised range finder with power passes.
 
-    The executors hold the rows; each pass sums A^T (A Q) in bands of columns among them, and the driver gets the sum, band by band. The
-    benchmark's parts weigh as much as the sample, as it is their space in which passages are sought.
+    The executors sum A^T A in bands of columns among them, in one pass over the corpus; the driver gets the sum, band by band: at most
+    OWN + MORE columns, whatever the corpus. The benchmark's parts weigh as much as the corpus, as it is their space in which passages are sought.
     """
     size = int(column.max()) + 1
     wide = min(rank + OVERSAMPLE, size)
     random = np.random.Generator(np.random.Philox(SEED))
     basis = np.linalg.qr(random.standard_normal((size, wide)))[0].astype(np.float32)
-    weight = max(1, sample.count()) / max(1, len(parts))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (np.array(ids, np.int64) for batch in batches for ids in batch.column("terms").to_pylist())
-        made = _product(rows, basis, idf, column).astype(np.float32)
-        for at in range(0, size, BAND):
-            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "sums": [made[at : at + BAND].tobytes()]})
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(r.as_py(), np.float32).astype(np.float64) for r in rows.column("sums"))
-        return pa.table({"at": rows.column("at")[:1], "sums": [total.astype(np.float32).tobytes()]})
-
+    half, passages = products(terms, idf, column)
+    weight = max(1, passages) / max(1, len(parts))
     product = np.zeros((size, wide))
     for _ in range(POWER + 1):
         product = weight * _product(iter(parts), basis, idf, column)
-        sums = sample.coalesce(TASKS).mapInArrow(multiply, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary")
-        for r in sums.toLocalIterator():
-            product[r["at"] : r["at"] + BAND] += np.frombuffer(r.sums, np.float32).reshape(-1, wide)
+        product += half @ basis + half.T @ basis - half.diagonal()[:, None] * basis
         last, basis = basis, np.linalg.qr(product)[0].astype(np.float32)
     small = basis.T @ product @ (last.T @ basis)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -390,13 +469,13 @@ def searcher(texts: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
     parts = []
     for r in benchmark.select(*names).where("item_id is not null and text is not null").dropDuplicates().orderBy("item_id", "text").collect():
         parts += parts_of(r.item_id, r.text, r.answer if "answer" in names else None)
-    idf, whole = inverse_frequencies(texts)
+    terms = numbered(texts)
+    idf, whole = inverse_frequencies(terms)
     ids = [term_ids(p.words) for p in parts]
-    by_words = np.array([lost_share(terms, idf, whole) > LOST for terms in ids], bool)
+    by_words = np.array([lost_share(x, idf, whole) > LOST for x in ids], bool)
     ways: list[Space | Presence] = []
-    sample = sampled(texts)
-    for numbers in np.array_split(np.arange(len(parts)), max(1, -(-len(parts) // (RANK + OVERSAMPLE)))):
-        way, held = space_of(numbers, ids, idf, sample, cosine)
+    for numbers in shared_out(ids):
+        way, held = space_of(numbers, ids, idf, terms, cosine)
         ways.append(way)
         by_words[numbers] |= held < HELD
     left = np.flatnonzero(by_words)
@@ -404,7 +483,19 @@ def searcher(texts: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
     return Searcher(parts, ways, [np.unique(x, return_counts=True) for x in ids])
 
 
-def space_of(numbers: np.ndarray, ids: list[np.ndarray], idf: np.ndarray, sample: DataFrame, cosine: float) -> tuple[Space, np.ndarray]:
+def shared_out(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The numbers of the parts of each space, in about equal shares; a share whose parts have more than OWN terms is halved."""
+    open_, done = np.array_split(np.arange(len(ids)), max(1, -(-len(ids) // (RANK + OVERSAMPLE)))), []
+    while open_:
+        numbers = open_.pop(0)
+        if len(numbers) > 1 and len(np.unique(np.concatenate([ids[j] for j in numbers]))) > OWN:
+            open_ = [*np.array_split(numbers, 2), *open_]
+        else:
+            done.append(numbers)
+    return done
+
+
+def space_of(numbers: np.ndarray, ids: list[np.ndarray], idf: np.ndarray, corpus: DataFrame, cosine: float) -> tuple[Space, np.ndarray]:
     """The latent space of some parts, with these folded into it, and how much of each part's length it holds."""
     ids = [ids[j] for j in numbers]
     own = np.unique(np.concatenate(ids)) if ids else np.empty(0, np.int64)
@@ -414,7 +505,7 @@ def space_of(numbers: np.ndarray, ids: list[np.ndarray], idf: np.ndarray, sample
     column = np.full(TERMS, -1, np.int64)
     chosen = np.concatenate([own, others])
     column[chosen] = np.arange(len(chosen))
-    space = latent_space(sample, ids, idf, column, min(RANK, max(8, 2 * len(ids))))
+    space = latent_space(corpus, ids, idf, column, min(RANK, max(8, 2 * len(ids))))
     weighted = space * idf[chosen][:, None]
     queries = np.zeros((space.shape[1], len(ids)), np.float32)
     for j, terms in enumerate(ids):
@@ -427,25 +518,6 @@ def space_of(numbers: np.ndarray, ids: list[np.ndarray], idf: np.ndarray, sample
     return Space(numbers, idf.astype(np.float32), column, weighted.astype(np.float32), queries, cosine), held
 
 
-def sampled(texts: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """At most about ``rows`` passages, one of each sampled document, staged: documents are sampled by the hash of their text."""
-    total = max(1, texts.count())
-    share = min(1.0, rows / total)
-    chosen = texts.where(F.pmod(F.col("text_hash"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "text_hash")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = []
-            for text, number in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist()):
-                ids = _terms(_folded(text))[0]
-                if len(ids):
-                    at = number % len(ids) // BLOCK * BLOCK
-                    terms.append(ids[at : at + 2 * BLOCK])
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int64()))], ["terms"])
-
-    return stage(chosen.mapInArrow(cut, "terms array<long>"), "passages")
-
-
 FOUND = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, first_word long, last_word long"
 
 

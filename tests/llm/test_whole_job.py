@@ -41,6 +41,34 @@ def test_an_item_in_a_third_of_all_documents_is_found(spark):
     assert got == {(i, k) for i in range(0, 300, 3) for k in (1, 2)}
 
 
+def test_the_space_is_fitted_on_every_passage(spark):
+    """The products that the space comes from, against a plain sum over all passages of all texts."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 60, n)) for n in (0, 1, 63, 64, 65, 500, 1300)] + [None, "  "]
+    terms = decontaminate.numbered(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    vocabulary = np.unique(decontaminate.term_ids([f"v{i}".encode() for i in range(60)]))
+    idf = np.zeros(decontaminate.TERMS)
+    idf[vocabulary] = rng.uniform(1, 5, len(vocabulary))
+    column = np.full(decontaminate.TERMS, -1)
+    column[rng.permutation(vocabulary)[:40]] = np.arange(40)
+    want, n = np.zeros((40, 40)), 0
+    for text in texts:
+        ids = decontaminate.term_ids(decontaminate.words_of(text))
+        for at in range(0, len(ids), 64):
+            x = np.bincount(ids[at : at + 64], minlength=len(idf)) * idf
+            x = (x / np.linalg.norm(x))[column >= 0][np.argsort(column[column >= 0])]
+            want, n = want + np.outer(x, x), n + 1
+    half, passages = decontaminate.products(terms, idf, column)
+    assert passages == n == 34 and np.allclose(half, np.triu(want), rtol=1e-5)
+
+
+def test_a_large_benchmark_has_spaces_of_bounded_size():
+    ids = [np.arange(40 * i, 40 * i + 40) for i in range(500)]
+    shares = decontaminate.shared_out(ids)
+    assert np.concatenate(shares).tolist() == list(range(500)) and decontaminate.shared_out([])[0].size == 0
+    assert all(len(np.unique(np.concatenate([ids[j] for j in x]))) <= decontaminate.OWN for x in shares)
+
+
 def test_recall_does_not_fall_with_the_size_of_the_benchmark(spark, monkeypatch):
     """Verbatim parts in passages of 64 words: up to ten times as many parts as a space has directions."""
     monkeypatch.setattr(decontaminate, "RANK", 24)
