@@ -26,8 +26,9 @@ COMMON = 0.02
 # A part of which such terms would hold more than this share, if they weighed by their frequency alone, is not sought in the space
 # but by its words, so that an item does not hide by being frequent itself. So many of these parts are counted together.
 LOST, TOGETHER = 0.25, 256
-# Tasks that multiply the terms of all passages; their matrices of columns x columns are summed in bands of BAND columns.
-TASKS, BAND = 16, 256
+# Tasks that multiply the terms of all passages; their matrices of columns x columns are summed in bands of BAND columns. A task gathers about
+# ENTRIES weighted terms and adds their products in strips of STRIP columns, so that it writes to a small part of its matrix at a time.
+TASKS, BAND, ENTRIES, STRIP = 16, 256, 1 << 18, 64
 # Cosine of a passage and a benchmark part that makes a candidate, see `recall` in the tests.
 COSINE = 0.35
 # Shares of the part's words that must follow in order: alone, or with the answer there.
@@ -194,48 +195,68 @@ def _products(idf: np.ndarray, column: np.ndarray, size: int):
     the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(size * size), 0
+        total, passages = np.zeros((size, size)), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids, passage, n = _cut_up(batch, 2 * BLOCK)
-            passages += n
             keys = np.sort(passage * TERMS + ids)
             starts = np.flatnonzero(np.diff(keys, prepend=-1) > 0)
             at, terms = keys[starts] // TERMS, keys[starts] % TERMS
             x = np.diff(starts, append=len(keys)) * idf[terms]
             x /= np.maximum(np.sqrt(np.bincount(at, x * x, n)), 1e-9)[at]
             inside = np.flatnonzero((column[terms] >= 0) & (x > 0))
-            at, where, x = at[inside], column[terms[inside]], x[inside]
-            later = np.searchsorted(at, at, side="right") - np.arange(len(at))  # entries of the passage from this one on
-            left = np.arange(len(at))
-            step = 0
-            while len(left):
-                right = left + step
-                np.add.at(total, np.minimum(where[left], where[right]) * size + np.maximum(where[left], where[right]), x[left] * x[right])
-                step += 1
-                left = left[later[left] > step]
+            held.append((at[inside] + passages, column[terms[inside]], x[inside]))
+            passages += n
+            if sum(len(h[0]) for h in held) >= ENTRIES:
+                _multiply(*map(np.concatenate, zip(*held)), total)
+                held.clear()
+        if held:
+            _multiply(*map(np.concatenate, zip(*held)), total)
         yield from _bands(-1, np.array([passages], np.float64)).to_batches()
         for low in range(0, size, BAND):
-            yield from _bands(low, total[low * size : (low + BAND) * size]).to_batches()
+            yield from _bands(low, total[low : low + BAND].ravel()).to_batches()
 
     return run
 
 
+def _multiply(at: np.ndarray, where: np.ndarray, x: np.ndarray, total: np.ndarray) -> None:
+    """Adds the products of the entries ``x`` of each passage ``at``, which ascends, to the upper half of ``total``, strip by strip of columns."""
+    size = len(total)
+    order = np.argsort(at * size + where)
+    where, x = where[order], x[order]
+    later = np.searchsorted(at, at, side="right") - np.arange(len(at))  # entries of the passage from this one on
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(0, size + STRIP, STRIP))
+    for low, a, b in zip(range(0, size, STRIP), edges, edges[1:]):
+        times = later[order[a:b]]
+        left = np.repeat(order[a:b], times)
+        right = left + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        strip = total[low : low + STRIP]
+        strip += np.bincount((where[left] - low) * size + where[right], x[left] * x[right], strip.size).reshape(strip.shape)
+
+
 BANDS = "at int, places binary, sums binary"
 
 
 def _bands(at: int, band: np.ndarray) -> pa.Table:
-    """One row of BANDS with what is not zero."""
+    """One row of BANDS with what is not zero: a place and a sum of 4 bytes each. The number of passages keeps its 8 bytes."""
     places = np.flatnonzero(band)
-    columns = [pa.array([at], pa.int32()), pa.array([places.astype(np.int32).tobytes()], pa.binary()), pa.array([band[places].tobytes()], pa.binary())]
+    columns = [pa.array([at], pa.int32()), pa.array([places.astype(np.int32).tobytes()], pa.binary())]
+    columns.append(pa.array([band[places].astype(_sum_type(at)).tobytes()], pa.binary()))
     return pa.Table.from_arrays(columns, ["at", "places", "sums"])
 
 
+def _sum_type(at: int) -> type:
+    return np.float64 if at < 0 else np.float32
+
+
 def _adder(size: int):
     def add(rows: pa.Table) -> pa.Table:
+        at = rows.column("at")[0].as_py()
         total = np.zeros(BAND * max(1, size))
         for places, sums in zip(rows.column("places"), rows.column("sums")):
-            total[np.frombuffer(places.as_py(), np.int32)] += np.frombuffer(sums.as_py(), np.float64)
-        return _bands(rows.column("at")[0].as_py(), total)
+            total[np.frombuffer(places.as_py(), np.int32)] += np.frombuffer(sums.as_py(), _sum_type(at))
+        return _bands(at, total)
 
     return add
 
@@ -246,7 +267,7 @@ def products(terms: DataFrame, idf: np.ndarray, column: np.ndarray) -> tuple[np.
     half, passages = np.zeros((size, size), np.float32), 0
     made = terms.coalesce(TASKS).mapInArrow(_products(idf, column, size), BANDS)
     for r in made.groupBy("at").applyInArrow(_adder(size), BANDS).toLocalIterator():
-        places, sums = np.frombuffer(r.places, np.int32), np.frombuffer(r.sums, np.float64)
+        places, sums = np.frombuffer(r.places, np.int32), np.frombuffer(r.sums, _sum_type(r["at"]))
         if r["at"] < 0:
             passages = int(sums.sum())
         else:
@@ -400,34 +421,53 @@ class Presence:
         return np.concatenate(pairs)
 
 
+def _summed(table: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each stretch of ``rows`` the sum of these rows of the table: the first of all stretches, then the second of those that have one, and so on."""
+    sums = np.zeros((len(starts), table.shape[1]), np.float32)
+    order = np.argsort(starts - ends, kind="stable")
+    for low in range(0, len(order), 256):  # so that the sums stay in the processor's cache
+        own = order[low : low + 256]
+        first, sizes = starts[own], ends[own] - starts[own]
+        held = np.zeros((len(own), table.shape[1]), np.float32)
+        for step in range(int(sizes[0])):
+            live = int(np.searchsorted(-sizes, -step))
+            held[:live] += table[rows[first[:live] + step]]
+        sums[own] = held
+    return sums
+
+
 @dataclass
 class Space:
     numbers: np.ndarray  # of the parts
     idf: np.ndarray
     column: np.ndarray  # of each term, -1 outside the space
-    space: np.ndarray  # columns x rank, weighted by idf
-    queries: np.ndarray  # rank x parts
+    near: np.ndarray  # columns x parts: what a word adds to the product with the part, through the space
     cosine: float
 
     def candidates(self, ids: np.ndarray, block: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (block, part) of passages near a part: a block with the next one. Lengths are those before the
-        projection, so that text outside the space lowers the cosine. The last block of a text also stands alone."""
+        projection, so that text outside the space lowers the cosine. The last block of a text also stands alone.
+
+        A passage whose words would be too far off even if each stood by the part that it is nearest to is left out unread; none of them is a candidate.
+        """
         blocks = int(first[-1])
         squares = np.bincount(block, self.idf[ids] ** 2, blocks)
+        least = self.cosine * np.sqrt(np.maximum(squares + np.append(squares[1:], 0), 1e-9)).astype(np.float32)
         columns = self.column[ids]
         places = np.flatnonzero(columns >= 0)
-        sums = np.zeros((blocks + 1, self.space.shape[1]), np.float32)
-        if len(places):
-            found, starts = np.unique(block[places], return_index=True)
-            for at in range(0, len(found), 4096):  # bounds the gathered rows
-                end = starts[at + 4096] if at + 4096 < len(found) else len(places)
-                rows = self.space[columns[places[starts[at] : end]]]
-                sums[found[at : at + 4096]] = np.add.reduceat(rows, starts[at : at + 4096] - starts[at], axis=0)
-        sums = sums[:-1] + sums[1:]
-        squares = squares + np.append(squares[1:], 0)
-        near = (sums @ self.queries) / np.sqrt(np.maximum(squares, 1e-9))[:, None]
-        pairs = np.argwhere(near >= self.cosine)
-        return np.stack([pairs[:, 0], self.numbers[pairs[:, 1]]], axis=1)
+        at, columns = block[places], columns[places]
+        most = np.bincount(at, np.maximum(self.near.max(axis=1, initial=0), 0)[columns], blocks + 1)
+        open_ = np.flatnonzero(most[:-1] + most[1:] >= 0.999 * least)
+        edges = np.searchsorted(at, np.arange(blocks + 2))
+        pairs = [np.empty((0, 2), np.int64)]
+        for low in range(0, len(open_), 4096):  # bounds the sums
+            passage = open_[low : low + 4096]
+            needed = np.union1d(passage, passage + 1)
+            sums = _summed(self.near, columns, edges[needed], edges[needed + 1])
+            sums = sums[np.searchsorted(needed, passage)] + sums[np.searchsorted(needed, passage + 1)]
+            found = np.argwhere(sums >= least[passage][:, None])
+            pairs.append(np.stack([passage[found[:, 0]], self.numbers[found[:, 1]]], axis=1))
+        return np.concatenate(pairs)
 
 
 @dataclass
@@ -436,6 +476,34 @@ class Searcher:
     ways: list[Space | Presence]
     terms: list[tuple[np.ndarray, np.ndarray]]  # the distinct terms of each part with their counts
 
+    def __post_init__(self) -> None:
+        """The same as one sorted list of part * TERMS + term, and how many words each part must have in common with a text."""
+        empty = [np.empty(0, np.int64)]
+        self.keys = np.concatenate([j * TERMS + terms for j, (terms, _) in enumerate(self.terms)] or empty)
+        self.times = np.concatenate([counts for _, counts in self.terms] or empty)
+        self.least = np.array([least_words(len(p.words)) for p in self.parts])
+        self.known = np.zeros(TERMS, bool)
+        self.known[self.keys % TERMS] = True
+
+    def enough(self, ids: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the stretches ``low`` to ``high`` share enough words with their part, each word as often as in both, wherever they stand."""
+        places = np.flatnonzero(self.known[ids])
+        starts = np.searchsorted(places, low)
+        sizes = np.searchsorted(places, high) - starts
+        shared = np.zeros(len(part), np.int64)
+        for a in range(0, len(part), 4096):  # bounds the words that are laid out
+            n = sizes[a : a + 4096]
+            pair = np.repeat(np.arange(a, a + len(n)), n)
+            word = ids[places[np.arange(len(pair)) + np.repeat(starts[a : a + 4096] - np.cumsum(n) + n, n)]]
+            wanted = part[pair] * TERMS + word
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hits = np.flatnonzero(self.keys[at] == wanted)
+            keys = np.sort(pair[hits] * len(self.keys) + at[hits])
+            runs = np.flatnonzero(np.diff(keys, prepend=-1) > 0)
+            pair, at = keys[runs] // len(self.keys), keys[runs] % len(self.keys)
+            shared += np.bincount(pair, np.minimum(np.diff(runs, append=len(keys)), self.times[at]), len(part)).astype(np.int64)
+        return shared >= self.least[part]
+
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, float, int, int]]]:
         """For each text (item, share, answer, first word, last word) of the passages that leak, the best one for each item."""
         ids, block, first = _laid_out(texts)
@@ -445,15 +513,15 @@ class Searcher:
             pairs = np.unique(np.concatenate([way.candidates(ids, block, first) for way in self.ways]), axis=0)
             owners = np.searchsorted(first, pairs[:, 0], side="right") - 1
             edges = np.searchsorted(block, first)  # of the texts, in words
-            for (at, j), i in zip(pairs.tolist(), owners.tolist()):
+            own = pairs[:, 0] - first[owners]
+            starts, ends = np.maximum(0, (own - 1) * BLOCK), np.minimum(edges[owners + 1] - edges[owners], (own + 3) * BLOCK)
+            left = np.flatnonzero(self.enough(ids, pairs[:, 1], edges[owners] + starts, edges[owners] + ends))
+            for j, i, start, end in zip(*(x[left].tolist() for x in (pairs[:, 1], owners, starts, ends))):
                 part, best = self.parts[j], found[i]
-                own = at - int(first[i])
-                low, high = edges[i] + max(0, (own - 1) * BLOCK), min(edges[i + 1], edges[i] + (own + 3) * BLOCK)
-                if not may_leak(*self.terms[j], len(part.words), ids[low:high]):
+                if not may_leak(*self.terms[j], len(part.words), ids[edges[i] + start : edges[i] + end]):
                     continue
                 if i not in words:
                     words[i] = words_of(texts[i])
-                start, end = max(0, (own - 1) * BLOCK), min(len(words[i]), (own + 3) * BLOCK)
                 share, answer, leak = leaks(part, words[i][start:end])
                 if leak and (part.item_id not in best or best[part.item_id][1] < share):
                     best[part.item_id] = (part.item_id, share, answer, start, end)
@@ -515,7 +583,8 @@ def space_of(numbers: np.ndarray, ids: list[np.ndarray], idf: np.ndarray, corpus
     # a part that the space holds little of is sought with its direction scaled up, at most twofold
     held = np.sqrt((queries**2).sum(axis=0))
     queries /= np.maximum(held, 0.5)
-    return Space(numbers, idf.astype(np.float32), column, weighted.astype(np.float32), queries, cosine), held
+    near = weighted.astype(np.float32) @ queries
+    return Space(numbers, idf.astype(np.float32), column, near, cosine), held
 
 
 FOUND = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, first_word long, last_word long"

@@ -95,3 +95,58 @@ def test_a_line_in_a_small_part_of_a_large_host_goes(spark):
     docs = spark.createDataFrame([(i, t, "en", "big", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     cut = {r.doc_id: r.text for r in quality.clean(docs).collect()}
     assert cut == {i: own(i) for i in range(1500)}
+
+
+def plain_searcher(rng, cosine):
+    """A space of 40 columns for six parts of words v0 to v29, and texts of some words more; the vector of every word by part."""
+    parts = [decontaminate.Part(j, [f"v{i}".encode() for i in rng.integers(0, 30, 20)], []) for j in range(6)]
+    ids = [decontaminate.term_ids(p.words) for p in parts]
+    idf = np.zeros(decontaminate.TERMS, np.float32)
+    vocabulary = decontaminate.term_ids([f"v{i}".encode() for i in range(60)])
+    idf[vocabulary] = rng.uniform(1, 5, 60)
+    column = np.full(decontaminate.TERMS, -1)
+    column[np.unique(vocabulary[:40])] = np.arange(len(np.unique(vocabulary[:40])))
+    near = rng.normal(0, 1, (int(column.max()) + 1, 6)).astype(np.float32)
+    space = decontaminate.Space(np.arange(6), idf, column, near, cosine)
+    return decontaminate.Searcher(parts, [space], [np.unique(x, return_counts=True) for x in ids])
+
+
+def test_passages_left_out_by_the_bound_are_no_candidates():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 60, n)) for n in (0, 1, 31, 32, 33, 64, 500, 2000)] + [None, " "]
+    ids, block, first = decontaminate._laid_out(texts)
+    for cosine in (-0.1, 0.2, 0.6, 0.9, 2.0):
+        way = plain_searcher(np.random.default_rng(12), cosine).ways[0]
+        sums, squares = np.zeros((first[-1] + 1, 6)), np.zeros(first[-1] + 1)
+        for term, b in zip(ids, block):
+            squares[b] += way.idf[term] ** 2
+            if way.column[term] >= 0:
+                sums[b] += way.near[way.column[term]]
+        near = (sums[:-1] + sums[1:]) / np.sqrt(np.maximum(squares[:-1] + squares[1:], 1e-9))[:, None]
+        assert sorted(map(tuple, way.candidates(ids, block, first).tolist())) == sorted(map(tuple, np.argwhere(near >= cosine).tolist()))
+
+
+def test_pairs_that_share_too_few_words_are_ruled_out_together(monkeypatch):
+    """Only pairs with enough of a part's words anywhere in the stretch are looked at one by one."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 60, 500)) for _ in range(20)]
+    finder = plain_searcher(rng, -9.0)  # every pair is a candidate
+    texts[3] += " " + b" ".join(finder.parts[2].words).decode()
+    looked, real = [], decontaminate.may_leak
+    monkeypatch.setattr(decontaminate, "may_leak", lambda *a: looked.append(a) or real(*a))
+    found = finder.search(texts)
+    assert any(f[0] == 2 for f in found[3])
+    ids, block, first = decontaminate._laid_out(texts)
+    edges, want, leaks = np.searchsorted(block, first), 0, []
+    for i, text in enumerate(texts):
+        words, best = decontaminate.words_of(text), {}
+        for own in range(int(first[i + 1] - first[i])):
+            window = collections.Counter(ids[edges[i] :][max(0, own - 1) * 32 : min((own + 3) * 32, len(words))].tolist())
+            for j, part in enumerate(finder.parts):
+                need = collections.Counter(decontaminate.term_ids(part.words).tolist())
+                want += sum((window & need).values()) >= 10
+                share, answer, leak = decontaminate.leaks(part, words[max(0, own - 1) * 32 : (own + 3) * 32])
+                if leak and (j not in best or best[j][1] < share):
+                    best[j] = (j, share)
+        leaks.append({j: share for j, share in best.values()})
+    assert len(looked) == want and [{f[0]: f[1] for f in x} for x in found] == leaks
