@@ -26,9 +26,9 @@ COMMON = 0.02
 # A part of which such terms would hold more than this share, if they weighed by their frequency alone, is not sought in the space
 # but by its words, so that an item does not hide by being frequent itself. So many of these parts are counted together.
 LOST, TOGETHER = 0.25, 256
-# Tasks that multiply the terms of all passages; their matrices of columns x columns are summed in bands of BAND columns. A task gathers about
-# ENTRIES weighted terms and adds their products in strips of STRIP columns, so that it writes to a small part of its matrix at a time.
-TASKS, BAND, ENTRIES, STRIP = 16, 256, 1 << 18, 64
+# Tasks that multiply the terms of all passages. A task gathers about ENTRIES weighted terms and adds their products to the upper half of a
+# matrix of columns x columns in bands of BAND columns, so that it writes to a small part of it at a time; the tasks' bands are summed one by one.
+TASKS, BAND, ENTRIES = 16, 64, 1 << 18
 # Cosine of a passage and a benchmark part that makes a candidate, see `recall` in the tests.
 COSINE = 0.35
 # Shares of the part's words that must follow in order: alone, or with the answer there.
@@ -195,7 +195,7 @@ def _products(idf: np.ndarray, column: np.ndarray, size: int):
     the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros((size, size)), 0
+        total, passages = [np.zeros((min(BAND, size - low), size - low), np.float32) for low in range(0, size, BAND)], 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids, passage, n = _cut_up(batch, 2 * BLOCK)
@@ -213,26 +213,26 @@ def _products(idf: np.ndarray, column: np.ndarray, size: int):
         if held:
             _multiply(*map(np.concatenate, zip(*held)), total)
         yield from _bands(-1, np.array([passages], np.float64)).to_batches()
-        for low in range(0, size, BAND):
-            yield from _bands(low, total[low : low + BAND].ravel()).to_batches()
+        for low, band in zip(range(0, size, BAND), total):
+            yield from _bands(low, band.ravel()).to_batches()
 
     return run
 
 
-def _multiply(at: np.ndarray, where: np.ndarray, x: np.ndarray, total: np.ndarray) -> None:
-    """Adds the products of the entries ``x`` of each passage ``at``, which ascends, to the upper half of ``total``, strip by strip of columns."""
-    size = len(total)
+def _multiply(at: np.ndarray, where: np.ndarray, x: np.ndarray, total: list[np.ndarray]) -> None:
+    """Adds the products of the entries ``x`` of each passage ``at``, which ascends, to the bands of ``total``; a band begins at its own first column."""
+    size = sum(map(len, total))
     order = np.argsort(at * size + where)
     where, x = where[order], x[order]
     later = np.searchsorted(at, at, side="right") - np.arange(len(at))  # entries of the passage from this one on
     order = np.argsort(where, kind="stable")
-    edges = np.searchsorted(where[order], np.arange(0, size + STRIP, STRIP))
-    for low, a, b in zip(range(0, size, STRIP), edges, edges[1:]):
+    edges = np.searchsorted(where[order], np.arange(0, size + BAND, BAND))
+    for low, a, b, band in zip(range(0, size, BAND), edges, edges[1:], total):
         times = later[order[a:b]]
         left = np.repeat(order[a:b], times)
         right = left + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-        strip = total[low : low + STRIP]
-        strip += np.bincount((where[left] - low) * size + where[right], x[left] * x[right], strip.size).reshape(strip.shape)
+        places = (where[left] - low) * (size - low) + where[right] - low
+        band += np.bincount(places, x[left] * x[right], band.size).reshape(band.shape)
 
 
 BANDS = "at int, places binary, sums binary"
@@ -253,7 +253,7 @@ def _sum_type(at: int) -> type:
 def _adder(size: int):
     def add(rows: pa.Table) -> pa.Table:
         at = rows.column("at")[0].as_py()
-        total = np.zeros(BAND * max(1, size))
+        total = np.zeros(BAND * (size - max(0, at)) + 1)
         for places, sums in zip(rows.column("places"), rows.column("sums")):
             total[np.frombuffer(places.as_py(), np.int32)] += np.frombuffer(sums.as_py(), _sum_type(at))
         return _bands(at, total)
@@ -271,7 +271,7 @@ def products(terms: DataFrame, idf: np.ndarray, column: np.ndarray) -> tuple[np.
         if r["at"] < 0:
             passages = int(sums.sum())
         else:
-            half[r["at"] + places // size, places % size] = sums
+            half[r["at"] + places // (size - r["at"]), r["at"] + places % (size - r["at"])] = sums
     return half, passages
 
 

@@ -150,3 +150,19 @@ def test_pairs_that_share_too_few_words_are_ruled_out_together(monkeypatch):
                     best[j] = (j, share)
         leaks.append({j: share for j, share in best.values()})
     assert len(looked) == want and [{f[0]: f[1] for f in x} for x in found] == leaks
+
+
+def test_quality_rules_deal_out_no_text_for_a_few_frequent_lines(spark, monkeypatch):
+    """One pass over the texts gives what the join of verdicts gives, odd rows included; the join stays for lines that are too many to be sent out."""
+    own = lambda i: "\n".join(" ".join(f"d{i}w{j}x{k}" for k in range(12)) for j in range(5))
+    line, long = "all  pages say This", " ".join(f"p{i}" for i in range(200))
+    rows = [(i, f"{own(i)}\n \n{line if i % 2 else line.upper()}\n" + (long if i % 3 == 0 else ""), "en", ("big", None, "small")[i % 3], i) for i in range(60)]
+    rows += [(7, None, "en", "big", 0), (7, "", "en", None, 0), (None, own(7), None, "big", 1), (3, own(3) + "\n" + line, "en", "big", 9), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    once = quality.clean(docs)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(quality, "fits_broadcast", lambda *a: False)
+    joined = quality.clean(docs)
+    got, want = (sorted(map(repr, x.collect())) for x in (once, joined))
+    # of the host big all rows with the long line are depleted; the line is frequent on every host
+    assert got == want and len(got) == 40 + 2 and once.columns == docs.columns and not any(line.lower() in x.lower() for x in got)
