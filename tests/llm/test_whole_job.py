@@ -26,6 +26,42 @@ def test_every_bigram_keeps_its_own_share(spark, monkeypatch):
     ))
 
 
+def test_words_beyond_the_contexts_have_restaurants(spark, monkeypatch):
+    """With a tiny dictionary and fewer contexts most bigrams are joined by shuffle; the scores are those of a model that holds all."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"v{i}" for i in (rng.zipf(1.3, 60) % 300)) + " left right left right" for _ in range(120)]
+    texts += ["left right", "left down", "right left", "down never", "never seen", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r for r in languagemodel.score(docs).collect()}
+    monkeypatch.setattr(languagemodel, "CONTEXTS", 3)
+    monkeypatch.setattr(languagemodel, "DICTIONARY", 20)
+    less = {r.doc_id: r for r in languagemodel.score(docs).collect()}
+    assert len(whole) == len(less) == len(texts)
+    for i, r in less.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[i].n_tokens, whole[i].n_known, whole[i].train_tokens)
+        assert np.isclose(r.base_score, whole[i].base_score) and np.isclose(r.score, whole[i].score, rtol=0.02, atol=0.05)
+    assert less[120].score > less[121].score + 0.5
+
+
+def test_outside_words_make_probabilities_that_sum_to_one(spark, monkeypatch):
+    """Over all dishes, of the dictionary or not, and a word that was never seen."""
+    monkeypatch.setattr(languagemodel, "CONTEXTS", 2)
+    monkeypatch.setattr(languagemodel, "DICTIONARY", 6)
+    rows = [(" ".join(f"a{(i * j) % 7} b{(i + j * j) % 13}" for j in range(30)),) for i in range(1, 30)]
+    training = spark.createDataFrame(rows, "text string")
+    model, (words, pairs) = languagemodel.train(training, languagemodel.word_counts(training))
+    outside = {r.dish: r for r in words.collect()}
+    assert 0 < len(outside) == 20 - len(model.counts)
+    size, samples = len(model.back), model.back.shape[1]
+    back = {i: model.back[i] for i in range(size)} | {k: np.array([r[f"b{s}"] for s in range(samples)]) for k, r in outside.items()}
+    parent = {i: model.parent[i] for i in range(size)} | {k: np.array([r[f"p{s}"] for s in range(samples)]) for k, r in outside.items()}
+    seen = dict(enumerate(model.seen)) | {k: r.c for k, r in outside.items()}
+    own = collections.Counter({(int(k) // model.classes, int(k) % model.classes): model.own.ravel()[k] for k in model.pair_key})
+    own.update({(r.context, r.dish): r.over / (languagemodel.STRENGTH + seen[r.context]) for r in pairs.collect()})
+    for context in back:
+        assert abs(sum((back[context] * parent[dish]).mean() + own[context, dish] for dish in parent) - 1) < 1e-5
+
+
 def leaked(spark, texts, items):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string, answer string")
