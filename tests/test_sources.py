@@ -282,3 +282,14 @@ def test_a_mounted_folder_of_a_cluster_is_shared(spark, tmp_path):
 def test_a_folder_that_loses_rows_is_refused(spark, tmp_path):
     with pytest.raises(RuntimeError, match="do not share"):
         scratch_root(_Cluster(spark, rows=3, **{"spark.checkpoint.dir": f"file://{tmp_path}"}))
+
+
+def test_a_local_cluster_is_a_cluster(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("tempfile.mkdtemp", lambda prefix: str(tmp_path / prefix))
+    master = "local-cluster[3,2,3000]"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(_Session(master))
+    with pytest.raises(RuntimeError, match="do not share"):
+        scratch_root(_Cluster(spark, rows=3, **{"spark.master": master, "spark.checkpoint.dir": f"file://{tmp_path}/lost"}))
+    folder = f"file://{tmp_path}/kept"
+    assert scratch_root(_Cluster(spark, **{"spark.master": master, "spark.checkpoint.dir": folder})) == folder
